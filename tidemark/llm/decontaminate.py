@@ -227,6 +227,7 @@ def without_spans(docs: DataFrame, text: str = "text", limit: int = WINDOW, shar
     Takes what `contamination` gives; the words of a cut range go with what stands between them.
     """
     frame = docs.withColumn("_bytes", as_bytes(text)).withColumn("_all", F.col("contaminated"))
+    names = docs.columns
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         has = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
@@ -235,7 +236,7 @@ def without_spans(docs: DataFrame, text: str = "text", limit: int = WINDOW, shar
             raw = raw.as_py()
             cut = [(s["start"], s["end"]) for s in spans.as_py() if every.as_py() or s["end"] - s["start"] >= limit]
             texts.append((cut_words(raw, cut) if cut else raw).decode("utf-8", "replace"))
-        yield {c: has[c] for c in docs.columns} | {text: texts}
+        yield {c: has[c] for c in names} | {text: texts}
 
     return arrow_map(frame, run, docs.schema)
 

@@ -24,4 +24,23 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
 from dw left join pos using (doc_id) left join its using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_decontaminate": OP7}
+OP8 = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as payload_bytes, sha256(b) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from d left join f using (payload_digest)
+"""
+
+OP9 = r"""
+with l as (
+  select doc_id, i, x, translate(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(ls) as x, unnest(generate_series(1, len(ls))) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+r as (select k, max(doc_id) as last from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+m as (select l.*, r.k is not null and r.last <> l.doc_id as gone from l left join r using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+ORACLE: dict[str, str] = {"op7_decontaminate": OP7, "op8_warc": OP8, "op9_line_dedup": OP9}
