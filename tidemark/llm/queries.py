@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, packing, secrets, warc
+from tidemark.llm import decontaminate, line_dedup, matroska, packing, secrets, warc
 from tidemark.llm.oracles import ORACLE as ORACLE
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.stored_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -52,4 +56,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_matroska, op5_packing, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
