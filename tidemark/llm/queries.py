@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, matroska, packing, secrets, warc
+from tidemark.llm import decontaminate, line_dedup, matroska, packing, secrets, token_counts, toxicity, warc
 from tidemark.llm.oracles import ORACLE as ORACLE
 
 
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 2)
+    out = toxicity.scored(docs, toxicity.trained(docs, labels))
+    return out.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.stored_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -25,6 +32,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.pieces(tokenizer("piece_bpe_32k.model"))).drop("text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
@@ -56,4 +67,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_matroska, op5_packing, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_matroska, op4_token_counts, op5_packing, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
