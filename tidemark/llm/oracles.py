@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+OP6 = r"""
+with recursive dw as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sh as (
+  select distinct doc_id, list_aggregate(w[i : i + least(5, len(w)) - 1], 'string_agg', ' ') as s
+  from dw, unnest(generate_series(1, greatest(len(w) - 4, 1))) as t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from sh group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+m as (select a as doc_id, min(b) as component_id from r group by 1)
+select m.doc_id, coalesce(n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)
+"""
+
 OP7 = r"""
 with dw as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
@@ -43,4 +58,4 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(
 from m group by doc_id
 """
 
-ORACLE: dict[str, str] = {"op7_decontaminate": OP7, "op8_warc": OP8, "op9_line_dedup": OP9}
+ORACLE: dict[str, str] = {"op6_near_dedup": OP6, "op7_decontaminate": OP7, "op8_warc": OP8, "op9_line_dedup": OP9}
