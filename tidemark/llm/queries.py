@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, matroska, near_dedup, packing, secrets, token_counts, toxicity, warc
+from tidemark.llm import decontaminate, line_dedup, matroska, near_dedup, packing, pitman_yor, secrets, token_counts, toxicity, warc
 from tidemark.llm.oracles import ORACLE as ORACLE
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.fold(folds=7) == 2)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 2)
@@ -71,4 +75,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_matroska, op4_token_counts, op5_packing, op6_near_dedup, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_matroska, op4_token_counts, op5_packing, op6_near_dedup, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
