@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tidemark.llm import packing, queries
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-TEXTS = [None, "", "a b", "it's  don't x y \u0085 éclair İstanbul ΣΣ ᴬ", "<|endoftext|> x<|startoftext|>y", "w" * 9000, "\n\t \x0b\x0c\r", "The Cat 12 345! " * 3000, "same", "same", "\x1cfoo\x1dbar z"]
+TEXTS = [None, "", "a b", "it's  don't x y \u0085 éclair İstanbul ΣΣ ᴬ", "<|endoftext|> x<|startoftext|>y", "w" * 9000, "\n\t \x0b\x0c\r", "The Cat 12 345! " * 3000, "same", "same", "Word, WORD. word ... 9., é. <|STARTOFTEXT|>. don'T. áb Å", "\x1cfoo\x1dbar z"]
 
 
 def check(rows, texts):
@@ -60,3 +60,17 @@ def test_plan_uses_every_piece_once(histogram):
         for n in combo:
             used[n] += repeats
     assert used == histogram
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ9.,'é\u0301İ<|>-\u00a0\u2028 "), max_size=12), min_size=1, max_size=8))
+def test_ids_are_the_tokenizers(texts):
+    from tokenizers import Tokenizer
+
+    words, one = packing.Words(TOKENIZER) if not KEPT else KEPT[0], Tokenizer.from_file(TOKENIZER) if not KEPT else KEPT[1]
+    KEPT[:] = [words, one]
+    for text, ids in zip(texts, words.ids([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == one.encode(text, add_special_tokens=False).ids, text
+
+
+KEPT = []

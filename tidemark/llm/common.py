@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ ARROW_ROWS = 512
 BATCH_BYTES = 24 << 20
 
 _OWN_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,8 +45,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _shipped(spark: SparkSession) -> None:
+    """Give executors this package, once a session: they needn't have it installed."""
+    key = spark.sparkContext.applicationId
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        root = Path(__file__).resolve().parent.parent
+        name = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+        with zipfile.ZipFile(name, "w") as out:
+            for file in root.rglob("*.py"):
+                out.write(file, f"{root.name}/{file.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(name))
+
+
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches, as texts may be long; shuffle files go when a query ends."""
+    """Small Arrow batches, as texts may be long; shuffle files go when a query ends; executors get the code."""
+    _shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

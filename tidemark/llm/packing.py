@@ -38,36 +38,73 @@ THIRDS = 6
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
 
 
-class Words(dict):
+def core_of(word: bytes) -> tuple[bytes, bytes]:
+    """Lower-cased word and its end: a full stop or comma after a letter or digit is a token of its own."""
+    if b"<|" in word:  # may be a special token, which is told by its case
+        return word, b""
+    if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum():
+        return word[:-1].lower(), word[-1:]
+    return word.lower(), b""
+
+
+class Words:
     """Ids, as little-endian bytes, of text between white space; kept for frequent words in two generations.
 
-    The tokenizer never joins what white space divides, so a text's ids are those of its words.
+    The tokenizer never joins what white space divides, so a text's ids are those of its words. New words
+    are encoded together, and the offsets of the tokens tell which word each is of.
     """
 
-    LIMIT = 250_000
+    LIMIT = 400_000
+    TOGETHER = 2000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cores: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _keep(self, word: bytes, ids: bytes) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        return self._keep(word, ids)
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        if len(self.cores) > self.LIMIT:
+            self.older, self.cores = self.cores, {}
+        cores, older = self.cores, self.older
+        split = [(w, *core_of(w)) for w in words]
+        missing = []
+        for x in {x for _, core, end in split for x in (core, end) if x not in cores}:
+            if (ids := older.get(x)) is None:
+                missing.append(x)
+            else:
+                cores[x] = ids
+        for k in range(0, len(missing), self.TOGETHER):
+            self._encode(missing[k : k + self.TOGETHER])
+        return {w: cores[core] + cores[end] if end else cores[core] for w, core, end in split}
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        ids = np.array(got.ids, "<u4")
+        at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begin)
+        for k, w in enumerate(words):
+            self.cores[w] = ids[at[k] : at[k + 1]].tobytes()
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text."""
+        split = [t.split() for t in texts]
+        get = self.learn(set().union(*split)).__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
+
+
+#: By a Python worker's tokenizer; a worker that is used again keeps what it has learnt.
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -75,13 +112,13 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         part = TaskContext.get().partitionId()
         seen = [0] * (size + 1)
         for batch in it:
             rows: list[tuple] = []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(raw.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids([x.as_py() for x in batch.column(1)]), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
