@@ -8,8 +8,9 @@
    under its rarest k - shared + 1 values only (prefix filter): values that many
    unlike documents hold are rarely among them.
 3. In each list every member is paired with one hub, the member with the most
-   common sketch. The sketch of the union estimates the Jaccard; pairs near the
-   threshold or above are verified on full sets. Verified links make components.
+   common sketch. The sketch of the union, of a wider sketch that only listed
+   sets have, estimates the Jaccard; pairs near the threshold or above are
+   verified on full sets. Verified links make components.
 4. Lists with members outside the hub's component are then compared in full, in
    blocks of bounded size: those members against all others of other components.
    Thus a group of m near copies costs m verifications and loses no link.
@@ -41,10 +42,13 @@ PERCENT = 75
 K = 48
 #: Retained values that similar sets share at least: 5 deviations under the mean of 0.75 K.
 SHARED = 20
-#: Least estimate that is verified: 4.5 deviations under 0.75.
+#: Values in the sketches of listed sets, from which the Jaccard is estimated.
+WIDE = 256
+#: Least estimates from K and from WIDE values that go on: 4.5 and 5 deviations under 0.75.
 ESTIMATE = 0.47
+WIDE_ESTIMATE = 0.61
 #: Members of a list on either side of one block.
-BLOCK = 64
+BLOCK = 128
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -97,10 +101,22 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return stored(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc"), as_bytes(text).alias("raw")), run, "doc bigint, n bigint, fp binary, sketch array<bigint>"), "sketches")
 
 
+def widened(texts: DataFrame) -> DataFrame:
+    """Stored rep and sketch, of up to WIDE values, of the texts."""
+    hashes: list[Hashes] = []
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        if not hashes:
+            hashes.append(Hashes())
+        yield {"rep": batch.column(0), "sketch": [shingles(x.as_py(), hashes[0])[:WIDE].view(np.int64) for x in batch.column(1)]}
+
+    return stored(arrow_map(texts.select("doc", "raw"), run, "rep bigint, sketch array<bigint>"), "wide")
+
+
 def estimate(a: str, b: str) -> F.Column:
-    """Jaccard from two sketches: of the K smallest values of the union, the share that both hold."""
+    """Jaccard from two sketches: of the WIDE smallest values of the union, the share that both hold."""
     ordered = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(2**63))))  # noqa: E731  signed order is then the unsigned one
-    union = F.slice(F.array_sort(ordered(F.array_union(a, b))), 1, K)
+    union = F.slice(F.array_sort(ordered(F.array_union(a, b))), 1, WIDE)
     return F.size(F.array_intersect(union, ordered(F.array_intersect(a, b)))) / F.size(union)
 
 
@@ -142,27 +158,54 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(arrow_map(both, run, "a bigint, b bigint"), "links")
 
 
+def estimates(sketches: np.ndarray, sizes: np.ndarray, ns: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard of pairs of rows of ascending sketches, padded with the largest number: of the union's k smallest, those in both."""
+    sketches, sizes = sketches[:, :k], np.minimum(sizes, k)
+    both = np.sort(np.concatenate([sketches[i], sketches[j]], 1), 1)
+    again = both[:, 1:] == both[:, :-1]
+    rank = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, 1)  # distinct values up to here
+    held = np.minimum(sizes[i] + sizes[j], both.shape[1])[:, None]  # beyond are pads
+    real = np.arange(1, both.shape[1]) < held
+    total = held[:, 0] - (again & real).sum(1)
+    whole = (ns[i] <= k) & (ns[j] <= k)  # then all of both sets is there, and the value is exact
+    return np.where(whole, (again & real).sum(1) / total, (again & real & (rank <= k)).sum(1) / np.minimum(total, k))
+
+
+def _first_common(index: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest value that both rows of each pair are listed under."""
+    rows = [x.as_py() for x in index]
+    width, most = max(map(len, rows)), np.iinfo(np.int64).max
+    grid = np.full((len(rows), width), most, np.int64)
+    for out, x in zip(grid, rows, strict=True):
+        out[: len(x)] = x
+    both = np.sort(np.concatenate([grid[i], grid[j]], 1), 1)
+    return np.where(both[:, 1:] == both[:, :-1], both[:, 1:], most).min(1)
+
+
 def _blocks(table: pa.Table) -> pa.Table:
     """Pairs of one block whose estimate passes: members of different components, not the hub (it met all members)."""
     rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
     hub, other, kind = (table.column(c).to_numpy() for c in ("hub", "other", "kind"))
-    sketches = [np.sort(np.array(x.as_py(), np.int64).view(np.uint64)) for x in table.column("sketch")]
-    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-    grid = np.zeros((len(rep), len(values)), np.float32)
-    grid[np.repeat(np.arange(len(rep)), [len(s) for s in sketches]), at] = 1
-    common = grid @ grid.T
+    raw = [np.sort(np.array(x.as_py(), np.int64).view(np.uint64)) for x in table.column("sketch")]
+    sizes = np.array([len(x) for x in raw])
+    sketches = np.full((len(raw), WIDE), np.uint64(2**64 - 1))
+    for row, x in zip(sketches, raw, strict=True):
+        row[: len(x)] = x
     small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-    ok = (comp[:, None] != comp) & (100 * small >= PERCENT * large) & (common >= 1) & (rep != hub)[:, None] & (rep != hub) & (rep[:, None] < rep)
+    ok = (comp[:, None] != comp) & (100 * small >= PERCENT * large) & (rep != hub)[:, None] & (rep != hub) & (rep[:, None] < rep)
     if kind[0]:  # others against the hub's component
         ok &= other[:, None] != other
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        union = np.union1d(sketches[i], sketches[j])[:K]
-        both = np.intersect1d(sketches[i], sketches[j], assume_unique=True)
-        if np.isin(union, both, assume_unique=True).sum() >= ESTIMATE * len(union):
-            out.append((rep[i], rep[j]))
-    got = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": got[:, 0], "b": got[:, 1]})
+    i, j = np.nonzero(ok)
+    if len(i):
+        keep = estimates(sketches, sizes, n, i, j, K) >= ESTIMATE
+        i, j = i[keep], j[keep]
+    if len(i):  # a pair of several common lists belongs to the one of the smallest value
+        keep = _first_common(table.column("index"), i, j) == table.column("value")[0].as_py()
+        i, j = i[keep], j[keep]
+    if len(i):
+        keep = estimates(sketches, sizes, n, i, j, WIDE) >= np.where(np.maximum(n[i], n[j]) <= WIDE, PERCENT / 100 - 1e-9, WIDE_ESTIMATE)
+        i, j = i[keep], j[keep]
+    return pa.table({"a": rep[i], "b": rep[j]})
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,26 +218,27 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     members = lists.select(F.col("rep").alias("doc")).distinct()
     raw = docs.select(F.col(doc_id).cast("long").alias("doc"), as_bytes(text).alias("raw"))
     texts = stored(raw.join(members, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    sketches = reps.select("rep", "sketch")
+    sketches = widened(texts)
 
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("id"), "n")).alias("h"), F.count("*").alias("m")).select("value", (-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n"), "m").where("m > 1")
     stars = lists.join(hubs, "value").where(F.col("rep") != F.col("hub")).where(fits("n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = stars.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    first = verified(stored(near.where(estimate("sa", "sb") >= ESTIMATE).select("a", "b"), "near"), texts)
+    first = verified(stored(near.where(estimate("sa", "sb") >= WIDE_ESTIMATE).select("a", "b"), "near"), texts)
 
     reached = stored(components(first), "reached")
     named = lists.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "weight")
     hub_comp = hubs.where("m > 2").join(reached.withColumnRenamed("node", "hub"), "hub", "left").select("value", "hub", "m", F.coalesce("component", "hub").alias("hub_comp"))
     marked = named.join(hub_comp, "value").withColumn("other", F.col("comp") != F.col("hub_comp"))
     open_ = marked.where("other").groupBy("value").agg(F.count("*").alias("o"))
-    marked = marked.join(open_, "value").join(sketches, "rep")
+    index = lists.groupBy("rep").agg(F.collect_list("value").alias("index"))  # at most K
+    marked = marked.join(open_, "value").join(sketches, "rep").join(index, "rep")
     n_other, n_main = F.ceil(F.col("o") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("m") - F.col("o")) / BLOCK), F.lit(1)).cast("int")
     marked = marked.withColumns({"n_other": n_other, "n_main": n_main}).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))).cast("int"))
     block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     among = F.transform(upto("n_other"), lambda j: block(0, F.least("own", j), F.greatest("own", j)))
     across = F.when(F.col("other"), F.transform(upto("n_main"), lambda j: block(1, F.col("own"), j))).otherwise(F.transform(upto("n_other"), lambda i: block(1, i, F.col("own"))))
-    spread = marked.withColumn("blk", F.explode(F.when(F.col("other"), F.concat(among, across)).otherwise(across))).select("value", "blk.kind", "blk.i", "blk.j", "rep", "comp", "n", "hub", "other", "sketch")
+    spread = marked.withColumn("blk", F.explode(F.when(F.col("other"), F.concat(among, across)).otherwise(across))).select("value", "blk.kind", "blk.i", "blk.j", "rep", "comp", "n", "hub", "other", "sketch", "index")
     rest = spread.groupBy("value", "kind", "i", "j").applyInArrow(_blocks, "a bigint, b bigint").distinct()
     second = verified(stored(rest, "rest"), texts)
 
