@@ -1 +1,149 @@
-"""Queries."""
+"""Queries that run numeric kernels: one group, one task; the panels they take are small and of fixed shape."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import kernels, panel
+from tidemark.plans.registry import query
+from tidemark.sources import tables as t
+
+S = SparkSession
+
+
+def growth_rows(spark: S, d: str) -> DataFrame:
+    """Monthly growth of each series with the panel's mean growth, ready for regressions."""
+    w = Window.partitionBy("key").orderBy("date")
+    g = panel.spine(t.monthly(spark, d)).withColumn("x", 100 * F.log(F.col("value") / F.lag("value").over(w))).where("x is not null")
+    return g.join(g.groupBy("date").agg(F.avg("x").alias("m")), "date").select("key", "date", "x", "m")
+
+
+def wide(pdf: pd.DataFrame, value: str = "x") -> tuple[np.ndarray, list[str]]:
+    w = pdf.pivot(index="date", columns="key", values=value).sort_index()
+    return w.to_numpy(), list(w.columns)
+
+
+def standard(y: np.ndarray) -> np.ndarray:
+    sd = np.nanstd(y, axis=0, ddof=1)
+    return (y - np.nanmean(y, axis=0)) / np.where(sd > 0, sd, 1)
+
+
+@query()
+def hac_wald_gate(spark: S, d: str) -> DataFrame:
+    """Per series: regression on the panel mean and its lags, HAC covariance, Wald test that all slopes are 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y, m = pdf["x"].to_numpy(), pdf["m"].to_numpy()
+        x = np.column_stack([np.ones(len(y) - 2), m[2:], m[1:-1], m[:-2]])
+        beta, e, inverse = kernels.ols(y[2:], x)
+        stat, p = kernels.wald(beta, kernels.hac(x, e, inverse), np.eye(4)[1:])
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "slope": [beta[1]], "wald": [stat], "p": [p], "keep": [p < 0.1]})
+
+    return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, slope double, wald double, p double, keep boolean")
+
+
+@query()
+def unit_roots(spark: S, d: str) -> DataFrame:
+    """Dickey-Fuller and KPSS statistics and the first autocorrelations of each series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("date")["x"].to_numpy()
+        tau, lags = kernels.adf(y)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "adf": [tau], "lags": [lags], "kpss": [kernels.kpss(y)], "acf1": [kernels.acf(y, 1)[1]], "pacf2": [kernels.pacf(y, 2)[2]]})
+
+    return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, adf double, lags int, kpss double, acf1 double, pacf2 double")
+
+
+@query()
+def umidas(spark: S, d: str) -> DataFrame:
+    """Quarterly growth on the monthly lags of the panel mean, for each as-of stage (months of the quarter known)."""
+    m = growth_rows(spark, d).groupBy("date").agg(F.first("m").alias("m"))
+    stacked = m.select((F.year("date") * 4 + F.quarter("date") - 1).alias("q_index"), (2 - (F.month("date") - 1) % 3).alias("k"), "m").groupBy("q_index").pivot("k", [0, 1, 2]).agg(F.first("m"))
+    rows = t.growth(spark, d).join(stacked, "q_index").where("growth is not null").select("q_index", "growth", F.col("0").alias("k0"), F.col("1").alias("k1"), F.col("2").alias("k2"))
+    stages = rows.withColumn("stage", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stage = int(pdf["stage"].iloc[0])
+        pdf = pdf.dropna().sort_values("q_index")
+        y = pdf["growth"].to_numpy()
+        lags = pdf[["k2", "k1", "k0"][:stage]].to_numpy()
+        x = np.column_stack([np.ones(len(y)), lags.mean(1) if stage == 3 else lags])
+        out = []
+        for n in range(12, len(y)):  # each forecast from the quarters before it alone
+            beta, _, _ = kernels.ols(y[:n], x[:n])
+            out.append((stage, int(pdf["q_index"].iloc[n]), float(x[n] @ beta), float(y[n]), float(y[:n].mean())))
+        return pd.DataFrame(out, columns=["stage", "q_index", "forecast", "actual", "naive"])
+
+    return stages.groupBy("stage").applyInPandas(run, "stage int, q_index int, forecast double, actual double, naive double")
+
+
+def monthly_panel(spark: S, d: str) -> DataFrame:
+    return growth_rows(spark, d).join(t.registry(spark, d).select("key", "category"), "key")
+
+
+@query()
+def pca_factors(spark: S, d: str) -> DataFrame:
+    """First two principal factors of each category's series, their variance shares, the chosen number of factors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        y = np.nan_to_num(standard(y))
+        r = min(2, len(keys))
+        if len(keys) < 2:
+            return pd.DataFrame({"category": [], "key": [], "factor": [], "loading": [], "share": [], "chosen": []})
+        _, loadings, share = kernels.principal(y, r)
+        chosen = kernels.factor_count(y, min(3, len(keys) - 1))
+        return pd.DataFrame([(pdf["category"].iloc[0], k, j, loadings[i, j], share[j], chosen) for i, k in enumerate(keys) for j in range(r)], columns=["category", "key", "factor", "loading", "share", "chosen"])
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, key string, factor int, loading double, share double, chosen int")
+
+
+@query()
+def real_time_factor(spark: S, d: str) -> DataFrame:
+    """EM dynamic factor of each category: filtered (no look-ahead) and smoothed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        fit = kernels.em_factor(standard(y), 1, 20) if len(keys) > 1 else None
+        dates = sorted(pdf["date"].unique())
+        f, s = (fit["filtered"][:, 0], fit["smoothed"][:, 0]) if fit else (standard(y)[:, 0], standard(y)[:, 0])
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "date": dates, "filtered": f, "smoothed": s})
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, date date, filtered double, smoothed double")
+
+
+@query()
+def factor_news(spark: S, d: str) -> DataFrame:
+    """What the last three months' cells of each series change in the expected value of the category's first series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        y = standard(y)
+        if len(keys) < 2:
+            return pd.DataFrame({"category": [], "key": [], "impact": []})
+        old = y.copy()
+        old[-3:] = np.nan
+        impact = kernels.news(old, y, kernels.em_factor(old, 1, 20), len(y) - 1, 0)
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "key": keys, "impact": [impact[k] for k in range(len(keys))]})
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, key string, impact double")
+
+
+@query()
+def gibbs_chains(spark: S, d: str) -> DataFrame:
+    """Bayesian factor of each category by parallel chains: a chain is a grouping key, its seed comes from it."""
+    chains = monthly_panel(spark, d).withColumn("seed", F.explode(F.array(*map(F.lit, range(3)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        got = kernels.gibbs_factor(standard(y), 25, 15, int(pdf["seed"].iloc[0])) if len(keys) > 1 else None
+        if got is None:
+            return pd.DataFrame({"category": [], "seed": [], "point": [], "p16": [], "p84": [], "vol": []})
+        low, high = np.percentile(got["draws"], [16, 84])
+        return pd.DataFrame({"category": [pdf["category"].iloc[0]], "seed": [int(pdf["seed"].iloc[0])], "point": [float(np.median(got["draws"]))], "p16": [low], "p84": [high], "vol": [float(got["vol"].mean())]})
+
+    return chains.groupBy("category", "seed").applyInPandas(run, "category string, seed int, point double, p16 double, p84 double, vol double")
