@@ -46,9 +46,11 @@ PATHS = 4
 #: Strength and discount by the length of the context.
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
 DISCOUNT = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.7)
+#: n-grams that one task samples together, about.
+BUCKET_KEYS = 150_000
 ROUNDS = 2
 BURN = 2
-SAMPLES = 4
+SAMPLES = 3
 PART_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
 END_KEY = xxhash.xxh3_64_intdigest(b" end")  # no word has a space
@@ -69,13 +71,14 @@ def stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    y = x.astype(float)
-    for _ in range(10):
-        low = y < 10
-        shift[low] -= np.log(y[low])
-        y = np.where(low, y + 1, y)
-    return shift + (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    y = np.array(x, float)
+    small = np.flatnonzero(y < 10)
+    shift = np.prod(y[small, None] + np.arange(10), axis=1)
+    y[small] += 10
+    r = 1 / y
+    out = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r / 12 - r**3 / 360 + r**5 / 1260
+    out[small] -= np.log(shift)
+    return out
 
 
 def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -315,32 +318,35 @@ def _top_sample(c1: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _subtree(context: int, top: np.ndarray, seed: int, probabilities: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Samples the subtrees of one bucket together: their restaurants don't meet below the top."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        end = key[0].as_py()
         keys, n = counted(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
         tree = Subtree(keys, n, 2, context)
-        last = end & 0xFF
-        symbol = (tree.top() & np.uint64(0xFF)).astype(np.int64)
+        pair = (tree.top() & np.uint64(0xFFFF)).astype(np.int64)  # last byte of the context, symbol
+        draw = seed * 1_000_003 + key[0].as_py()
         if probabilities:
-            tree.sampled(top[last][symbol], seed * 65536 + end)
+            tree.sampled(top.reshape(-1)[pair], draw)
             return pa.table({"key": keys.view(np.int64), "value": np.log10(tree.p[0])})
-        tree.sampled(top[last][symbol], seed * 65536 + end, BURN, 1)
-        customers = np.bincount(symbol, tree.levels[-1].t, 256).astype(np.int64)
+        tree.sampled(top.reshape(-1)[pair], draw, 1, 1)
+        customers = np.bincount(pair, tree.levels[-1].t, 65536).astype(np.int64)
         own = np.flatnonzero(customers)
-        return pa.table({"last": np.full(len(own), last, np.int32), "symbol": own.astype(np.int32), "n": customers[own]})
+        return pa.table({"pair": own.astype(np.int32), "n": customers[own]})
 
     return run
 
 
 def probabilities(grams: DataFrame, context: int = CONTEXT, rounds: int = ROUNDS) -> DataFrame:
     """(key, value): log10 of the averaged predictive probability of each n-gram's last byte; grams: key, n (0: not trained on)."""
-    grouped = grams.withColumn("end", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")).groupBy("end")
+    buckets = max(1, -(-grams.count() // BUCKET_KEYS))
+    end = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    grouped = grams.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)).cast("int")).groupBy("bucket")
     top = np.full((256, 256), 1 / SYMBOLS)
     for k in range(rounds):
-        seated = grouped.applyInArrow(_subtree(context, top, k, False), "last int, symbol int, n bigint")
-        c1 = np.zeros((256, 256), np.int64)
-        for r in seated.groupBy("last", "symbol").agg(F.sum("n").alias("n")).collect():  # at most 256 x 256
-            c1[r["last"], r["symbol"]] = r["n"]
+        seated = grouped.applyInArrow(_subtree(context, top, k, False), "pair int, n bigint")
+        c1 = np.zeros(65536, np.int64)
+        for r in seated.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 256 x 256
+            c1[r["pair"]] = r["n"]
         top = _top_sample(c1, k)
     return grouped.applyInArrow(_subtree(context, top, rounds, True), "key bigint, value double")
 
