@@ -82,7 +82,10 @@ def umidas(spark: S, d: str) -> DataFrame:
 
 
 def monthly_panel(spark: S, d: str) -> DataFrame:
-    return growth_rows(spark, d).join(t.registry(spark, d).select("key", "category"), "key")
+    """Growth of series with their category; categories of one series have no common factor and are left out."""
+    rows = growth_rows(spark, d).join(t.registry(spark, d).select("key", "category"), "key")
+    several = rows.groupBy("category").agg(F.count_distinct("key").alias("n")).where("n > 1").select("category")
+    return rows.join(several, "category", "left_semi")
 
 
 @query()
@@ -93,8 +96,6 @@ def pca_factors(spark: S, d: str) -> DataFrame:
         y, keys = wide(pdf)
         y = np.nan_to_num(standard(y))
         r = min(2, len(keys))
-        if len(keys) < 2:
-            return pd.DataFrame({"category": [], "key": [], "factor": [], "loading": [], "share": [], "chosen": []})
         _, loadings, share = kernels.principal(y, r)
         chosen = kernels.factor_count(y, min(3, len(keys) - 1))
         return pd.DataFrame([(pdf["category"].iloc[0], k, j, loadings[i, j], share[j], chosen) for i, k in enumerate(keys) for j in range(r)], columns=["category", "key", "factor", "loading", "share", "chosen"])
@@ -107,10 +108,10 @@ def real_time_factor(spark: S, d: str) -> DataFrame:
     """EM dynamic factor of each category: filtered (no look-ahead) and smoothed."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, keys = wide(pdf)
-        fit = kernels.em_factor(standard(y), 1, 20) if len(keys) > 1 else None
+        y, _ = wide(pdf)
+        fit = kernels.em_factor(standard(y), 1, 20)
         dates = sorted(pdf["date"].unique())
-        f, s = (fit["filtered"][:, 0], fit["smoothed"][:, 0]) if fit else (standard(y)[:, 0], standard(y)[:, 0])
+        f, s = fit["filtered"][:, 0], fit["smoothed"][:, 0]
         return pd.DataFrame({"category": pdf["category"].iloc[0], "date": dates, "filtered": f, "smoothed": s})
 
     return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, date date, filtered double, smoothed double")
@@ -123,8 +124,6 @@ def factor_news(spark: S, d: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, keys = wide(pdf)
         y = standard(y)
-        if len(keys) < 2:
-            return pd.DataFrame({"category": [], "key": [], "impact": []})
         old = y.copy()
         old[-3:] = np.nan
         impact = kernels.news(old, y, kernels.em_factor(old, 1, 20), len(y) - 1, 0)
@@ -139,10 +138,8 @@ def gibbs_chains(spark: S, d: str) -> DataFrame:
     chains = monthly_panel(spark, d).withColumn("seed", F.explode(F.array(*map(F.lit, range(3)))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, keys = wide(pdf)
-        got = kernels.gibbs_factor(standard(y), 25, 15, int(pdf["seed"].iloc[0])) if len(keys) > 1 else None
-        if got is None:
-            return pd.DataFrame({"category": [], "seed": [], "point": [], "p16": [], "p84": [], "vol": []})
+        y, _ = wide(pdf)
+        got = kernels.gibbs_factor(standard(y), 25, 15, int(pdf["seed"].iloc[0]))
         low, high = np.percentile(got["draws"], [16, 84])
         return pd.DataFrame({"category": [pdf["category"].iloc[0]], "seed": [int(pdf["seed"].iloc[0])], "point": [float(np.median(got["draws"]))], "p16": [low], "p84": [high], "vol": [float(got["vol"].mean())]})
 

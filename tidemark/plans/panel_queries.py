@@ -85,7 +85,7 @@ def standardise(spark: S, d: str) -> DataFrame:
 @query("""select key, date, coalesce(value, va + (date - da) / cast(db - da as double) * (vb - va)) as filled, value is null as was_missing from (
     select *, last_value(case when value is not null then date end ignore nulls) over b as da, last_value(value ignore nulls) over b as va,
     first_value(case when value is not null then date end ignore nulls) over f as db, first_value(value ignore nulls) over f as vb from panel
-    window b as (partition by key order by date rows between unbounded preceding and current row), f as (partition by key order by date rows between current row and unbounded following))""", levels=("filled",))
+    window b as (partition by key order by date rows between unbounded preceding and current row), f as (partition by key order by date rows between current row and unbounded following))""", ratios=("filled",))
 def interpolate_gaps(spark: S, d: str) -> DataFrame:
     """Interior gaps, linear in days; ends stay missing."""
     return panel.interpolated(gappy(spark, d)).select("key", "date", "filled", F.col("value").isNull().alias("was_missing"))
@@ -236,7 +236,7 @@ def upsert_rows(spark: S, d: str) -> DataFrame:
     return joins.upsert(r.select("key", "date", F.col("first").alias("value")), fresh, ["key", "date"])
 
 
-@query("select key, cast(year(date) * 4 + quarter(date) - 1 as integer) as q_index, avg(value) as value, count(value) as months from panel group by 1, 2", levels=("value",))
+@query("select key, cast(year(date) * 4 + quarter(date) - 1 as integer) as q_index, avg(value) as value, count(value) as months from panel group by 1, 2", ratios=("value",))
 def to_quarters(spark: S, d: str) -> DataFrame:
     """Monthly to quarterly means with the number of months that have data."""
     return gappy(spark, d).groupBy("key", (F.year("date") * 4 + F.quarter("date") - 1).alias("q_index")).agg(F.avg("value").alias("value"), F.count("value").alias("months"))
@@ -261,7 +261,7 @@ def broken_runs(spark: S, d: str) -> DataFrame:
 
 
 @query("""select key, date, case when date between date '1997-03-01' and date '1997-07-01' then null else value end as masked, coalesce(value, avg(value) over (partition by key)) as mean_filled,
-    coalesce(value, median(value) over (partition by key)) as median_filled, coalesce(value, 0) as zero_filled from panel""", levels=("masked", "mean_filled", "median_filled", "zero_filled"))
+    coalesce(value, median(value) over (partition by key)) as median_filled, coalesce(value, 0) as zero_filled from panel""", levels=("masked", "zero_filled"), ratios=("mean_filled", "median_filled"))
 def mask_and_impute(spark: S, d: str) -> DataFrame:
     """A window of months masked for all series; mean, median and zero imputation."""
     w = Window.partitionBy("key")
