@@ -45,7 +45,7 @@ EXACT = 40
 PATHS = 4
 #: Strength and discount by the length of the context.
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
-DISCOUNT = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.7)
+DISCOUNT = (0.1, 0.2, 0.4, 0.6, 0.7, 0.8, 0.85, 0.85)
 #: n-grams that one task samples together, about.
 BUCKET_KEYS = 150_000
 ROUNDS = 2
