@@ -90,3 +90,11 @@ def test_gibbs_follows_the_factor():
     got = k.gibbs_factor(y, 40, 20, 1)
     assert abs(np.corrcoef(got["factor"], f)[0, 1]) > 0.9 and np.all(got["vol"] > 0)
     assert np.array_equal(got["draws"], k.gibbs_factor(y, 40, 20, 1)["draws"])
+
+
+def test_bootstrap_tells_a_predictor_from_noise():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((80, 1))
+    stat, draws = k.bootstrap_mse_f(2 * x[:, 0] + rng.standard_normal(80), x, 50, 20, 0)
+    assert (draws > stat).mean() < 0.06 and k.mse_f(np.ones(4), np.ones(4)) == 0
+    assert k.stable_rank(np.array([1.0, 7.0, 6.5, 7.0]), 6.25).tolist() == [1, 3, 2]

@@ -292,3 +292,29 @@ def gibbs_factor(y: np.ndarray, draws: int = 60, burn: int = 30, seed: int = 0)
             total += x
             last.append(float(x[-1] * f[0, 0] * h[0, 0]))
     return {"factor": total / draws, "draws": np.array(last), "loadings": h[:, 0], "vol": np.exp(logv / 2)}
+
+
+def mse_f(e1: np.ndarray, e2: np.ndarray) -> float:
+    """MSE-F statistic of a larger model's errors e2 against a nested one's e1."""
+    return float(len(e1) * ((e1**2).mean() - (e2**2).mean()) / (e2**2).mean())
+
+
+def one_step(y: np.ndarray, x: np.ndarray, start: int) -> np.ndarray:
+    """Errors of recursive one-step forecasts, each from the rows before."""
+    return np.array([y[t] - x[t] @ ols(y[:t], x[:t])[0] for t in range(start, len(y))])
+
+
+def bootstrap_mse_f(y: np.ndarray, x: np.ndarray, start: int, reps: int, seed: int) -> tuple[float, np.ndarray]:
+    """The statistic, and draws of it where x has no part in y: residuals of the mean model are resampled."""
+    rng = np.random.default_rng(seed)
+    ones = np.ones((len(y), 1))
+    full = np.column_stack([ones, x])
+    stat = lambda v: mse_f(one_step(v, ones, start), one_step(v, full, start))
+    e = y - y.mean()
+    return stat(y), np.array([stat(y.mean() + rng.choice(e, len(e))) for _ in range(reps)])
+
+
+def stable_rank(wald: np.ndarray, least: float) -> np.ndarray:
+    """Places of the statistics that reach the threshold, largest first, ties by place."""
+    order = np.argsort(-wald, kind="stable")
+    return order[wald[order] >= least]

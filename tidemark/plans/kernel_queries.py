@@ -144,3 +144,18 @@ def gibbs_chains(spark: S, d: str) -> DataFrame:
         return pd.DataFrame({"category": [pdf["category"].iloc[0]], "seed": [int(pdf["seed"].iloc[0])], "point": [float(np.median(got["draws"]))], "p16": [low], "p84": [high], "vol": [float(got["vol"].mean())]})
 
     return chains.groupBy("category", "seed").applyInPandas(run, "category string, seed int, point double, p16 double, p84 double, vol double")
+
+
+@query()
+def bootstrap_gain(spark: S, d: str) -> DataFrame:
+    """MSE-F of each series' panel-mean regression with its bootstrap chance; replications are grouping keys."""
+    reps = growth_rows(spark, d).withColumn("seed", F.explode(F.array(*map(F.lit, range(2)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        seed = int(pdf["seed"].iloc[0])
+        stat, draws = kernels.bootstrap_mse_f(pdf["x"].to_numpy(), pdf[["m"]].to_numpy(), len(pdf) - 20, 10, seed)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "stat": [stat], "above": [int((draws > stat).sum())], "reps": [len(draws)]})
+
+    each = reps.groupBy("key", "seed").applyInPandas(run, "key string, stat double, above int, reps int")
+    return each.groupBy("key").agg(F.first("stat").alias("stat"), (F.sum("above") / F.sum("reps")).alias("p"))
