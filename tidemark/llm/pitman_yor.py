@@ -28,7 +28,7 @@ the uniform probability and every base count is 0.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ BUCKET_KEYS = 150_000
 ROUNDS = 2
 BURN = 2
 SAMPLES = 3
-PART_BYTES = 32 << 20
-CHUNK_BYTES = 2 << 20
+PART_BYTES = 28 << 20
+CHUNK_BYTES = 1 << 20
 END_KEY = xxhash.xxh3_64_intdigest(b" end")  # no word has a space
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 0x3F if c >= END else c for c in range(256))
@@ -269,7 +269,7 @@ class Lookup:
         return out
 
 
-def _chunks(rows: list[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
+def _chunks(rows: Iterable[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     part, held = [], 0
     for row in rows:
         part.append(row)
@@ -289,7 +289,7 @@ def _units(context: int) -> Callable[[pa.Table], pa.Table]:
         hashes = Hashes()
         found: dict[int, list] = {0: [], 1: []}
         rows = zip((x.as_py() for x in table.column("raw")), table.column("held").to_pylist(), strict=True)
-        for chunk in _chunks(list(rows)):
+        for chunk in _chunks(rows):
             for held in (False, True):
                 texts = [t for t, h in chunk if h == held]
                 if texts:
@@ -373,10 +373,11 @@ def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str =
         find, has = {}, {}
         for kind in (0, 1):
             find[kind], has[kind] = Lookup(keys[kinds == kind]), value[kinds == kind]
+        del known, kinds, keys, value
         hashes = Hashes()
         out: list[tuple] = []
         rows = zip((x.as_py() for x in batch.column("raw")), batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), strict=True)
-        for chunk in _chunks(list(rows)):
+        for chunk in _chunks(rows):
             keys, begin = windows([sequence(t) for t, _, _ in chunk], context)
             score = np.add.reduceat(has[1][find[1].of(keys)], begin)
             end = np.array([END_KEY], np.uint64)
