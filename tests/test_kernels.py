@@ -98,3 +98,11 @@ def test_bootstrap_tells_a_predictor_from_noise():
     stat, draws = k.bootstrap_mse_f(2 * x[:, 0] + rng.standard_normal(80), x, 50, 20, 0)
     assert (draws > stat).mean() < 0.06 and k.mse_f(np.ones(4), np.ones(4)) == 0
     assert k.stable_rank(np.array([1.0, 7.0, 6.5, 7.0]), 6.25).tolist() == [1, 3, 2]
+
+
+def test_bootstrap_errors_are_the_recursive_ones():
+    rng = np.random.default_rng(2)
+    y, x = rng.standard_normal(60), np.column_stack([np.ones(60), rng.standard_normal(60)])
+    assert np.allclose(k.one_step_matrix(x, 40) @ y, k.one_step(y, x, 40))
+    stat, _ = k.bootstrap_mse_f(y, x[:, 1:], 40, 1, 0)
+    assert math.isclose(stat, k.mse_f(k.one_step(y, x[:, :1], 40), k.one_step(y, x, 40)), rel_tol=1e-9)

@@ -61,3 +61,13 @@ def test_library_does_not_need_the_corpus_folder():
 
     root = Path(registry.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"tidemark\.llm", p.read_text())]
+
+
+def test_bootstrap_has_the_references_replications(spark):
+    """Chances are shares of 1,000 replications, all different, however they are dealt over seeds."""
+    from tidemark.plans import kernel_queries
+
+    p = [r.p * 1000 for r in kernel_queries.bootstrap_gain(spark, SF).collect()]
+    assert all(abs(v - round(v)) < 1e-9 for v in p) and any(round(v) % 50 for v in p)
+    few = [r.p * 7 for r in kernel_queries.bootstrapped(spark, SF, 7, 3).collect()]
+    assert all(abs(v - round(v)) < 1e-9 for v in few)

@@ -304,14 +304,24 @@ def one_step(y: np.ndarray, x: np.ndarray, start: int) -> np.ndarray:
     return np.array([y[t] - x[t] @ ols(y[:t], x[:t])[0] for t in range(start, len(y))])
 
 
+def one_step_matrix(x: np.ndarray, start: int) -> np.ndarray:
+    """The matrix that maps y to the errors of one_step(y, x, start): they are linear in y."""
+    out = np.zeros((len(x) - start, len(x)))
+    for t in range(start, len(x)):
+        out[t - start, :t] = -x[t] @ np.linalg.pinv(x[:t])
+        out[t - start, t] = 1
+    return out
+
+
 def bootstrap_mse_f(y: np.ndarray, x: np.ndarray, start: int, reps: int, seed: int) -> tuple[float, np.ndarray]:
     """The statistic, and draws of it where x has no part in y: residuals of the mean model are resampled."""
     rng = np.random.default_rng(seed)
     ones = np.ones((len(y), 1))
-    full = np.column_stack([ones, x])
-    stat = lambda v: mse_f(one_step(v, ones, start), one_step(v, full, start))
+    small, full = one_step_matrix(ones, start), one_step_matrix(np.column_stack([ones, x]), start)
     e = y - y.mean()
-    return stat(y), np.array([stat(y.mean() + rng.choice(e, len(e))) for _ in range(reps)])
+    draws = np.array([y.mean() + rng.choice(e, len(e)) for _ in range(reps)])
+    stats = [mse_f(small @ v, full @ v) for v in (y, *draws)]
+    return stats[0], np.array(stats[1:])
 
 
 def stable_rank(wald: np.ndarray, least: float) -> np.ndarray:

@@ -13,6 +13,10 @@ from tidemark.sources import tables as t
 
 S = SparkSession
 
+#: Bootstrap replications of a series, as in the reference, and the groups (seeds) they are spread over.
+BOOTSTRAP_REPS = 1000
+BOOTSTRAP_SEEDS = 10
+
 
 def growth_rows(spark: S, d: str) -> DataFrame:
     """Monthly growth of each series with the panel's mean growth, ready for regressions."""
@@ -146,16 +150,22 @@ def gibbs_chains(spark: S, d: str) -> DataFrame:
     return chains.groupBy("category", "seed").applyInPandas(run, "category string, seed int, point double, p16 double, p84 double, vol double")
 
 
-@query()
-def bootstrap_gain(spark: S, d: str) -> DataFrame:
-    """MSE-F of each series' panel-mean regression with its bootstrap chance; replications are grouping keys."""
-    reps = growth_rows(spark, d).withColumn("seed", F.explode(F.array(*map(F.lit, range(2)))))
+def bootstrapped(spark: S, d: str, replications: int = BOOTSTRAP_REPS, seeds: int = BOOTSTRAP_SEEDS) -> DataFrame:
+    """(key, stat, p): (key, seed) groups share the replications."""
+    reps = growth_rows(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         seed = int(pdf["seed"].iloc[0])
-        stat, draws = kernels.bootstrap_mse_f(pdf["x"].to_numpy(), pdf[["m"]].to_numpy(), len(pdf) - 20, 10, seed)
+        own = replications // seeds + (seed < replications % seeds)
+        stat, draws = kernels.bootstrap_mse_f(pdf["x"].to_numpy(), pdf[["m"]].to_numpy(), len(pdf) - 20, own, seed)
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "stat": [stat], "above": [int((draws > stat).sum())], "reps": [len(draws)]})
 
     each = reps.groupBy("key", "seed").applyInPandas(run, "key string, stat double, above int, reps int")
     return each.groupBy("key").agg(F.first("stat").alias("stat"), (F.sum("above") / F.sum("reps")).alias("p"))
+
+
+@query()
+def bootstrap_gain(spark: S, d: str) -> DataFrame:
+    """MSE-F of each series' panel-mean regression with its bootstrap chance; replications are grouping keys."""
+    return bootstrapped(spark, d)
