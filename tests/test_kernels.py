@@ -106,3 +106,9 @@ def test_bootstrap_errors_are_the_recursive_ones():
     assert np.allclose(k.one_step_matrix(x, 40) @ y, k.one_step(y, x, 40))
     stat, _ = k.bootstrap_mse_f(y, x[:, 1:], 40, 1, 0)
     assert math.isclose(stat, k.mse_f(k.one_step(y, x[:, :1], 40), k.one_step(y, x, 40)), rel_tol=1e-9)
+
+
+def test_gibbs_thins_after_the_burn_in():
+    y, _ = simulated(40, 2)
+    every, third = k.gibbs_factor(y, 12, 5, 1), k.gibbs_factor(y, 4, 5, 1, thin=3)
+    assert np.array_equal(every["draws"][2::3], third["draws"])

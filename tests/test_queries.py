@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from tidemark.plans import registry
 
@@ -71,3 +72,15 @@ def test_bootstrap_has_the_references_replications(spark):
     assert all(abs(v - round(v)) < 1e-9 for v in p) and any(round(v) % 50 for v in p)
     few = [r.p * 7 for r in kernel_queries.bootstrapped(spark, SF, 7, 3).collect()]
     assert all(abs(v - round(v)) < 1e-9 for v in few)
+
+
+def test_chains_have_the_references_short_length(spark):
+    """Each seed's quantiles are those of 200 draws after 100 sweeps."""
+    from tidemark.plans import kernel_queries
+
+    got = {(r.category, r.seed): r for r in registry.queries()["gibbs_chains"](spark, SF).collect()}
+    assert {s for _, s in got} == {0, 1, 2}
+    y, _ = kernel_queries.wide(kernel_queries.monthly_panel(spark, SF).where("category = 'AFRICA'").toPandas())
+    draws = kernel_queries.kernels.gibbs_factor(kernel_queries.standard(y), 200, 100, 1)["draws"]
+    r = got["AFRICA", 1]
+    assert len(draws) == 200 and all(math.isclose(a, b, abs_tol=1e-4) for a, b in zip((r.p16, r.point, r.p84), np.percentile(draws, [16, 50, 84]), strict=True))

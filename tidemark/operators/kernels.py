@@ -256,18 +256,19 @@ def simulate_states(y: np.ndarray, h: np.ndarray, f: np.ndarray, q: np.ndarray,
     return out
 
 
-def gibbs_factor(y: np.ndarray, draws: int = 60, burn: int = 30, seed: int = 0) -> dict:
+def gibbs_factor(y: np.ndarray, draws: int = 60, burn: int = 30, seed: int = 0, thin: int = 1) -> dict:
     """Gibbs for a one-factor model with stochastic volatility of the factor by a random walk in log variance.
 
     States, loadings, noise and the autoregression are drawn from their conditionals; the log variances by
-    Metropolis steps, one a time. Returns means, and draws of the last state.
+    Metropolis steps, one a time. Returns means, and draws of the last state: `draws` of
+    them, one every `thin` sweeps after `burn`.
     """
     rng = np.random.default_rng(seed)
     fit = em_factor(y, 1, 15)
     h, f, noise = fit["h"].copy(), fit["f"].copy(), fit["noise"].copy()
     logv = np.full(len(y), math.log(max(float(fit["q"][0, 0]), 1e-4)))
     total, last = np.zeros(len(y)), []
-    for s in range(draws + burn):
+    for s in range(burn + draws * thin):
         q = np.array([[float(np.exp(logv).mean())]])
         x = simulate_states(y, h, f, q, np.diag(noise), rng)[:, 0]
         for i in range(y.shape[1]):
@@ -288,7 +289,7 @@ def gibbs_factor(y: np.ndarray, draws: int = 60, burn: int = 30, seed: int = 0)
                 logv[t] = new
         if h.sum() < 0:
             h, x = -h, -x
-        if s >= burn:
+        if s >= burn and (s - burn + 1) % thin == 0:
             total += x
             last.append(float(x[-1] * f[0, 0] * h[0, 0]))
     return {"factor": total / draws, "draws": np.array(last), "loadings": h[:, 0], "vol": np.exp(logv / 2)}

@@ -13,6 +13,9 @@ from tidemark.sources import tables as t
 
 S = SparkSession
 
+#: Lengths of a chain, as in the reference: its short one, which the query runs, and production's.
+SHORT = {"draws": 200, "burn": 100, "thin": 1}
+PRODUCTION = {"draws": 10_000, "burn": 8_000, "thin": 2}
 #: Bootstrap replications of a series, as in the reference, and the groups (seeds) they are spread over.
 BOOTSTRAP_REPS = 1000
 BOOTSTRAP_SEEDS = 10
@@ -136,18 +139,23 @@ def factor_news(spark: S, d: str) -> DataFrame:
     return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, key string, impact double")
 
 
-@query()
-def gibbs_chains(spark: S, d: str) -> DataFrame:
-    """Bayesian factor of each category by parallel chains: a chain is a grouping key, its seed comes from it."""
-    chains = monthly_panel(spark, d).withColumn("seed", F.explode(F.array(*map(F.lit, range(3)))))
+def chains(spark: S, d: str, draws: int, burn: int, thin: int, seeds: int = 3) -> DataFrame:
+    """(category, seed, point, p16, p84, vol): a chain is a grouping key, its seed comes from it."""
+    groups = monthly_panel(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, _ = wide(pdf)
-        got = kernels.gibbs_factor(standard(y), 25, 15, int(pdf["seed"].iloc[0]))
+        got = kernels.gibbs_factor(standard(y), draws, burn, int(pdf["seed"].iloc[0]), thin)
         low, high = np.percentile(got["draws"], [16, 84])
         return pd.DataFrame({"category": [pdf["category"].iloc[0]], "seed": [int(pdf["seed"].iloc[0])], "point": [float(np.median(got["draws"]))], "p16": [low], "p84": [high], "vol": [float(got["vol"].mean())]})
 
-    return chains.groupBy("category", "seed").applyInPandas(run, "category string, seed int, point double, p16 double, p84 double, vol double")
+    return groups.groupBy("category", "seed").applyInPandas(run, "category string, seed int, point double, p16 double, p84 double, vol double")
+
+
+@query()
+def gibbs_chains(spark: S, d: str) -> DataFrame:
+    """Bayesian factor of each category by parallel chains of the short length."""
+    return chains(spark, d, **SHORT)
 
 
 def bootstrapped(spark: S, d: str, replications: int = BOOTSTRAP_REPS, seeds: int = BOOTSTRAP_SEEDS) -> DataFrame:
