@@ -114,3 +114,40 @@ def test_held_out_perplexity_falls_with_context():
     assert by_context == sorted(by_context)
     source = 8000 * (math.log10(6) + 3.5 * math.log10(8))  # a length and its syllables, for each word
     assert -by_context[-1] < 1.15 * source
+
+
+def test_tables_of_frequent_dishes_at_the_querys_discounts():
+    """Beyond EXACT customers, as registered: mean and spread of the exact conditional."""
+    n = 5_000
+    for d in py.DISCOUNT[:6] + (0.85,):
+        for c in (41, 400, 1500):
+            s = py.stirling(d, c)[c, 1:]
+            t = np.arange(1, c + 1)
+            for others, p in ((3, 0.1), (200, 0.02), (50, 0.5)):
+                logit = s + np.cumsum(np.log(1 + d * (others + t - 1))) + t * np.log(p)
+                want = np.exp(logit - logit.max())
+                want /= want.sum()
+                mean = (t * want).sum()
+                sd = ((t - mean) ** 2 @ want) ** 0.5
+                got = py._paths(np.full(n, c), np.full(n, others), np.full(n, p), 1.0, d, np.random.default_rng(c))
+                assert abs(got.mean() - mean) < 0.1 * sd + 0.02 and abs(got.std() / sd - 1) < 0.12
+
+
+def test_seating_is_carried_on_and_settles():
+    """A chain in two parts goes on where it stopped; held-out score and tables hardly move beyond the query's sweeps."""
+    rng = np.random.default_rng(1)
+    syllables = ["ka", "tor", "mi", "shen", "lo", "bra", "ti", "un"]
+    text = lambda: " ".join("".join(rng.choice(syllables, rng.integers(1, 7))) for _ in range(80)).encode()
+    k, n = py.counted(py.windows([py.sequence(text()) for _ in range(400)], 5)[0])
+    above = lambda tree: np.full(len(tree.top()), 1 / py.SYMBOLS)
+    tree, again = py.Subtree(k, n, 0, 5), py.Subtree(k, n, 0, 5)
+    total = py.BURN + (py.ROUNDS - 1) * py.AGAIN
+    tree.sampled(above(tree), 0, total - 1, 1)
+    again.seated(tree.seats())
+    assert all(np.array_equal(a.t, b.t) and np.array_equal(a.c, b.c) for a, b in zip(tree.levels, again.levels, strict=True))
+    again.sampled(above(again), 1, py.AGAIN, py.SAMPLES, tree.seats())
+    after = again.seats()
+    score, tables = np.log10(again.p[0]) @ n, [int(x.t.sum()) for x in again.levels]
+    again.sampled(above(again), 2, 30, py.SAMPLES, after)
+    assert abs(np.log10(again.p[0]) @ n / score - 1) < 2e-3
+    assert all(abs(int(x.t.sum()) / m - 1) < 0.15 for x, m in zip(again.levels, tables, strict=True))

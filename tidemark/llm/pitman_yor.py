@@ -8,9 +8,10 @@ parent is uniform: contexts with equal ends share parents.
 
 Seating is sampled by Gibbs in blocks: the number of tables of one dish in one
 restaurant, given all the rest. Up to `EXACT` customers its conditional is
-exact (generalised Stirling numbers); beyond, `PATHS` seatings are drawn by
-waiting times between new tables and one is chosen by its weight. Tables are
-the parent's customers. Predictive parts are averaged over samples.
+exact (generalised Stirling numbers from a table); beyond, the numbers come from
+a series and a saddle point, and 2 x `PATHS` steps about the likeliest number of
+tables are weighed. Tables are the parent's customers. Predictive parts are
+averaged over samples. A subtree's seating is carried on from round to round.
 
 How it is spread: counts of (context, next byte) are summed by Spark; contexts
 that end in the same two bytes make a subtree whose restaurants are sampled in
@@ -28,6 +29,7 @@ the uniform probability and every base count is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,15 +44,18 @@ CONTEXT = 5
 SYMBOLS = 255
 PAD, END = 0xFF, 0xFE
 EXACT = 40
-PATHS = 4
+#: Steps to each side of the likeliest number of tables.
+PATHS = 16
 #: Strength and discount by the length of the context.
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
 DISCOUNT = (0.1, 0.2, 0.4, 0.6, 0.7, 0.8, 0.85, 0.85)
 #: n-grams that one task samples together, about.
 BUCKET_KEYS = 150_000
 ROUNDS = 2
-BURN = 2
-SAMPLES = 3
+#: Sweeps from the first seating; sweeps more after each change of the top; samples that are averaged.
+BURN = 20
+AGAIN = 4
+SAMPLES = 4
 PART_BYTES = 28 << 20
 CHUNK_BYTES = 1 << 20
 END_KEY = xxhash.xxh3_64_intdigest(b" end")  # no word has a space
@@ -71,14 +76,14 @@ def stirling(discount: float, most: int = EXACT) -> np.ndarray:
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    y = np.array(x, float)
+    y = np.array(x, float).reshape(-1)
     small = np.flatnonzero(y < 10)
     shift = np.prod(y[small, None] + np.arange(10), axis=1)
     y[small] += 10
     r = 1 / y
     out = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r / 12 - r**3 / 360 + r**5 / 1260
     out[small] -= np.log(shift)
-    return out
+    return out.reshape(np.shape(x))
 
 
 def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -86,44 +91,109 @@ def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: floa
     out = np.minimum(c, 1)
     for low, high in ((2, 5), (5, 13), (13, EXACT + 1)):
         rows = np.flatnonzero((c >= low) & (c < high))
-        for part in np.array_split(rows, max(1, len(rows) // 40_000)) if len(rows) else ():
-            t = np.arange(high - 1)
-            gain = np.cumsum(np.log(strength + discount * (others[part, None] + t)), 1) + (t + 1) * np.log(parent[part, None])
-            logit = table[c[part], 1:high] + gain
-            logit -= logit.max(1, keepdims=True)
-            chance = np.exp(logit)
-            out[part] = 1 + (np.cumsum(chance, 1) < rng.random(len(part))[:, None] * chance.sum(1, keepdims=True)).sum(1)
+        ways = np.ascontiguousarray(table[:, 1:high].T)
+        t = np.arange(high - 1)[:, None]
+        for part in np.array_split(rows, max(1, len(rows) // 4_000)) if len(rows) else ():
+            logit = np.cumsum(np.log(strength + discount * (others[part] + t)) + np.log(parent[part]), 0) + ways[:, c[part]]
+            chance = np.cumsum(np.exp(logit - logit.max(0)), 0)
+            out[part] = 1 + (chance < rng.random(len(part)) * chance[-1]).sum(0)
     rows = np.flatnonzero(c > EXACT)
     if len(rows):
         out[rows] = _paths(c[rows], others[rows], parent[rows], strength, discount, rng)
     return out
 
 
+class Stirling:
+    """log S(c, t) of many customers, up to a constant for each c, without the table.
+
+    S(c, t) is c!/t! times the coefficient of z**c in ((1 - (1 - z)**d) / d)**t. Up to c**d tables the binomial
+    series is summed; beyond it's the saddle point's value, moved to meet the series there.
+    """
+
+    POINTS, DEEPEST, TERMS = 1 << 14, 22.0, 24
+
+    def __init__(self, discount: float) -> None:
+        self.d = discount
+        y = np.concatenate([np.linspace(1e-9, 1, 20_000), np.linspace(1, 400, 200_000)[1:]])
+        m = np.log(np.maximum(self._at(y)[2], 1))
+        self.place = np.interp(np.linspace(0, self.DEEPEST, self.POINTS), m, y)
+        self.gamma = np.array([0 if (x := -discount * k).is_integer() else 1 / math.gamma(x) for k in range(1, self.TERMS + 1)])
+
+    def _at(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At z = 1 - exp(-y): log of the function's value, log z, and the customers a table that have their saddle point here."""
+        one, z = -np.expm1(-self.d * y), -np.expm1(-y)
+        return np.log(one / self.d), np.log(z), self.d * z * np.exp((1 - self.d) * y) / one
+
+    def series(self, c: np.ndarray) -> np.ndarray:
+        """The series' factors: one row a term, to be used for all t."""
+        k = np.arange(1, self.TERMS + 1)[:, None]
+        return np.exp(lgamma(c - self.d * k) - lgamma(c - self.d)) * self.gamma[:, None]
+
+    def few(self, t: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        total, choose = np.zeros(t.shape), np.ones(t.shape)
+        for k in range(self.TERMS):
+            choose = choose * (k - t) / (k + 1)
+            total += choose * factors[k]
+        return np.log(np.maximum(total, 1e-300)) - lgamma(t + 1) - t * math.log(self.d)
+
+    def many(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        at = np.log(c / t) * ((self.POINTS - 1) / self.DEEPEST)
+        k = np.clip(at.astype(np.int64), 0, self.POINTS - 2)
+        y = np.maximum(self.place[k] + (at - k) * (self.place[k + 1] - self.place[k]), 1e-9)
+        g, z, m = self._at(y)
+        spread = np.maximum(t * m * (1 + (1 - self.d) * np.expm1(y) - m), 0)
+        return t * g - c * z - lgamma(t + 1) - 0.5 * np.log(spread + 1 / 6)
+
+    def __call__(self, c: np.ndarray, t: np.ndarray, factors: np.ndarray, edge: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """c, edge and shift of one row each, t of the same rows in its last axis."""
+        c, edge, shift = (np.broadcast_to(x, t.shape) for x in (c, edge, shift))
+        out, low = np.empty(t.shape), t <= edge
+        column = np.broadcast_to(np.arange(t.shape[-1]), t.shape)
+        out[low] = self.few(t[low], factors[:, column[low]])
+        out[~low] = self.many(c[~low], t[~low]) + shift[~low]
+        return out
+
+    def prepared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        factors, edge = self.series(c), np.floor(c**self.d)
+        return factors, edge, self.few(edge, factors) - self.many(c, edge)
+
+
+_STIRLING: dict[float, Stirling] = {}
+
+
 def _paths(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """PATHS sequential seatings of each row; one is chosen by the product of its normalisers.
+    """Tables of dishes of many customers: inversion over 2 x PATHS steps about the likeliest number.
 
-    With t tables and j customers seated the next opens a table with chance a/(a + j - d t), so
-    the wait for it is geometric with a chance from Beta(a, j - d t): only new tables are stepped through.
+    The conditional has one mode, found by halving; a step is one table, or more where it is wide (then a third of its deviation or less).
     """
-    many = len(c)
-    c_, o_, p_ = (np.repeat(x, PATHS) for x in (c, others, parent))
-    t, j, weight = np.ones(many * PATHS), np.ones(many * PATHS), np.zeros(many * PATHS)
-    live = np.arange(many * PATHS)
-    while len(live):
-        a = (strength + discount * (o_[live] + t[live])) * p_[live]
-        b = j[live] - discount * t[live]
-        gap = rng.geometric(np.clip(rng.beta(a, b), 1e-15, 1)).astype(float)
-        stop = np.minimum(gap, c_[live] - j[live])
-        weight[live] += lgamma(a + b + stop) - lgamma(a + b)
-        new = gap <= c_[live] - j[live]
-        j[live] += stop
-        t[live] += new
-        live = live[j[live] < c_[live]]
-    weight = weight.reshape(many, PATHS)
-    # each path was drawn with chance (weights of its steps) / (product of a + b): weigh that product back in
-    chance = np.exp(weight - weight.max(1, keepdims=True))
-    pick = (np.cumsum(chance, 1) < rng.random(many)[:, None] * chance.sum(1, keepdims=True)).sum(1)
-    return t.reshape(many, PATHS)[np.arange(many), np.minimum(pick, PATHS - 1)].astype(np.int64)
+    if discount not in _STIRLING:
+        _STIRLING[discount] = Stirling(discount)
+    ways = _STIRLING[discount]
+    out = np.empty(len(c), np.int64)
+    for rows in np.array_split(np.arange(len(c)), max(1, len(c) // 2_000)):
+        c_, o_, p_ = c[rows].astype(float), strength / discount + others[rows], np.log(parent[rows]) + math.log(discount)
+        ready = ways.prepared(c_)
+        weight = lambda t: ways(c_, t, *ready) + lgamma(o_ + t) + t * p_  # noqa: B023, E731
+        low, high = np.ones(len(rows)), c_.copy()
+        while (low < high).any():
+            mid = np.floor((low + high) / 2)
+            pair = weight(np.stack([mid, np.minimum(mid + 1, c_)]))
+            rises = (pair[1] > pair[0]) & (mid < high)
+            low, high = np.where(rises, mid + 1, low), np.where(rises, high, np.minimum(mid, high))
+        reach = np.maximum(1, np.floor(low**0.5 / 4))
+        around = weight(np.clip(np.stack([low - reach, low, low + reach]), 1, c_))
+        bend = (2 * around[1] - around[0] - around[2]) / reach**2
+        wide = np.where((low > reach) & (low + reach <= c_), np.maximum(bend, 1e-12) ** -0.5, np.inf)
+        wide = np.minimum(wide, 1.5 * (np.minimum(low, c_ - low) + 1) ** 0.5)
+        step = np.maximum(1, np.ceil(5 * wide / PATHS))
+        first = np.maximum(1, low - PATHS * step)
+        t = first + np.arange(2 * PATHS)[:, None] * step
+        logit = np.where(t <= c_, weight(np.minimum(t, c_)), -np.inf)
+        chance = np.cumsum(np.exp(logit - logit.max(0)), 0)
+        pick = (chance < rng.random(len(rows)) * chance[-1]).sum(0)
+        got = first + pick * step + np.floor((rng.random(len(rows)) - 0.5) * step + 0.5)
+        out[rows] = np.clip(got, 1, c_)
+    return out
 
 
 class Level:
@@ -188,11 +258,22 @@ class Subtree:
                 c = np.bincount(self.up[k], level.t, len(self.levels[k + 1].keys)).astype(np.int64)
         self.predict(above)
 
-    def sampled(self, above: np.ndarray, seed: int, burn: int = BURN, samples: int = SAMPLES) -> None:
-        """Sweeps; then p has the predictive probabilities with each level's parts averaged over the samples."""
+    def seats(self) -> bytes:
+        return np.concatenate([level.t for level in self.levels]).astype(np.int32).tobytes()
+
+    def seated(self, seats: bytes | None) -> None:
+        """Tables as seats() gave them, or none."""
+        t, c = np.frombuffer(seats, np.int32).astype(np.int64) if seats else np.zeros(sum(len(x.keys) for x in self.levels), np.int64), self.counts
+        for k, level in enumerate(self.levels):
+            level.t, t = t[: len(level.keys)], t[len(level.keys) :]
+            level.c = c if seats else level.t
+            if k + 1 < len(self.levels):
+                c = np.bincount(self.up[k], level.t, len(self.levels[k + 1].keys)).astype(np.int64)
+
+    def sampled(self, above: np.ndarray, seed: int, burn: int = BURN, samples: int = SAMPLES, seats: bytes | None = None) -> None:
+        """Sweeps, on from seats; then p has the predictive probabilities with each level's parts averaged over the samples."""
         rng = np.random.default_rng(seed)
-        for level in self.levels:
-            level.c = level.t = np.zeros(len(level.keys), np.int64)
+        self.seated(seats)
         self.predict(above)
         total: list = []
         for k in range(burn + samples):
@@ -296,7 +377,10 @@ def _units(context: int) -> Callable[[pa.Table], pa.Table]:
                     grams = counted(windows([sequence(t) for t in texts], context)[0])
                     words = counted(np.concatenate([hashes.of(t.translate(_LOWER).split()) for t in texts] + [np.full(len(texts), END_KEY, np.uint64)]))
                     for kind, (keys, n) in ((0, words), (1, grams)):
-                        found[kind].append((keys, np.zeros(len(keys), np.int64) if held else n))
+                        own = found[kind]
+                        own.append((keys, np.zeros(len(keys), np.int64) if held else n))
+                        while len(own) > 1 and len(own[-1][0]) * 2 > len(own[-2][0]):  # the pieces stay few and each under half of the one before
+                            own[-2:] = [counted(*map(np.concatenate, zip(*own[-2:], strict=True)))]
         out = []
         for kind, own in found.items():
             keys, n = counted(np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own]))
@@ -317,21 +401,23 @@ def _top_sample(c1: np.ndarray, seed: int) -> np.ndarray:
     return tree.p[0].reshape(256, 256)
 
 
-def _subtree(context: int, top: np.ndarray, seed: int, probabilities: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+def _subtree(context: int, top: np.ndarray, seed: int, probabilities: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Samples the subtrees of one bucket together: their restaurants don't meet below the top."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table, seats: pa.Table) -> pa.Table:
         keys, n = counted(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
         tree = Subtree(keys, n, 2, context)
         pair = (tree.top() & np.uint64(0xFFFF)).astype(np.int64)  # last byte of the context, symbol
         draw = seed * 1_000_003 + key[0].as_py()
+        before = seats.column("seats")[0].as_py() if len(seats) else None
+        burn = AGAIN if before else BURN
         if probabilities:
-            tree.sampled(top.reshape(-1)[pair], draw)
+            tree.sampled(top.reshape(-1)[pair], draw, burn, SAMPLES, before)
             return pa.table({"key": keys.view(np.int64), "value": np.log10(tree.p[0])})
-        tree.sampled(top.reshape(-1)[pair], draw, 1, 1)
+        tree.sampled(top.reshape(-1)[pair], draw, burn - 1, 1, before)
         customers = np.bincount(pair, tree.levels[-1].t, 65536).astype(np.int64)
         own = np.flatnonzero(customers)
-        return pa.table({"pair": own.astype(np.int32), "n": customers[own]})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "pair": pa.array([own.astype(np.int32)]), "n": pa.array([customers[own]]), "seats": pa.array([tree.seats()], pa.binary())})
 
     return run
 
@@ -342,13 +428,15 @@ def probabilities(grams: DataFrame, context: int = CONTEXT, rounds: int = ROUNDS
     end = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     grouped = grams.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)).cast("int")).groupBy("bucket")
     top = np.full((256, 256), 1 / SYMBOLS)
+    schema = "bucket int, pair array<int>, n array<bigint>, seats binary"
+    seats = grams.sparkSession.createDataFrame([], schema)
     for k in range(rounds):
-        seated = grouped.applyInArrow(_subtree(context, top, k, False), "pair int, n bigint")
+        seats = stored(grouped.cogroup(seats.groupBy("bucket")).applyInArrow(_subtree(context, top, k, False), schema), "seats")
         c1 = np.zeros(65536, np.int64)
-        for r in seated.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 256 x 256
+        for r in seats.select(F.inline(F.arrays_zip("pair", "n"))).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 256 x 256
             c1[r["pair"]] = r["n"]
         top = _top_sample(c1, k)
-    return grouped.applyInArrow(_subtree(context, top, rounds, True), "key bigint, value double")
+    return grouped.cogroup(seats.groupBy("bucket")).applyInArrow(_subtree(context, top, rounds, True), "key bigint, value double")
 
 
 def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT) -> DataFrame:
