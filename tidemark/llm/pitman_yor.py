@@ -6,25 +6,34 @@ training has one too. The restaurant of a context of `CONTEXT` bytes has that
 of the context less its oldest byte as parent, down to the empty context, whose
 parent is uniform: contexts with equal ends share parents.
 
-Seating is sampled by Gibbs in blocks: the number of tables of one dish in one
-restaurant, given all the rest. Up to `EXACT` customers its conditional is
-exact (generalised Stirling numbers from a table); beyond, the numbers come from
-a series and a saddle point, and 2 x `PATHS` steps about the likeliest number of
-tables are weighed. Tables are the parent's customers. Predictive parts are
-averaged over samples. A subtree's seating is carried on from round to round.
+Seating is sampled by Gibbs in blocks, a sweep going from the longest contexts
+to the shortest. For each restaurant a gamma variable u is drawn given its number
+of tables; given u, and the parent's predictive probability p of each dish, the
+dishes are independent, and the tables t of a dish of c customers have weight
+S(c, t) (d u p)**t with generalised Stirling numbers S. So all dishes of all
+restaurants are drawn at once from their joint conditional given the parent's
+probabilities. Up to `EXACT` customers t is drawn by inversion; beyond, S comes
+from a series and a saddle point, and a draw from a logistic about the mode is
+accepted or refused (Metropolis-Hastings). One thing is approximate: p is the
+parent's predictive mean at its seating before the sweep, while the collapsed
+chain would move the parent's seating with each table. Tables are the parent's
+customers. Predictive parts are averaged over samples.
 
 How it is spread: counts of (context, next byte) are summed by Spark; contexts
-that end in the same two bytes make a subtree whose restaurants are sampled in
-one task, since only the restaurants of one and of no byte are shared among
-subtrees. Those have at most 256 x 256 dishes, and are sampled on the driver.
-A subtree has at most one row for each distinct n-gram, however often it occurs.
+that end in the same `ROOT` bytes make a subtree whose restaurants are sampled in
+one task. The restaurants of shorter contexts are shared by the subtrees: they
+have at most 256**ROOT dishes whatever the input, and are sampled on the driver.
+Seating of both is carried on from round to round. Only n-grams of training texts
+have seats; those of held-out texts are looked up in the averaged model.
 
 Scores come back by parts of documents: each part of texts is met by the values
 of its own distinct words and n-grams, never by the whole model.
 
 Defined cases: null and empty text is the end symbol alone; bytes 0xFE and 0xFF,
 which UTF-8 never has, count as '?'; without training text every n-gram has
-the uniform probability and every base count is 0.
+the uniform probability and every base count is 0; null doc_ids and repeated rows
+are scored row by row; rows of a null `held` teach. Columns beyond doc_id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,16 +50,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hashes, as_bytes, batches, mix, stored, tuned
 
 CONTEXT = 5
+#: Length of the contexts at which subtrees begin.
+ROOT = 3
 SYMBOLS = 255
 PAD, END = 0xFF, 0xFE
 EXACT = 40
-#: Steps to each side of the likeliest number of tables.
-PATHS = 16
 #: Strength and discount by the length of the context.
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
 DISCOUNT = (0.1, 0.2, 0.4, 0.6, 0.7, 0.8, 0.85, 0.85)
 #: n-grams that one task samples together, about.
-BUCKET_KEYS = 150_000
+BUCKET_KEYS = 40_000
+#: Dishes of one level whose Stirling numbers are kept from sweep to sweep, at most (some 300 bytes each).
+CACHED = 400_000
 ROUNDS = 2
 #: Sweeps from the first seating; sweeps more after each change of the top; samples that are averaged.
 BURN = 20
@@ -86,192 +97,211 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return out.reshape(np.shape(x))
 
 
-def tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Sampled tables of each dish: c its customers, others the other dishes' tables, parent the parent's probability."""
-    out = np.minimum(c, 1)
-    for low, high in ((2, 5), (5, 13), (13, EXACT + 1)):
-        rows = np.flatnonzero((c >= low) & (c < high))
-        ways = np.ascontiguousarray(table[:, 1:high].T)
-        t = np.arange(high - 1)[:, None]
-        for part in np.array_split(rows, max(1, len(rows) // 4_000)) if len(rows) else ():
-            logit = np.cumsum(np.log(strength + discount * (others[part] + t)) + np.log(parent[part]), 0) + ways[:, c[part]]
-            chance = np.cumsum(np.exp(logit - logit.max(0)), 0)
-            out[part] = 1 + (chance < rng.random(len(part)) * chance[-1]).sum(0)
-    rows = np.flatnonzero(c > EXACT)
-    if len(rows):
-        out[rows] = _paths(c[rows], others[rows], parent[rows], strength, discount, rng)
-    return out
-
-
 class Stirling:
-    """log S(c, t) of many customers, up to a constant for each c, without the table.
+    """log S(c, t) of many customers, up to a constant for each c, without the table; and where S(c, t) x**t is largest.
 
-    S(c, t) is c!/t! times the coefficient of z**c in ((1 - (1 - z)**d) / d)**t. Up to c**d tables the binomial
-    series is summed; beyond it's the saddle point's value, moved to meet the series there.
+    S(c, t) is c!/t! times the coefficient of z**c in F(z)**t, F(z) = (1 - (1 - z)**d) / d. Up to c**d tables the
+    binomial series is summed; beyond it's the saddle point's value, moved to meet the series there. In y = -log(1 - z),
+    c / t = m(y) holds at the saddle point, and at the mode also x F = t: both are read from one grid of y.
     """
 
-    POINTS, DEEPEST, TERMS = 1 << 14, 22.0, 24
+    TERMS = 24
 
     def __init__(self, discount: float) -> None:
         self.d = discount
-        y = np.concatenate([np.linspace(1e-9, 1, 20_000), np.linspace(1, 400, 200_000)[1:]])
-        m = np.log(np.maximum(self._at(y)[2], 1))
-        self.place = np.interp(np.linspace(0, self.DEEPEST, self.POINTS), m, y)
-        self.gamma = np.array([0 if (x := -discount * k).is_integer() else 1 / math.gamma(x) for k in range(1, self.TERMS + 1)])
+        y = np.geomspace(1e-7, 600, 1 << 15)
+        g, z, m = self._at(y)
+        self.y, self.m, self.log_m = y, m, np.log(np.maximum(m, 1))
+        self.at_mode = g + math.log(discount) + np.log(m)
+        self.narrow = 1 + np.gradient(g, y) * m / np.maximum(np.gradient(m, y), 1e-300)
+        self.gamma = np.array([0 if (x := -discount * k).is_integer() else 1 / math.gamma(x) for k in range(1, self.TERMS + 1)])[:, None]
 
     def _at(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At z = 1 - exp(-y): log of the function's value, log z, and the customers a table that have their saddle point here."""
+        """At z = 1 - exp(-y): log F, log z, and the customers a table that have their saddle point here."""
         one, z = -np.expm1(-self.d * y), -np.expm1(-y)
         return np.log(one / self.d), np.log(z), self.d * z * np.exp((1 - self.d) * y) / one
 
-    def series(self, c: np.ndarray) -> np.ndarray:
-        """The series' factors: one row a term, to be used for all t."""
+    def prepared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What holds for all t: the series' factors, one row a term; the largest t it is used for; the saddle point's shift."""
         k = np.arange(1, self.TERMS + 1)[:, None]
-        return np.exp(lgamma(c - self.d * k) - lgamma(c - self.d)) * self.gamma[:, None]
+        factors, edge = np.exp(lgamma(c - self.d * k) - lgamma(c - self.d)) * self.gamma, np.floor(c**self.d)
+        return factors, edge, self._few(edge, factors) - self._many(c, edge)
 
-    def few(self, t: np.ndarray, factors: np.ndarray) -> np.ndarray:
-        total, choose = np.zeros(t.shape), np.ones(t.shape)
+    def _few(self, t: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        total, choose = np.zeros(len(t)), np.ones(len(t))
         for k in range(self.TERMS):
-            choose = choose * (k - t) / (k + 1)
+            choose = choose * ((k - t) / (k + 1))
             total += choose * factors[k]
         return np.log(np.maximum(total, 1e-300)) - lgamma(t + 1) - t * math.log(self.d)
 
-    def many(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        at = np.log(c / t) * ((self.POINTS - 1) / self.DEEPEST)
-        k = np.clip(at.astype(np.int64), 0, self.POINTS - 2)
-        y = np.maximum(self.place[k] + (at - k) * (self.place[k + 1] - self.place[k]), 1e-9)
+    def _many(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        y = np.maximum(np.interp(np.log(c / t), self.log_m, self.y), 1e-9)
         g, z, m = self._at(y)
         spread = np.maximum(t * m * (1 + (1 - self.d) * np.expm1(y) - m), 0)
         return t * g - c * z - lgamma(t + 1) - 0.5 * np.log(spread + 1 / 6)
 
-    def __call__(self, c: np.ndarray, t: np.ndarray, factors: np.ndarray, edge: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        """c, edge and shift of one row each, t of the same rows in its last axis."""
-        c, edge, shift = (np.broadcast_to(x, t.shape) for x in (c, edge, shift))
-        out, low = np.empty(t.shape), t <= edge
-        column = np.broadcast_to(np.arange(t.shape[-1]), t.shape)
-        out[low] = self.few(t[low], factors[:, column[low]])
-        out[~low] = self.many(c[~low], t[~low]) + shift[~low]
+    def log(self, c: np.ndarray, t: np.ndarray, ready: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        factors, edge, shift = ready
+        out, low = np.empty(len(t)), t <= edge
+        out[low] = self._few(t[low], factors[:, low])
+        low = ~low
+        out[low] = self._many(c[low], t[low]) + shift[low]
         return out
 
-    def prepared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        factors, edge = self.series(c), np.floor(c**self.d)
-        return factors, edge, self.few(edge, factors) - self.many(c, edge)
+    def about(self, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mode of S(c, t) x**t, and the scale of a logistic as wide as the weights, a little more."""
+        at = np.log(c * self.d / x)
+        centre = np.maximum(c / np.interp(at, self.at_mode, self.m), 1)
+        return centre - 0.5, 0.62 * np.sqrt(np.maximum(centre / np.interp(at, self.at_mode, self.narrow), 0.3))
 
 
-_STIRLING: dict[float, Stirling] = {}
+def _logistic(t: np.ndarray, c: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """log probability that a logistic variable, rounded and held in 1..c, is t; precise in both tails."""
+    low, high = np.where(t > 1, (t - 0.5 - centre) / scale, -1e4), np.where(t < c, (t + 0.5 - centre) / scale, 1e4)
+    up = low > 0
+    low, high = np.where(up, -high, low), np.where(up, -low, high)
+    one = lambda v: 1 / (1 + np.exp(-np.clip(v, -690, 690)))
+    return np.log(np.maximum(one(high) - np.where(low < -9e3, 0, one(low)), 1e-300))
 
 
-def _paths(c: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes of many customers: inversion over 2 x PATHS steps about the likeliest number.
+class Seats:
+    """Draws of the tables of dishes of one discount."""
+
+    CLASSES = ((2, 5), (5, 13), (13, EXACT + 1))
+
+    def __init__(self, discount: float) -> None:
+        self.table, self.ways = stirling(discount), Stirling(discount)
+
+    def classes(self, c: np.ndarray) -> list:
+        """Rows by how they are drawn, with what depends on their customers alone; for as long as these stay the same."""
+        out: list = []
+        for low, high in self.CLASSES:
+            for rows in _pieces(np.flatnonzero((c >= low) & (c < high)), 4_000):
+                out.append((high, rows, np.ascontiguousarray(self.table[:, 1:high].T)[:, c[rows]]))
+        for rows in _pieces(np.flatnonzero(c > EXACT), 4_000):
+            own = c[rows].astype(float)
+            out.append((0, rows, (own, self.ways.prepared(own))))
+        return out
+
+    def drawn(self, c: np.ndarray, t: np.ndarray, x: np.ndarray, rng: np.random.Generator, classes: list | None = None) -> np.ndarray:
+        """Tables of each dish from weights S(c, t) x**t; t the present ones, which those of many customers may keep."""
+        out = np.minimum(c, 1)
+        for high, rows, ready in self.classes(c) if classes is None else classes:
+            own = x[rows]
+            if high:
+                logit = np.arange(1, high)[:, None] * np.log(own) + ready
+                chance = np.cumsum(np.exp(logit - logit.max(0)), 0)
+                out[rows] = 1 + (chance < rng.random(len(rows)) * chance[-1]).sum(0)
+                continue
+            c_, held = ready
+            centre, scale = self.ways.about(c_, own)
+            chance = rng.random(len(rows))
+            new = np.clip(np.floor(centre + scale * np.log(chance / (1 - chance) + 1e-300) + 0.5), 1, c_)
+            old = np.clip(t[rows].astype(float), 1, c_)
+            gain = self.ways.log(c_, new, held) - self.ways.log(c_, old, held) + (new - old) * np.log(own)
+            gain += _logistic(old, c_, centre, scale) - _logistic(new, c_, centre, scale)
+            out[rows] = np.where(np.log(rng.random(len(rows)) + 1e-300) < gain, new, old)
+        return out
 
-    The conditional has one mode, found by halving; a step is one table, or more where it is wide (then a third of its deviation or less).
-    """
-    if discount not in _STIRLING:
-        _STIRLING[discount] = Stirling(discount)
-    ways = _STIRLING[discount]
-    out = np.empty(len(c), np.int64)
-    for rows in np.array_split(np.arange(len(c)), max(1, len(c) // 2_000)):
-        c_, o_, p_ = c[rows].astype(float), strength / discount + others[rows], np.log(parent[rows]) + math.log(discount)
-        ready = ways.prepared(c_)
-        weight = lambda t: ways(c_, t, *ready) + lgamma(o_ + t) + t * p_  # noqa: B023, E731
-        low, high = np.ones(len(rows)), c_.copy()
-        while (low < high).any():
-            mid = np.floor((low + high) / 2)
-            pair = weight(np.stack([mid, np.minimum(mid + 1, c_)]))
-            rises = (pair[1] > pair[0]) & (mid < high)
-            low, high = np.where(rises, mid + 1, low), np.where(rises, high, np.minimum(mid, high))
-        reach = np.maximum(1, np.floor(low**0.5 / 4))
-        around = weight(np.clip(np.stack([low - reach, low, low + reach]), 1, c_))
-        bend = (2 * around[1] - around[0] - around[2]) / reach**2
-        wide = np.where((low > reach) & (low + reach <= c_), np.maximum(bend, 1e-12) ** -0.5, np.inf)
-        wide = np.minimum(wide, 1.5 * (np.minimum(low, c_ - low) + 1) ** 0.5)
-        step = np.maximum(1, np.ceil(5 * wide / PATHS))
-        first = np.maximum(1, low - PATHS * step)
-        t = first + np.arange(2 * PATHS)[:, None] * step
-        logit = np.where(t <= c_, weight(np.minimum(t, c_)), -np.inf)
-        chance = np.cumsum(np.exp(logit - logit.max(0)), 0)
-        pick = (chance < rng.random(len(rows)) * chance[-1]).sum(0)
-        got = first + pick * step + np.floor((rng.random(len(rows)) - 0.5) * step + 0.5)
-        out[rows] = np.clip(got, 1, c_)
-    return out
+
+def _pieces(rows: np.ndarray, size: int) -> list[np.ndarray]:
+    return np.array_split(rows, -(-len(rows) // size)) if len(rows) else []
+
+
+_SEATS: dict[float, Seats] = {}
+
+
+def seats_of(discount: float) -> Seats:
+    if discount not in _SEATS:
+        _SEATS[discount] = Seats(discount)
+    return _SEATS[discount]
 
 
 class Level:
-    """The restaurants of contexts of one length: their dishes, and each dish's place at the parent level."""
+    """The restaurants of contexts of one length, over sorted distinct n-grams: each is a dish of its context."""
 
     def __init__(self, keys: np.ndarray, length: int) -> None:
         self.keys, self.length = keys, length
         context = keys >> np.uint64(8)
-        first = np.concatenate([[True], context[1:] != context[:-1]])
-        self.context = np.cumsum(first) - 1
-        self.n = int(first.sum())
-        self.table = stirling(DISCOUNT[length])
+        first = np.concatenate([[True], context[1:] != context[:-1]]) if len(keys) else np.zeros(0, bool)
+        self.context, self.contexts = np.cumsum(first) - 1, context[first]
         self.c = self.t = np.zeros(len(keys), np.int64)
+        self.classes: list | None = None
+
+    def customers(self, c: np.ndarray, fixed: bool = False) -> None:
+        """New customers; at first c**discount tables a dish. fixed: they stay the same for all sweeps."""
+        first = np.round(c ** DISCOUNT[self.length]).astype(np.int64) if not self.t.any() else self.t
+        self.c, self.t = c, np.clip(first, 1, c)
+        self.classes = seats_of(DISCOUNT[self.length]).classes(c) if fixed and len(c) <= CACHED else None
 
-    def seat(self, c: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> None:
-        if not self.t.any():
-            self.t = np.minimum(c, 1)
-        self.c, self.t = c, np.minimum(self.t, c)
-        total = np.bincount(self.context, self.t, self.n)[self.context]
-        self.t = tables(c, total - self.t, parent, STRENGTH[self.length], DISCOUNT[self.length], self.table, rng)
+    def seat(self, parent: np.ndarray, rng: np.random.Generator) -> None:
+        s, d = STRENGTH[self.length], DISCOUNT[self.length]
+        u = rng.standard_gamma(s / d + np.bincount(self.context, self.t, len(self.contexts)))
+        self.t = seats_of(d).drawn(self.c, self.t, np.maximum(d * u[self.context] * parent, 1e-280), rng, self.classes)
 
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Own part of each dish's probability, and the share of the parent's."""
+        """Own part of each dish's probability, and each restaurant's share of the parent's."""
         s, d = STRENGTH[self.length], DISCOUNT[self.length]
-        customers = np.bincount(self.context, self.c, self.n)[self.context]
-        seated = np.bincount(self.context, self.t, self.n)[self.context]
-        return np.maximum(self.c - d * self.t, 0) / (s + customers), (s + d * seated) / (s + customers)
+        total = s + np.bincount(self.context, self.c, len(self.contexts))
+        return (self.c - d * self.t) / total[self.context], (s + d * np.bincount(self.context, self.t, len(self.contexts))) / total
 
 
 class Subtree:
-    """Restaurants of contexts of `low` to `high` bytes over sorted distinct n-grams of high + 1 bytes."""
+    """Restaurants of contexts of `low` to `high` bytes over sorted distinct n-grams of high + 1 bytes, all with customers."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int) -> None:
         self.counts, self.levels, self.up = counts, [Level(keys, high)], []
         for length in range(high - 1, low - 1, -1):
             shorter = self.levels[-1].keys & np.uint64((1 << 8 * (length + 1)) - 1)
             order = np.argsort(shorter, kind="stable")
-            first = np.concatenate([[True], shorter[order][1:] != shorter[order][:-1]])
+            first = np.concatenate([[True], shorter[order][1:] != shorter[order][:-1]]) if len(order) else np.zeros(0, bool)
             up = np.empty(len(shorter), np.int64)
             up[order] = np.cumsum(first) - 1
             self.up.append(up)
             self.levels.append(Level(shorter[order][first], length))
         self.p = [np.empty(0)] * len(self.levels)
+        self.mean: list[tuple[np.ndarray, np.ndarray]] = []
 
     def top(self) -> np.ndarray:
         return self.levels[-1].keys
 
+    def top_tables(self) -> np.ndarray:
+        return self.levels[-1].t
+
+    def _fill(self, k: int) -> None:
+        """Level k's customers from the tables of the longer contexts."""
+        c = self.counts if k == 0 else np.bincount(self.up[k - 1], self.levels[k - 1].t, len(self.levels[k].keys)).astype(np.int64)
+        if k or self.levels[0].c is not c:
+            self.levels[k].customers(c, fixed=k == 0)
+
     def predict(self, above: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        """p: each dish's probability at each level; above: the parents' of the shortest contexts' dishes."""
         for k in range(len(self.levels) - 1, -1, -1):
             own, share = parts[k] if parts else self.levels[k].parts()
-            above = self.p[k] = own + share * above
+            above = self.p[k] = own + share[self.levels[k].context] * above
             if k:
                 above = above[self.up[k - 1]]
 
     def sweep(self, above: np.ndarray, rng: np.random.Generator) -> None:
         """One Gibbs sweep from the longest contexts to the shortest; tables are the parent's customers."""
-        c = self.counts
         for k, level in enumerate(self.levels):
-            parent = self.p[k + 1][self.up[k]] if k + 1 < len(self.levels) else above
-            level.seat(c, parent, rng)
-            if k + 1 < len(self.levels):
-                c = np.bincount(self.up[k], level.t, len(self.levels[k + 1].keys)).astype(np.int64)
+            self._fill(k)
+            level.seat(self.p[k + 1][self.up[k]] if k + 1 < len(self.levels) else above, rng)
         self.predict(above)
 
     def seats(self) -> bytes:
         return np.concatenate([level.t for level in self.levels]).astype(np.int32).tobytes()
 
     def seated(self, seats: bytes | None) -> None:
-        """Tables as seats() gave them, or none."""
-        t, c = np.frombuffer(seats, np.int32).astype(np.int64) if seats else np.zeros(sum(len(x.keys) for x in self.levels), np.int64), self.counts
+        """Tables as seats() gave them, or first ones."""
+        t = np.frombuffer(seats, np.int32).astype(np.int64) if seats else None
         for k, level in enumerate(self.levels):
-            level.t, t = t[: len(level.keys)], t[len(level.keys) :]
-            level.c = c if seats else level.t
-            if k + 1 < len(self.levels):
-                c = np.bincount(self.up[k], level.t, len(self.levels[k + 1].keys)).astype(np.int64)
+            if t is not None:
+                level.t, t = t[: len(level.keys)], t[len(level.keys) :]
+            self._fill(k)
 
     def sampled(self, above: np.ndarray, seed: int, burn: int = BURN, samples: int = SAMPLES, seats: bytes | None = None) -> None:
-        """Sweeps, on from seats; then p has the predictive probabilities with each level's parts averaged over the samples."""
+        """Sweeps, on from seats: p is the last sample's, mean has each level's parts averaged over the samples."""
         rng = np.random.default_rng(seed)
         self.seated(seats)
         self.predict(above)
@@ -281,7 +311,21 @@ class Subtree:
             if k >= burn:
                 parts = [level.parts() for level in self.levels]
                 total = [(a + x, b + y) for (a, b), (x, y) in zip(total, parts, strict=True)] if total else parts
-        self.predict(above, [(a / samples, b / samples) for a, b in total])
+        self.mean = [(a / samples, b / samples) for a, b in total]
+
+    def chances(self, keys: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Averaged predictive probability of any n-grams, seated or not; above: that of their ends at the parents."""
+        for level, (own, share) in zip(reversed(self.levels), reversed(self.mean), strict=True):
+            gram = keys & np.uint64((1 << 8 * (level.length + 1)) - 1) if level.length < 7 else keys
+            above = _found(level.keys, own, gram, 0.0) + _found(level.contexts, share, gram >> np.uint64(8), 1.0) * above
+        return above
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
 
 
 def sequence(raw: bytes) -> bytes:
@@ -393,50 +437,71 @@ def _units(context: int) -> Callable[[pa.Table], pa.Table]:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _top_sample(c1: np.ndarray, seed: int) -> np.ndarray:
-    """P(next byte | last byte) from the customers of the one-byte contexts, averaged over samples: 256 x 256."""
-    keys = np.arange(65536, dtype=np.uint64)
-    tree = Subtree(keys, c1.reshape(-1).astype(np.int64), 0, 1)
-    tree.sampled(np.full(len(tree.top()), 1 / SYMBOLS), seed)
-    return tree.p[0].reshape(256, 256)
+class Top:
+    """The restaurants of contexts shorter than ROOT, sampled on the driver: at most 256**ROOT dishes."""
+
+    def __init__(self) -> None:
+        self.tree = Subtree(np.empty(0, np.uint64), np.empty(0, np.int64), 0, ROOT - 1)
+        self.seats: bytes | None = None
+        self.tree.mean = [level.parts() for level in self.tree.levels]
+
+    def sample(self, customers: DataFrame, seed: int) -> None:
+        """customers: (gram, n), the tables that subtrees have of each dish."""
+        got = customers.groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
+        keys = got.column("gram").to_numpy().astype(np.uint64)
+        if not len(keys):
+            return
+        self.tree = Subtree(keys, got.column("n").to_numpy().astype(np.int64), 0, ROOT - 1)
+        self.tree.sampled(np.full(len(self.tree.top()), 1 / SYMBOLS), seed, AGAIN if self.seats else BURN, SAMPLES, self.seats)
+        self.seats = self.tree.seats()
+        self.tree.levels[0].classes = None  # it goes to the tasks
 
 
-def _subtree(context: int, top: np.ndarray, seed: int, probabilities: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def _subtree(context: int, top: Subtree, rnd: int, last: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Samples the subtrees of one bucket together: their restaurants don't meet below the top."""
+    chances = (top.levels[0].keys, top.p[0])
 
     def run(key: tuple, table: pa.Table, seats: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
         keys, n = counted(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
-        tree = Subtree(keys, n, 2, context)
-        pair = (tree.top() & np.uint64(0xFFFF)).astype(np.int64)  # last byte of the context, symbol
-        draw = seed * 1_000_003 + key[0].as_py()
+        tree = Subtree(keys[n > 0], n[n > 0], ROOT, context)
         before = seats.column("seats")[0].as_py() if len(seats) else None
-        burn = AGAIN if before else BURN
-        if probabilities:
-            tree.sampled(top.reshape(-1)[pair], draw, burn, SAMPLES, before)
-            return pa.table({"key": keys.view(np.int64), "value": np.log10(tree.p[0])})
-        tree.sampled(top.reshape(-1)[pair], draw, burn - 1, 1, before)
-        customers = np.bincount(pair, tree.levels[-1].t, 65536).astype(np.int64)
-        own = np.flatnonzero(customers)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "pair": pa.array([own.astype(np.int32)]), "n": pa.array([customers[own]]), "seats": pa.array([tree.seats()], pa.binary())})
+        if len(tree.counts):
+            tree.sampled(_found(*chances, tree.top() & np.uint64((1 << 8 * ROOT) - 1), 1 / SYMBOLS), rnd * 1_000_003 + bucket, AGAIN if before else BURN, SAMPLES if last else 1, before)
+        if last:
+            if not len(tree.counts):
+                tree.mean = [level.parts() for level in tree.levels]
+            above = top.chances(keys & np.uint64((1 << 8 * ROOT) - 1), np.full(len(keys), 1 / SYMBOLS))
+            return pa.table({"key": keys.view(np.int64), "value": np.log10(tree.chances(keys, above))})
+        gram, at = np.unique((tree.top() & np.uint64((1 << 8 * ROOT) - 1)).astype(np.int32), return_inverse=True)
+        tables = np.bincount(at, tree.top_tables(), len(gram)).astype(np.int64)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "gram": pa.array([gram]), "n": pa.array([tables]), "seats": pa.array([tree.seats()], pa.binary())})
 
     return run
 
 
 def probabilities(grams: DataFrame, context: int = CONTEXT, rounds: int = ROUNDS) -> DataFrame:
     """(key, value): log10 of the averaged predictive probability of each n-gram's last byte; grams: key, n (0: not trained on)."""
-    buckets = max(1, -(-grams.count() // BUCKET_KEYS))
-    end = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    grouped = grams.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)).cast("int")).groupBy("bucket")
-    top = np.full((256, 256), 1 / SYMBOLS)
-    schema = "bucket int, pair array<int>, n array<bigint>, seats binary"
+    if not ROOT <= context <= 7:
+        raise ValueError(f"contexts have {ROOT} to 7 bytes")
+    trained = grams.where("n > 0")
+    buckets = max(1, -(-trained.count() // BUCKET_KEYS))
+    end = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))
+
+    def dealt(df: DataFrame):  # noqa: ANN202
+        """By bucket, in as many partitions: few rows are much work here, so partitions aren't to be merged by their bytes."""
+        return df.repartition(buckets, "bucket").groupBy("bucket")
+
+    grouped = lambda df: dealt(df.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)).cast("int")))
+    schema = "bucket int, gram array<int>, n array<bigint>, seats binary"
     seats = grams.sparkSession.createDataFrame([], schema)
+    shrunk = math.prod(DISCOUNT[ROOT : context + 1])  # first tables of the subtrees, about
+    top = Top()
+    top.sample(trained.select(F.col("key").bitwiseAND(F.lit((1 << 8 * ROOT) - 1)).alias("gram"), F.ceil(F.pow("n", F.lit(shrunk))).alias("n")), 0)
     for k in range(rounds):
-        seats = stored(grouped.cogroup(seats.groupBy("bucket")).applyInArrow(_subtree(context, top, k, False), schema), "seats")
-        c1 = np.zeros(65536, np.int64)
-        for r in seats.select(F.inline(F.arrays_zip("pair", "n"))).groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 256 x 256
-            c1[r["pair"]] = r["n"]
-        top = _top_sample(c1, k)
-    return grouped.cogroup(seats.groupBy("bucket")).applyInArrow(_subtree(context, top, rounds, True), "key bigint, value double")
+        seats = stored(grouped(trained).cogroup(dealt(seats)).applyInArrow(_subtree(context, top.tree, k, False), schema), "seats")
+        top.sample(seats.select(F.inline(F.arrays_zip("gram", "n"))), k + 1)
+    return grouped(grams).cogroup(dealt(seats)).applyInArrow(_subtree(context, top.tree, rounds, True), "key bigint, value double")
 
 
 def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT) -> DataFrame:
@@ -444,7 +509,7 @@ def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     tuned(spark)
     parts = batches(docs, text, PART_BYTES)
-    carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.pmod(F.xxhash64(doc_id), F.lit(parts)).cast("int").alias("part"), as_bytes(text).alias("raw"))
+    carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.pmod(F.xxhash64(doc_id, text), F.lit(parts)).cast("int").alias("part"), as_bytes(text).alias("raw"))
     units = stored(carried.groupBy("part").applyInArrow(_units(context), "part int, kind int, key bigint, n bigint"), "units")
     words = units.where("kind = 0").groupBy("key").agg(F.sum("n").cast("double").alias("value"))
     words = stored(words, "words")
