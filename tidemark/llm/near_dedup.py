@@ -14,6 +14,13 @@
 4. Lists with members outside the hub's component are then compared in full, in
    blocks of bounded size: those members against all others of other components.
    Thus a group of m near copies costs m verifications and loses no link.
+5. A list that would have over `PAIRS` such comparisons (a passage that many
+   unlike documents share) is not compared. Its members go through steps 2 to 4
+   again, listed by longer sketches, of WIDE values, and those of lists that are
+   still so large by their whole sets. The more values are known, the more of them
+   similar sets must share (20 of 48, 157 of 256, three quarters of all), so
+   fewer, rarer ones list a set: a passage lists no set of which it's under 41, 61
+   and 75 %. What is left is compared, all of it: sets that nearly are similar.
 
 Lists, classes and hubs may be large: they are counted before shuffles, joined
 (skewed joins are split) or cut in blocks; no group is gathered in one task, and
@@ -22,6 +29,10 @@ no ids, links or sketches meet the driver.
 Defined cases: null or empty text has an empty set and links with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle; rows
 with one id are one document if their texts are equal; equal sets link always.
+Rows of one id with different texts are each returned, a link of any of them is
+one of the id, and the least text (by bytes) is the one that is verified. A row
+without an id links through an equal set only; its component is the set's, or null,
+and kept is null. Only the id and the text are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -47,8 +58,12 @@ WIDE = 256
 #: Least estimates from K and from WIDE values that go on: 4.5 and 5 deviations under 0.75.
 ESTIMATE = 0.47
 WIDE_ESTIMATE = 0.61
+#: Retained values that similar sets share at least, of WIDE: 5 deviations under 0.75 WIDE.
+WIDE_SHARED = 157
 #: Members of a list on either side of one block.
 BLOCK = 128
+#: Comparisons of one list beyond which its members are listed again by more of their values.
+PAIRS = 1 << 20
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -101,16 +116,17 @@ def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return stored(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc"), as_bytes(text).alias("raw")), run, "doc bigint, n bigint, fp binary, sketch array<bigint>"), "sketches")
 
 
-def widened(texts: DataFrame) -> DataFrame:
-    """Stored rep and sketch, of up to WIDE values, of the texts."""
+def widened(texts: DataFrame, width: int | None = WIDE) -> DataFrame:
+    """Stored rep, n and sketch, of up to `width` values (None: all), of the texts."""
     hashes: list[Hashes] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         if not hashes:
             hashes.append(Hashes())
-        yield {"rep": batch.column(0), "sketch": [shingles(x.as_py(), hashes[0])[:WIDE].view(np.int64) for x in batch.column(1)]}
+        sets = [shingles(x.as_py(), hashes[0]) for x in batch.column(1)]
+        yield {"rep": batch.column(0), "n": [len(x) for x in sets], "sketch": [x[:width].view(np.int64) for x in sets]}
 
-    return stored(arrow_map(texts.select("doc", "raw"), run, "rep bigint, sketch array<bigint>"), "wide")
+    return stored(arrow_map(texts.select("doc", "raw"), run, "rep bigint, n bigint, sketch array<bigint>"), "wide")
 
 
 def estimate(a: str, b: str) -> F.Column:
@@ -124,14 +140,18 @@ def fits(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def listed(reps: DataFrame) -> DataFrame:
-    """Stored inverted lists (value, rep, n, weight): each set under its rarest values, of those that two sets hold."""
+def listed(reps: DataFrame, width: int | None = K, least: int = SHARED) -> DataFrame:
+    """Stored inverted lists (value, rep, n, weight): each set under its rarest values, of those that two sets hold.
+
+    width: values in the sketches (None: all of the sets'); least: of these, how many similar sets share at least.
+    """
     rows = reps.select("rep", "n", F.explode("sketch").alias("value"))
     common = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = rows.join(common, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most K
-    size = F.least(F.col("n"), F.lit(K))
-    index = size - F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)) + 1
-    keep = F.greatest(index - (size - F.size("held")), F.lit(0)).cast("int")  # values that no other set holds are the rarest
+    held = rows.join(common, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))  # at most width
+    size, need = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
+    if width is not None:
+        size, need = F.least(size, F.lit(width)), F.least(F.lit(least), need)
+    keep = F.greatest(size - need + 1 - (size - F.size("held")), F.lit(0)).cast("int")  # values that no other set holds are the rarest
     weight = F.aggregate("held", F.lit(0).cast("bigint"), lambda s, x: s + x["df"])
     return stored(held.select("rep", "n", weight.alias("weight"), F.explode(F.slice("held", F.lit(1), keep)).alias("x")).select(F.col("x.value").alias("value"), "rep", "n", "weight"), "lists")
 
@@ -199,7 +219,7 @@ def _blocks(table: pa.Table) -> pa.Table:
     if len(i):
         keep = estimates(sketches, sizes, n, i, j, K) >= ESTIMATE
         i, j = i[keep], j[keep]
-    if len(i):  # a pair of several common lists belongs to the one of the smallest value
+    if len(i) and table.column("index").null_count == 0:  # a pair of several common lists belongs to the one of the smallest value
         keep = _first_common(table.column("index"), i, j) == table.column("value")[0].as_py()
         i, j = i[keep], j[keep]
     if len(i):
@@ -208,30 +228,29 @@ def _blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": rep[i], "b": rep[j]})
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc (its id), n_shingles, component_id (the smallest id reachable), kept."""
-    tuned(docs.sparkSession)
-    sets = sketched(docs, doc_id, text)
-    classes = sets.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = stored(classes, "classes")
-    lists = listed(reps)
-    members = lists.select(F.col("rep").alias("doc")).distinct()
-    raw = docs.select(F.col(doc_id).cast("long").alias("doc"), as_bytes(text).alias("raw"))
-    texts = stored(raw.join(members, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    sketches = widened(texts)
+def linked(lists: DataFrame, sketches: DataFrame, texts: DataFrame, links: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links found so far and those of one set of lists; and the members of lists with too many comparisons, if there are any.
 
+    last: all lists are compared, and a pair may be met in several.
+    """
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("id"), "n")).alias("h"), F.count("*").alias("m")).select("value", (-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n"), "m").where("m > 1")
     stars = lists.join(hubs, "value").where(F.col("rep") != F.col("hub")).where(fits("n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = stars.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     first = verified(stored(near.where(estimate("sa", "sb") >= WIDE_ESTIMATE).select("a", "b"), "near"), texts)
+    first = first if links is None else links.unionByName(first)
 
     reached = stored(components(first), "reached")
     named = lists.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "weight")
     hub_comp = hubs.where("m > 2").join(reached.withColumnRenamed("node", "hub"), "hub", "left").select("value", "hub", "m", F.coalesce("component", "hub").alias("hub_comp"))
     marked = named.join(hub_comp, "value").withColumn("other", F.col("comp") != F.col("hub_comp"))
-    open_ = marked.where("other").groupBy("value").agg(F.count("*").alias("o"))
-    index = lists.groupBy("rep").agg(F.collect_list("value").alias("index"))  # at most K
-    marked = marked.join(open_, "value").join(sketches, "rep").join(index, "rep")
+    open_ = stored(marked.where("other").groupBy("value").agg(F.count("*").alias("o"), F.first("m").alias("m_")), "open")
+    large = F.col("o") * F.col("m_") > PAIRS
+    hot = None
+    if not last and open_.where(large).limit(1).count():
+        hot = lists.join(open_.where(large).select("value"), "value", "left_semi").select("rep").distinct()
+        open_ = open_.where(~large)
+    index = lists.groupBy("rep").agg(F.collect_list("value").alias("index")) if not last else lists.select("rep").distinct().withColumn("index", F.lit(None).cast("array<bigint>"))
+    marked = marked.join(open_.drop("m_"), "value").join(sketches.select("rep", "sketch"), "rep").join(index, "rep")
     n_other, n_main = F.ceil(F.col("o") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("m") - F.col("o")) / BLOCK), F.lit(1)).cast("int")
     marked = marked.withColumns({"n_other": n_other, "n_main": n_main}).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))).cast("int"))
     block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -240,10 +259,30 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     across = F.when(F.col("other"), F.transform(upto("n_main"), lambda j: block(1, F.col("own"), j))).otherwise(F.transform(upto("n_other"), lambda i: block(1, i, F.col("own"))))
     spread = marked.withColumn("blk", F.explode(F.when(F.col("other"), F.concat(among, across)).otherwise(across))).select("value", "blk.kind", "blk.i", "blk.j", "rep", "comp", "n", "hub", "other", "sketch", "index")
     rest = spread.groupBy("value", "kind", "i", "j").applyInArrow(_blocks, "a bigint, b bigint").distinct()
-    second = verified(stored(rest, "rest"), texts)
+    return first.unionByName(verified(stored(rest, "rest"), texts)), hot
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc (its id), n_shingles, component_id (the smallest id reachable), kept."""
+    tuned(docs.sparkSession)
+    sets = sketched(docs, doc_id, text)
+    classes = sets.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = stored(classes, "classes")
+    lists = listed(reps)
+    members = lists.select(F.col("rep").alias("doc")).distinct()
+    raw = docs.select(F.col(doc_id).cast("long").alias("doc"), as_bytes(text).alias("raw"))
+    texts = stored(raw.join(members, "doc", "left_semi").groupBy("doc").agg(F.min("raw").alias("raw")), "texts")
+    sketches = widened(texts)
+
+    links, hot = linked(lists, sketches, texts, None, False)
+    if hot is not None:
+        links, hot = linked(listed(sketches.join(stored(hot, "hot"), "rep", "left_semi"), WIDE, WIDE_SHARED), sketches, texts, links, False)
+    if hot is not None:
+        whole = widened(texts.join(stored(hot, "hot").withColumnRenamed("rep", "doc"), "doc", "left_semi"), None)
+        links, _ = linked(listed(whole, None), sketches, texts, links, True)
 
-    linked = components(first.unionByName(second))
-    final = reps.select("fp", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("root"))
+    joined = components(links)
+    final = reps.select("fp", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("root"))
     out = sets.select("doc", "n", "fp").join(final, "fp", "left")
     root = F.coalesce("root", "doc")
     return out.select("doc", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc") == root).alias("kept"))
