@@ -1,19 +1,24 @@
 """Line dedup over a sharded minimal perfect hash.
 
 1. The distinct (line hash, document) pairs of all lines long enough are stored.
-2. Hashes in at least `least` documents are kept with their count of documents
-   and the largest document id; a shard of them becomes a minimal perfect hash
-   with arrays of fingerprints, counts and ids, one row of bytes.
-3. Batches of documents probe the arrays of each shard (what a shard answers
-   is only the hits), and each batch of texts drops its lines.
-
-Nothing is collected: shards, probes and batches are rows of bounded size. A
-very frequent line is counted before the shuffle and probed once a batch.
+2. All distinct hashes, with their count of documents and the largest document
+   id, are dealt to shards; a shard of them becomes a minimal perfect hash with
+   arrays of fingerprints, counts and ids, one row of bytes.
+3. Batches of documents probe the arrays of each shard. Each probe is of a line
+   that the shard holds, so the perfect hash gives its own place and the count
+   decides; the fingerprint only guards against a shard that isn't whole. What a
+   shard answers is only the repeated lines, and each batch of texts drops them.
+
+So lines are told apart by their 64-bit hashes alone: two different lines are
+taken for one with odds of 2**-64 a pair. Nothing is collected: shards, probes and
+batches are rows of bounded size, in as many partitions as there are. A very
+frequent line is counted before the shuffle and probed once a batch.
 
 Defined cases: null or empty text is one empty line; short lines stay; a
 repeated row with one doc_id counts as one document and each row keeps or loses
 its lines alike; a null doc_id counts as no document, and its lines that repeat
-elsewhere go. Other columns of the documents pass through, whatever their names.
+elsewhere go. Other columns pass through; one named n_lines or n_dropped (in any
+case) comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -26,15 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, as_bytes, batches, mix, stored, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, batches, mix, stored, tuned
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Keys of a shard's arrays, and pairs of line and batch that probe one shard.
-SHARD_KEYS = 250_000
-SHARD_PROBES = 1_500_000
+#: Lines, counted once a document, of which one shard has its share of the distinct ones and of the probes.
+SHARD_ROWS = 400_000
 GAMMA = 1.7
 
 
@@ -139,7 +142,9 @@ def _probe(least: int):
         prints, counts, last = np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint32, n, 4 * n), np.frombuffer(raw, np.int64, n, 8 * n)
         keys = lines.column("h").to_numpy()
         at = index.index(keys.view(np.uint64))
-        hit = (at >= 0) & (prints[at] == fingerprint(keys.view(np.uint64))) & (counts[at] >= least)
+        if (at < 0).any() or (prints[at] != fingerprint(keys.view(np.uint64))).any():
+            raise ValueError("a line is missing from its shard")
+        hit = counts[at] >= least
         return pa.table({"h": keys[hit], "part": lines.column("part").to_numpy()[hit], "last": last[at[hit]]}, schema=empty.schema)
 
     return run
@@ -147,40 +152,34 @@ def _probe(least: int):
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with repeated lines dropped from the text, and n_lines and n_dropped added."""
-    spark = docs.sparkSession
-    tuned(spark)
-    n_parts = batches(docs, text)
-    part = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_parts)).cast("int")
-    lines = stored(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc"), part.alias("part"), as_bytes(text).alias("raw")), _line_rows(min_chars), "h bigint, doc bigint, part int"), "lines")
-    total = lines.count()
-    counted = lines.where(F.col("doc").isNotNull()).select("h", "doc").dropDuplicates().groupBy("h").agg(F.count("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-    repeated = stored(counted, "repeated")
-    shards = max(1, -(-repeated.count() // SHARD_KEYS), -(-total // SHARD_PROBES))
+    tuned(docs.sparkSession)
+    carried = Carried(docs, "n_lines", "n_dropped")
+    names, id_at, text_at = carried.inner, carried.of(doc_id), carried.of(text)
+    n_parts = batches(carried.docs, text_at)
+    part = F.pmod(F.xxhash64(id_at, text_at), F.lit(n_parts)).cast("int").alias("part")
+    lines = stored(arrow_map(carried.docs.select(F.col(id_at).cast("long").alias("doc"), part, as_bytes(text_at).alias("raw")), _line_rows(min_chars), "h bigint, doc bigint, part int"), "lines")
+    shards = max(1, -(-lines.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard")
-    arrays = repeated.select("h", "n", "last", shard).groupBy("shard").applyInArrow(_arrays, "shard int, hash binary, arrays binary")
+    dealt = lambda df, n, by: df.repartition(n, by).groupBy(by)  # noqa: E731  in as many partitions as there are groups, whatever the session's number
+    counted = lines.select("h", "doc").dropDuplicates().groupBy("h").agg(F.count("doc").alias("n"), F.coalesce(F.max("doc"), F.lit(0)).alias("last"))
+    arrays = dealt(counted.select("h", "n", "last", shard), shards, "shard").applyInArrow(_arrays, "shard int, hash binary, arrays binary")
     probes = lines.select("h", "part").dropDuplicates().select("h", "part", shard)
-    hits = arrays.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(_probe(min_docs), "h bigint, part int, last bigint")
-    kind = StructType([*docs.schema.fields, *StructType.fromDDL("n_lines bigint, n_dropped bigint").fields])
-    own, text_at, id_at = to_arrow_schema(kind), docs.columns.index(text), docs.columns.index(doc_id)
-    names = [f"c{k}" for k in range(len(docs.columns))]
+    hits = dealt(arrays, shards, "shard").cogroup(dealt(probes, shards, "shard")).applyInArrow(_probe(min_docs), "h bigint, part int, last bigint")
+    kind = carried.schema("n_lines bigint, n_dropped bigint")
+    own = to_arrow_schema(kind)
 
     def rebuilt(batch: pa.Table, found: pa.Table) -> pa.Table:
         last = dict(zip(found.column("h").to_pylist(), found.column("last").to_pylist(), strict=True))
         texts, n_lines, n_dropped = [], [], []
-        for doc, raw in zip(batch.column("_doc").to_pylist(), batch.column("_raw"), strict=True):
+        for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("raw"), strict=True):
             split = raw.as_py().split(b"\n")
             kept = [x for x in split if (h := line_hash(line_key(x), min_chars)) is None or last.get(h, doc) == doc] if last else split
             texts.append(b"\n".join(kept))
             n_lines.append(len(split))
             n_dropped.append(len(split) - len(kept))
-        columns = [batch.column(c) for c in names]
-        columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.Table.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=own)
-
-    renamed = docs.toDF(*names)
-    carried = renamed.select(
-        *(F.lit(None).cast(docs.schema[text].dataType).alias(c) if k == text_at else F.col(c) for k, c in enumerate(names)),
-        F.col(names[id_at]).cast("long").alias("_doc"), as_bytes(names[text_at]).alias("_raw"),
-        F.pmod(F.xxhash64(names[id_at]), F.lit(n_parts)).cast("int").alias("_part"),
-    )
-    return carried.groupBy("_part").cogroup(hits.withColumnRenamed("part", "_part").groupBy("_part")).applyInArrow(rebuilt, kind)
+        columns = {c: batch.column(c) for c in names} | {text_at: pa.array(texts, pa.binary()).cast(pa.string())}
+        return pa.Table.from_arrays([*columns.values(), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], schema=own)
+
+    gone = F.lit(None).cast("string").alias(text_at)  # the text travels once, as bytes
+    texts = carried.docs.select(*(gone if c == text_at else F.col(c) for c in names), F.col(id_at).cast("long").alias("doc"), as_bytes(text_at).alias("raw"), part)
+    return carried.back(dealt(texts, n_parts, "part").cogroup(dealt(hits, n_parts, "part")).applyInArrow(rebuilt, kind))
