@@ -8,7 +8,9 @@ lacing; each frame becomes a packet with its track, time and byte range.
 
 Defined cases: null text is empty and, padded, one block of zeros; equal texts
 give equal files; an element that claims more bytes than its parent has ends
-the parent (as a cut-off download does); a malformed number raises ValueError.
+the parent (as a cut-off download does); a malformed number or lace raises
+ValueError from parse(), and gives packets() the packets before it and one more row
+of its file with the error and no packet. Null doc_ids and repeated rows each give a row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, as_bytes, tuned
+from tidemark.llm.common import arrow_map, as_bytes, stored, tuned
 
 #: Element ids of the Matroska specification (fixed values).
 EBML, DOC_TYPE, SEGMENT = 0x1A45DFA3, 0x4282, 0x18538067
@@ -99,12 +101,13 @@ def write(samples: bytes, rate: int = RATE, frame: int = FRAME, laced: int = LAC
     return head + element(SEGMENT, b"".join([*parts, element(CUES, b"".join(cues))]))
 
 
-def read_vint(raw: bytes, at: int, keep: bool = False) -> tuple[int, int]:
+def read_vint(raw: bytes, at: int, keep: bool = False, end: int | None = None) -> tuple[int, int]:
     """Value and position after it; keep: with the marker, as ids are. A size of all ones is -1."""
-    if at >= len(raw) or not raw[at]:
+    end = len(raw) if end is None else end
+    if at >= end or not raw[at]:
         raise ValueError(f"no variable-length number at {at}")
     n = 9 - raw[at].bit_length()
-    if at + n > len(raw):
+    if at + n > end:
         raise ValueError(f"a number is cut off at {at}")
     value = int.from_bytes(raw[at : at + n], "big")
     if keep:
@@ -117,10 +120,10 @@ def elements(raw: bytes, at: int = 0, end: int | None = None, parent: int = 0) -
     """(id, position, start of body, end of body) of what is directly inside."""
     end = len(raw) if end is None else end
     while at < end:
-        ident, body = read_vint(raw, at, keep=True)
+        ident, body = read_vint(raw, at, keep=True, end=end)
         if parent == CLUSTER and ident in TOP:
             return
-        size, body = read_vint(raw, body)
+        size, body = read_vint(raw, body, end=end)
         stop = end if size < 0 else min(body + size, end)
         if size < 0 and ident == CLUSTER:
             stop = max([x[3] for x in elements(raw, body, end, CLUSTER)], default=body)
@@ -143,6 +146,8 @@ def frame_sizes(raw: bytes, at: int, end: int, kind: int) -> tuple[int, list[int
     """Start of the frames and their sizes."""
     if not kind:
         return at, [end - at]
+    if at >= end:
+        raise ValueError("lacing sizes exceed the block")
     n, at, sizes = raw[at] + 1, at + 1, []
     if kind == FIXED:
         if (end - at) % n:
@@ -150,13 +155,15 @@ def frame_sizes(raw: bytes, at: int, end: int, kind: int) -> tuple[int, list[int
         return at, [(end - at) // n] * n
     for k in range(n - 1):
         if kind == XIPH:
-            size = 0
-            while raw[at] == 255:
-                size, at = size + 255, at + 1
-            size, at = size + raw[at], at + 1
+            size, byte = 0, 255
+            while byte == 255:
+                if at >= end:
+                    raise ValueError("lacing sizes exceed the block")
+                byte = raw[at]
+                size, at = size + byte, at + 1
         else:
             before = at
-            size, at = read_vint(raw, at)
+            size, at = read_vint(raw, at, end=end)
             if k:
                 size = sizes[-1] + size - ((1 << 7 * (at - before) - 1) - 1)
         sizes.append(size)
@@ -166,10 +173,10 @@ def frame_sizes(raw: bytes, at: int, end: int, kind: int) -> tuple[int, list[int
     return at, sizes
 
 
-def parse(raw: bytes) -> tuple[dict, list[Packet], list[tuple[int, int, int]]]:
-    """Tracks and scale, packets, and cues as (time, track, absolute position of the cluster)."""
+def parse(raw: bytes, packets: list[Packet] | None = None) -> tuple[dict, list[Packet], list[tuple[int, int, int]]]:
+    """Tracks and scale, packets, and cues as (time, track, absolute position of the cluster). packets: is filled, also where it ends in an error."""
     info: dict = {"scale": 1_000_000, "tracks": {}}
-    packets: list[Packet] = []
+    packets = [] if packets is None else packets
     cues: list[tuple[int, int, int]] = []
     number = lambda a, b: int.from_bytes(raw[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", raw[a:b])[0]
@@ -204,7 +211,7 @@ def parse(raw: bytes) -> tuple[dict, list[Packet], list[tuple[int, int, int]]]:
                         base = number(c, d)
                     inner = [(c, d, True)] if x == SIMPLE_BLOCK else [(e, f, False) for y, _, e, f in elements(raw, c, d) if y == BLOCK] if x == BLOCK_GROUP else []
                     for e, f, simple in inner:
-                        track, at = read_vint(raw, e)
+                        track, at = read_vint(raw, e, end=f)
                         if at + 3 > f:
                             raise ValueError("a block is cut off")
                         time, flags = struct.unpack_from(">hB", raw, at)
@@ -216,17 +223,22 @@ def parse(raw: bytes) -> tuple[dict, list[Packet], list[tuple[int, int, int]]]:
     return info, packets, cues
 
 
-PACKETS = "track int, timestamp_ns bigint, offset bigint, size bigint, keyframe boolean, cluster int, lace int"
+PACKETS = "track int, timestamp_ns bigint, offset bigint, size bigint, keyframe boolean, cluster int, lace int, error string"
 
 
 def packets(files: DataFrame, key: str, media: str) -> DataFrame:
-    """One row a packet: key, track, timestamp_ns, byte range, keyframe, cluster, number in its lace."""
+    """One row a packet: key, track, timestamp_ns, byte range, keyframe, cluster, number in its lace; one more row, with the error, where a file can't be parsed to its end."""
     tuned(files.sparkSession)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = parse(raw.as_py() or b"")[1]
-            yield {"key": [name] * len(own)} | {f: [getattr(p, f) for p in own] for f in Packet.__dataclass_fields__}
+            own, error = [], None
+            try:
+                parse(raw.as_py() or b"", own)
+            except (ValueError, struct.error, KeyError) as e:
+                error = f"{type(e).__name__}: {e}"
+            none = [None] * (error is not None)
+            yield {"key": [name] * (len(own) + len(none)), "error": [None] * len(own) + [error] * len(none)} | {f: [getattr(p, f) for p in own] + none for f in Packet.__dataclass_fields__}
 
     kind = files.select(F.col(key).alias("key")).schema
     return arrow_map(files.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")), run, StructType([*kind.fields, *StructType.fromDDL(PACKETS).fields]))
@@ -250,13 +262,13 @@ def features(samples: bytes, found: list[Packet], info: dict, cues: list[tuple[i
 
 
 def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the Matroska file that holds the padded text as samples."""
+    """Stored doc_id, n_bytes and the Matroska file that holds the padded text as samples."""
     tuned(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column(0), "n_bytes": [len(x.as_py()) for x in batch.column(1)], "media": [write(padded(x.as_py())) for x in batch.column(1)]}
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("raw")), run, "doc_id bigint, n_bytes bigint, media binary")
+    return stored(arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("raw")), run, "doc_id bigint, n_bytes bigint, media binary"), "media", compression="zstd")
 
 
 def read_back(files: DataFrame) -> DataFrame:
