@@ -8,17 +8,25 @@ written as Parquet in the shared folder, as executors share no local files.
 
 Equal payloads of at least `min_bytes` are stored once: the one with the
 smallest id is a response, others are revisits without a payload. Only digests
-and ids are shuffled to find them.
+and ids are shuffled to find them; the few that are revisits are then joined to
+the pages by digest and id together, so a page that is copied very often is no hot key.
+A revisit's length and digest are those of the full payload, kept in its head.
+
+Records are WARC/1.1: each archive begins with a warcinfo record, a response's block
+is an HTTP message, each has a date (`date`, since the tables have no capture time).
 
 Defined cases: a null payload is empty; repeated ids each make a record, and of
 rows with the smallest id and one payload all are responses; a null id can't be
-referred to and stays a response, unless another row has its payload.
+referred to and stays a response, unless another row has its payload. A null URL is
+empty; what a URI can't hold is percent-encoded. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import urllib.parse
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,21 +43,39 @@ SAMPLE_BYTES = 512 << 10
 DICTIONARY_BYTES = 16 << 10
 MIN_BYTES = 100
 LEVEL = 3
+#: Capture time of records where none is given.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def _head(**fields: str) -> bytes:
+    return b"WARC/1.1\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n"
+
+
+def clean_url(url: str | None) -> str:
+    """The URL with what a header line or a URI can't hold percent-encoded; escapes that it has stay."""
+    return urllib.parse.quote(url or "", safe="%/:?#[]@!$&'()*+,;=~-._")
+
+
+def info(date: str) -> bytes:
+    """The first record of an archive."""
+    body = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    return _head(WARC_Type="warcinfo", WARC_Record_ID=f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, date)}>", WARC_Date=date, Content_Type="application/warc-fields", Content_Length=str(len(body))) + body + b"\r\n\r\n"
 
 
-def record(kind: str, page: int | None, uri: str | None, digest: str, length: int, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit names what it refers to and has no payload."""
-    clean = "".join((uri or "").splitlines()).replace("\r", "")
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Target-URI: {clean}",
-        f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}",
-    ]
+def record(kind: str, page: int | None, url: str | None, digest: str, length: int, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+    """One WARC record: a response is an HTTP message with the payload; a revisit names what it refers to and has no block."""
+    block = b"" if kind == "revisit" else f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    fields = {
+        "WARC_Type": kind, "WARC_Record_ID": f"<urn:page:{'' if page is None else page}>", "WARC_Date": date, "WARC_Target_URI": clean_url(url),
+        "WARC_Payload_Digest": f"sha256:{digest}", "X_Payload_Length": str(length), "Content_Type": "application/http; msgtype=response", "Content_Length": str(len(block)),
+    }
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        fields |= {"WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC_Refers_To": f"<urn:page:{refers_to}>"}
+    return _head(**fields) + block + b"\r\n\r\n"
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields, and the block; a response's without its HTTP head."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -58,7 +84,8 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     length = int(fields["Content-Length"])
     if rest[length:] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return fields, rest[:length]
+    block = rest[:length]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else block
 
 
 def dictionary(records: list[bytes]) -> bytes:
@@ -72,10 +99,11 @@ def dictionary(records: list[bytes]) -> bytes:
         return b"".join(sample)[-DICTIONARY_BYTES:] or b"WARC/1.1\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
+def archive(records: list[bytes], date: str = DATE) -> bytes:
+    """The dictionary frame, a warcinfo record and the records, each a frame."""
     raw = dictionary(records)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True, write_checksum=True)
-    return struct.pack("<II", MAGIC, len(raw)) + raw + b"".join(map(packer.compress, records))
+    return struct.pack("<II", MAGIC, len(raw)) + raw + packer.compress(info(date)) + b"".join(map(packer.compress, records))
 
 
 def read_archive(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -99,26 +127,27 @@ def _number(urn: str) -> int | None:
     return int(value) if value else None
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES, date: str = DATE) -> DataFrame:
     """Rows (archive, records, bytes) of all pages' archives, stored in the shared folder."""
     tuned(pages.sparkSession)
     own = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), as_bytes(payload).alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload"))
     first = own.where(F.col("length") >= min_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    known = own.join(first, "digest", "left")
+    again = own.select("digest", "page").join(first, "digest").where(~F.col("page").eqNullSafe(F.col("first"))).distinct()  # ids only: a digest may be very frequent
+    again = again.select(F.col("digest").alias("of"), F.col("page").alias("by"), "first")
+    known = own.join(again, (F.col("digest") == F.col("of")) & F.col("page").eqNullSafe(F.col("by")), "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[bytes] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([len(waiting)], pa.int64()), pa.array([archive(waiting)], pa.binary())], names=["records", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([len(waiting)], pa.int64()), pa.array([archive(waiting, date)], pa.binary())], names=["records", "bytes"])
 
         for batch in it:
             for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
                 digest, page, uri, body, length, first_page = (x.as_py() for x in row)
-                again = first_page is not None and page != first_page
-                waiting.append(record("revisit" if again else "response", page, uri, digest, length, b"" if again else body, first_page if again else None))
+                waiting.append(record("response" if first_page is None else "revisit", page, uri, digest, length, b"" if first_page is not None else body, first_page, date))
                 size += len(waiting[-1])
                 if size >= ARCHIVE_BYTES:
                     yield done()
@@ -145,6 +174,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows = []
                 for at, one in read_archive(raw.as_py()):
                     head, body = parsed(one)
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest, length = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
                     if head["WARC-Type"] == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != length):
                         raise ValueError(f"the payload of {head['WARC-Record-ID']} has changed")
