@@ -510,7 +510,8 @@ def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str =
     tuned(spark)
     parts = batches(docs, text, PART_BYTES)
     carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.pmod(F.xxhash64(doc_id, text), F.lit(parts)).cast("int").alias("part"), as_bytes(text).alias("raw"))
-    units = stored(carried.groupBy("part").applyInArrow(_units(context), "part int, kind int, key bigint, n bigint"), "units")
+    dealt = lambda df: df.repartition(parts, "part").groupBy("part")  # noqa: E731  a part a task, about, whatever the session's number of partitions
+    units = stored(dealt(carried).applyInArrow(_units(context), "part int, kind int, key bigint, n bigint"), "units")
     words = units.where("kind = 0").groupBy("key").agg(F.sum("n").cast("double").alias("value"))
     words = stored(words, "words")
     total = words.agg(F.sum("value").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
@@ -547,4 +548,4 @@ def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str =
             "train_tokens": pa.array([n_train] * len(doc), pa.int64()), "base_score": pa.array(base_, pa.float64()), "score": pa.array(score_, pa.float64()),
         })
 
-    return carried.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return dealt(carried).cogroup(dealt(answers)).applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
