@@ -59,8 +59,32 @@ def test_edge_cases_and_packets(spark):
     assert mk.read_back(mk.stored_media(df.limit(0))).count() == 0
 
 
+def test_laces_that_run_off_the_end():
+    for raw, kind in ((b"\x01\xff\xff", mk.XIPH), (b"\x02\x05", mk.XIPH), (b"\x02\x41", mk.EBML_LACING), (b"\x01\x90", mk.EBML_LACING), (b"", mk.FIXED), (b"\x01\x09" + b"x" * 5, mk.XIPH)):
+        with pytest.raises(ValueError):
+            mk.frame_sizes(raw, 0, len(raw), kind)
+    with pytest.raises(ValueError):  # what follows the block is not its own
+        mk.frame_sizes(b"\x01\xff\xff\x01" + b"x" * 600, 0, 3, mk.XIPH)
+
+
+def test_files_are_stored_and_broken_ones_give_their_error(spark):
+    media = mk.stored_media(spark.createDataFrame([(1, "some text " * 20_000)], "doc_id bigint, text string"))
+    assert media.inputFiles() and all("/media-" in f for f in media.inputFiles())
+    good = bytes(media.first().media)
+    broken = mk.element(mk.EBML, b"") + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, mk.element(mk.SIMPLE_BLOCK, mk.vint(1) + b"\x00\x00\x02\x01\xff\xff")))
+    df = spark.createDataFrame([("good", good), ("broken", broken), ("zero", b"\x00\x01"), ("null", None), ("cut", good[:-2000])], "name string, media binary")
+    got = mk.packets(df, "name", "media").collect()
+    assert {r.key for r in got} == {"good", "broken", "zero", "cut"} and {r.key for r in got if r.error} == {"broken", "zero", "cut"}
+    assert 100 < sum(r.key == "cut" and r.size == 800 for r in got) < 250
+    assert all((r.size is None) == (r.error is not None) for r in got) and sum(r.size for r in got if r.key == "good") == 200_000
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
     rows = queries.op3_matroska(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(texts)
-    assert all(r.payload_sha256 == hashlib.sha256(mk.padded((texts[r.doc_id] or "").encode())).hexdigest() for r in rows)
+    for r in rows:
+        data = mk.padded(raw := (texts[r.doc_id] or "").encode())
+        media = mk.write(data)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and f"packets={-(-len(data) // 800)};" in r.feature

@@ -36,7 +36,7 @@ def test_line_dedup_is_the_sql(spark):
 
 
 def test_line_dedup_shards_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(line_dedup, "SHARD_ROWS", 12)
     rows = [(k, f"{LONG} number {k % 20}\n{LONG}") for k in range(90)] + [(None, LONG), (5, f"{LONG} number 5\n{LONG}")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     kept = {r.doc_id: r.text for r in got}
@@ -58,7 +58,7 @@ def test_decontamination_is_the_sql(spark):
     rng = random.Random(0)
     docs = [(0, None), (1, ""), (2, "no words: ... !"), (3, ITEMS[0][1]), (4, "x " * 500 + "just FOUR, words-here"), (5, "x single"), (6, "é-ü " + ITEMS[4][1] + ITEMS[5][1])]
     docs += [(k, " ".join(rng.choice([f"w{j}" for j in range(30)] + ["single", "just", "four", "words", "here"]) for _ in range(200)) + " " + " ".join(f"w{j}" for j in range(rng.randrange(10), 28))) for k in range(10, 30)]
-    df = spark.createDataFrame([(*d, "i") for d in docs], "doc_id bigint, text string, items string").drop("items")
+    df = spark.createDataFrame([(*d, "i") for d in docs], "doc_id bigint, text string, items string")
     want = {r["doc_id"]: r for r in sql("op7_decontaminate", documents=("doc_id bigint, text varchar", docs), benchmark=("item_id bigint, text varchar", [x for x in ITEMS if x[0] != 3]))}
     for most in (decontaminate.MAX_WORDS, 22):  # one automaton, several
         got = decontaminate.contamination(df, spark.createDataFrame(ITEMS, "item_id bigint, text string"), max_words=most).withColumn("sha", decontaminate.digest("items")).collect()
@@ -84,12 +84,53 @@ def test_archives(spark, monkeypatch):
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want and len(got) == len(PAGES)
     assert {r.page_id: r.payload.decode() for r in got if r.record_type == "response"} == {p: h or "" for p, _, h in PAGES if want[p][2] == "response"}
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+    for (raw,) in archives.select("bytes").collect():
+        for k, (_, one) in enumerate(warc.read_archive(bytes(raw))):
+            head, _ = warc.parsed(one)
+            assert (head["WARC-Type"] == "warcinfo") == (k == 0) and one.startswith(b"WARC/1.1\r\n") and head["WARC-Date"] == warc.DATE and head["WARC-Record-ID"]
+            if head["WARC-Type"] == "response":
+                block = one.partition(b"\r\n\r\n")[2][:-4]
+                assert head["Content-Type"].startswith("application/http") and block.startswith(b"HTTP/1.1 200 OK\r\n") and int(head["Content-Length"]) == len(block)
     raw = bytes(archives.first().bytes)
     assert raw[:4] == b"\x5d\x2a\x4d\x18"
     with pytest.raises(ValueError):
         list(warc.read_archive(raw[:-3]))
 
 
+def test_urls_that_a_header_cannot_hold(spark):
+    urls = ["http://a/b%20c?d=1#e", "http://a/\u2028x\x0by\x85\r\nWARC-Type: response", "http://\u00e9/ z", None]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("html", warc.F.lit("x")))).collect()
+    found = {r.page_id: r.url for r in got}
+    assert found == {k: warc.clean_url(u) for k, u in enumerate(urls)} and found[0] == urls[0] and found[3] == "" and all(u.isascii() and u.isprintable() for u in found.values())
+
+
+def test_a_line_is_not_lost_where_fingerprints_are_equal(spark, monkeypatch):
+    """Fingerprints all alike: each line still has its own place in its shard, so only lines in three documents go."""
+    monkeypatch.setattr(line_dedup, "fingerprint", lambda keys: np.zeros(len(keys), np.uint32))
+    rows = [(k, f"{LONG} number {k}\n{LONG}") for k in range(40)]
+    keys = line_dedup.PerfectHash(np.arange(7, 50, dtype=np.uint64))
+    assert sorted(keys.index(np.arange(7, 50, dtype=np.uint64)).tolist()) == list(range(43))
+    table = line_dedup.pa.table({"shard": [0] * 3, "h": [1, 2, 3], "n": [1, 5, 1], "last": [10, 20, 30]})
+    arrays = line_dedup._arrays(table)
+    hits = line_dedup._probe(3)(arrays, line_dedup.pa.table({"h": line_dedup.pa.array([1, 2, 3]), "part": line_dedup.pa.array([0, 0, 0], line_dedup.pa.int32())}))
+    assert hits.to_pylist() == [{"h": 2, "part": 0, "last": 20}]
+    monkeypatch.undo()  # tasks have the real one
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: f"{LONG} number {k}" + (f"\n{LONG}" if k == 39 else "") for k in range(40)}
+
+
+def test_very_long_texts(spark):
+    """One text of 400,000 lines and one of 300,000 words beside small ones."""
+    rows = [(1, "\n".join(f"a long line, of its own number {k % 1000}" for k in range(400_000))), (2, "a long line, of its own number 7"), (3, "a long line, of its own number 7"), (4, " ".join(f"w{k % 700}" for k in range(300_000)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (400_000, 400), 2: (1, 1), 3: (1, 0), 4: (1, 0)}
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contamination(df, spark.createDataFrame([(9, " ".join(f"w{k}" for k in range(690, 703)).replace("w700", "w0").replace("w701", "w1").replace("w702", "w2"))], "item_id bigint, text string")).collect()}
+    assert found[4] == (300_000, 13 * (300_000 // 700)) and found[2] == (8, 0)
+    pages = df.select(warc.F.col("doc_id").alias("page_id"), warc.F.lit("u").alias("url"), warc.F.col("text").alias("html"))
+    assert {r.page_id: r.payload_bytes for r in warc.read_archives(warc.write_archives(pages)).collect()} == {d: len(t) for d, t in rows}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, rng.randrange(1000, 1200)) for _ in range(300)] + [(5, 5), (3, 2000), (2000, 1999)]
@@ -107,8 +148,11 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if x != 5}
 
 
-def test_near_dedup_is_the_sql(spark, monkeypatch):
+@pytest.mark.parametrize("pairs", [near_dedup.PAIRS, 30, 0])
+def test_near_dedup_is_the_sql(spark, monkeypatch, pairs):
+    """pairs: with few comparisons allowed a list, most are listed again by longer sketches, and again by whole sets."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(5000)}"
     docs = [(0, None), (1, ""), (2, " \n"), (3, "a b"), (4, "A  b"), (5, "a b c d e"), (6, "a b c d e f"), (7, "x" * 5000)]
@@ -127,3 +171,30 @@ def test_near_dedup_is_the_sql(spark, monkeypatch):
     got = near_dedup.deduplicated(df.repartition(3)).collect()
     assert {r.doc: (r.n_shingles, r.component_id, r.kept) for r in got} == want and len(got) == len(docs)
     assert near_dedup.deduplicated(df.limit(0)).count() == 0
+
+
+def test_a_passage_of_many_unlike_texts_makes_no_pairs(spark, monkeypatch):
+    """3,000 texts of 150 words share 90: by 48 values they are listed together, by 256 not at all; copies among them are found."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [word() for _ in range(90)]
+    docs = [(k, " ".join([*shared, *(word() for _ in range(60))])) for k in range(3000)]
+    docs += [(5000 + k, docs[k * 30][1] + " " + word()) for k in range(100)]
+    seen = []
+    real = near_dedup.listed
+    monkeypatch.setattr(near_dedup, "listed", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = {r.doc: r.component_id for r in near_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {d: d if d < 5000 else (d - 5000) * 30 for d, _ in docs}
+    assert len(seen) == 2 and seen[0].groupBy("value").count().where("count > 2000").count() and not seen[1].groupBy("value").count().where("count > 10").count()
+
+
+def test_near_dedup_rows_of_one_id_and_without_one(spark):
+    rng = random.Random(6)
+    one, two = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(2))
+    rows = [(7, one), (7, two), (3, one + " more"), (9, two + " end"), (None, one), (None, "alone here"), (None, None), (11, None)]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    copy = 3 if one < two else 9  # of the least text of id 7, which is the one that is verified
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc in (7, copy)} == {min(7, copy)}
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc is None and r.n_shingles < 50) == [(0, None, None), (1, None, None)]
+    assert [r.component_id for r in got if r.doc is None and r.n_shingles > 50] == [min(7, copy)] and [(r.component_id, r.kept) for r in got if r.doc == 11] == [(11, True)]
+    assert got and near_dedup.deduplicated(spark.createDataFrame([(None, None)] * 3, "doc_id bigint, text string")).count() == 3

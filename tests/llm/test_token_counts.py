@@ -39,11 +39,12 @@ def test_documents_and_edge_cases(spark):
     vocabulary = tc.pieces(MODEL)
     texts = [None, "", " \n", "the cat", "the cat", "w" * 4000, "naïve 北京 🎉 the"]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, score int")
-    rows = tc.counted(df.drop("score"), vocabulary).collect()
+    rows = tc.counted(df, vocabulary).collect()
+    assert all(r.score_in == 1 for r in rows)
     for r in rows:
         own = [alone(tc.MARK + w, vocabulary) for w in (r.text or "").split()]
         assert (r.n_words, r.n_tokens) == (len(own), sum(n for _, n in own)) and math.isclose(r.score, sum(s for s, _ in own), abs_tol=1e-6)
-    assert tc.counted(df.drop("score").limit(0), vocabulary).count() == 0
+    assert tc.counted(df.limit(0), vocabulary).count() == 0
     texts = {r.doc_id: r.text for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
     seen = {}
     for r in queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect():

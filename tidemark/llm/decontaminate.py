@@ -11,7 +11,9 @@ is bounded; more items make more automata, whose hits are united.
 Defined cases: null or empty text has no words and no hits; an item without
 words, with null text or with a null id is ignored; repeated items with one id
 count once; repeated documents each give a row; an empty table of items hits
-nothing. Extra columns of either table are not touched.
+nothing. Other columns of the documents pass through; one that has the name of an
+added column (in any case) comes back with `_in` appended. Other columns of the
+items are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, as_bytes, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, tuned
 
 WINDOW = 13
 MAX_WORDS = 200_000
+#: A document is contaminated where at least one word in so many is hit.
+ONE_IN = 20
+ADDED = ("n_words", "hit_spans", "n_hit", "items", "contaminated")
 #: Lower-cases A-Z and makes every other byte below 0x80, but digits and a-z, a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -168,33 +172,34 @@ def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
         yield Automaton(part, window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS, share: float = 0.05) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS, one_in: int = ONE_IN) -> DataFrame:
     """docs with n_words, hit_spans (ranges of words), n_hit, items (sorted ids) and contaminated added.
 
-    contaminated: some word is hit and at least `share` of the words are.
+    contaminated: some word is hit and at least one in `one_in` of the words is (whole numbers only).
+    Automata are built and broadcast one after another; the driver holds one at a time.
     """
     spark = docs.sparkSession
     tuned(spark)
-    built = list(automata(benchmark, item_id, text, window, max_words)) or [Automaton([], window)]
-    fields = docs.columns
-    out = docs
-    for k, one in enumerate(built):
-        out = _matched(spark, out, one, text, first=k == 0)
+    carried = Carried(docs, *ADDED)
+    out, first = carried.docs, True
+    for one in itertools.chain(automata(benchmark, item_id, text, window, max_words), [None]):
+        if one is not None or first:
+            out = _matched(spark, carried, out, one or Automaton([], window), carried.of(text), first)
+            first = False
     width = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
-    return out.select(*fields, "n_words", "hit_spans", width.alias("n_hit"), F.array_sort("items").alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") + 1e-9 >= F.col("n_words") * share))
+    out = out.withColumns({"n_hit": width, "items": F.array_sort("items")}).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+    return carried.back(out)
 
 
-def _matched(spark: SparkSession, docs: DataFrame, automaton: Automaton, text: str, first: bool) -> DataFrame:
+def _matched(spark: SparkSession, carried: Carried, docs: DataFrame, automaton: Automaton, text: str, first: bool) -> DataFrame:
     """Adds what one automaton finds; the row goes through Python whole, so no join brings it back."""
     shared = spark.sparkContext.broadcast(automaton)
-    names = [c for c in docs.columns if first or c not in ("n_words", "hit_spans", "items")]
-    frame = docs.withColumn("_bytes", as_bytes(text))
-    kind = StructType([docs.schema[c] for c in names] + StructType.fromDDL(f"n_words bigint, hit_spans {SPANS}, items array<string>").fields)
+    names = carried.inner
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         has = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
         counts, spans, items = [], [], []
-        for k, value in enumerate(has["_bytes"]):
+        for k, value in enumerate(has["raw"]):
             n, got, found = shared.value.hits(value.as_py())
             if not first:
                 found |= set(has["items"][k].as_py())
@@ -204,7 +209,7 @@ def _matched(spark: SparkSession, docs: DataFrame, automaton: Automaton, text: s
             items.append(sorted(found))
         yield {c: has[c] for c in names} | {"n_words": counts, "hit_spans": spans, "items": items}
 
-    return arrow_map(frame, run, kind)
+    return arrow_map(docs.withColumn("raw", as_bytes(text)), run, carried.schema(f"n_words bigint, hit_spans {SPANS}, items array<string>"))
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,24 +226,24 @@ def digest(items: F.Column) -> F.Column:
     return F.sha2(F.concat_ws(",", items), 256)
 
 
-def without_spans(docs: DataFrame, text: str = "text", limit: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """Cuts hit ranges of at least `limit` words, or all hit ranges where `share` of the words is hit.
+def without_spans(docs: DataFrame, text: str = "text", limit: int = WINDOW) -> DataFrame:
+    """Cuts hit ranges of at least `limit` words, or all hit ranges where the document is contaminated.
 
     Takes what `contamination` gives; the words of a cut range go with what stands between them.
     """
-    frame = docs.withColumn("_bytes", as_bytes(text)).withColumn("_all", F.col("contaminated"))
-    names = docs.columns
+    carried = Carried(docs)
+    names, own, ranges, all_of = carried.inner, carried.of(text), carried.of("hit_spans"), carried.of("contaminated")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        has = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+        has = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
         texts = []
-        for raw, spans, every in zip(has["_bytes"], has["hit_spans"], has["_all"], strict=True):
+        for raw, spans, every in zip(has["raw"], has[ranges], has[all_of], strict=True):
             raw = raw.as_py()
             cut = [(s["start"], s["end"]) for s in spans.as_py() if every.as_py() or s["end"] - s["start"] >= limit]
             texts.append((cut_words(raw, cut) if cut else raw).decode("utf-8", "replace"))
-        yield {c: has[c] for c in names} | {text: texts}
+        yield {c: has[c] for c in names} | {own: texts}
 
-    return arrow_map(frame, run, docs.schema)
+    return carried.back(arrow_map(carried.docs.withColumn("raw", as_bytes(own)), run, carried.schema("")))
 
 
 def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -15,7 +15,9 @@ A step adds g(c+1) - g(c) for the character that enters and g(c-1) - g(c) for
 the one that leaves, where g(c) = c log2 c.
 
 Defined cases: null text is empty, without spans; offsets are in code points,
-end exclusive; ties (equal starts) are ordered by kind. Other columns pass.
+end exclusive; ties (equal starts) are ordered by kind. Repeated rows give equal
+rows. Other columns pass; one named spans_assign, spans_access, spans_hex or
+spans_entropy (in any case) comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Carried
+
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,7 +43,8 @@ CLASSES = {
     "alnum": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3.9),
     "base64": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/=_-", 3.9),
 }
-#: Candidates that are never secrets: numbers, UUIDs, file-like and placeholder strings.
+#: Candidates that are never secrets: numbers, UUIDs, names and paths of letters alone (long ones of mixed letters reach the
+#: threshold often; a random base64 string of 20 has no digit or sign once in 30 times, which is missed), placeholder and file-like strings.
 ALLOW = (r"^[0-9]+$", r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^[A-Za-z_/=+-]+$", r"(?i)example|placeholder|changeme|xxxx|your[_-]", r"^[a-z0-9]+(?:[-_/][a-z0-9]+){3,}$")
 
 
@@ -112,8 +117,9 @@ def _any(tests: list[Column]) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with an array<struct<start, end>> for each kind: spans_assign, spans_access, spans_hex, spans_entropy."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({
+    carried = Carried(docs, *(f"spans_{k}" for k in KINDS))
+    value = F.coalesce(F.col(carried.of(text)), F.lit(""))
+    out = carried.docs.withColumns({
         "spans_assign": guarded(value, ASSIGN, assign_keeps),
         "spans_access": guarded(value, ACCESS),
         "spans_hex": guarded(value, HEX),
@@ -122,7 +128,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat("spans_assign", "spans_access", "spans_hex")
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     out = out.withColumn("spans_entropy", F.filter(F.filter("spans_entropy", apart), lambda s: high_entropy(s["hit"])))
-    return out.withColumns({f"spans_{k}": F.transform(f"spans_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS})
+    return carried.back(out.withColumns({f"spans_{k}": F.transform(f"spans_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}))
 
 
 def listed(*kinds: str) -> Column:

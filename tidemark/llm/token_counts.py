@@ -16,7 +16,8 @@ Nothing is shuffled; the trie and the counts start anew when they have grown to
 `NODES`, so memory is bounded however many words there are.
 
 Defined cases: null, empty and white-space texts have no words and no tokens;
-repeated rows give equal rows; other columns pass through.
+repeated rows give equal rows; other columns pass through; one named n_words, n_tokens
+or score (in any case) comes back with `_in` appended.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, as_bytes, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, tuned
 
 MARK = "▁"
 NODES = 400_000
@@ -100,7 +100,8 @@ def counted(docs: DataFrame, vocabulary: dict[str, float], text: str = "text") -
     """docs with n_words, n_tokens and score (the log probability of the best segmentation) added."""
     tuned(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = docs.columns
+    carried = Carried(docs, "n_words", "n_tokens", "score")
+    names = carried.inner
     held: list[Counter] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -114,4 +115,4 @@ def counted(docs: DataFrame, vocabulary: dict[str, float], text: str = "text") -
             scores.append(math.fsum(s for _, s in found))
         yield {c: batch.column(k) for k, c in enumerate(names)} | {"n_words": words, "n_tokens": tokens, "score": scores}
 
-    return arrow_map(docs.withColumn("_raw", as_bytes(text)), run, StructType([*docs.schema.fields, *StructType.fromDDL("n_words bigint, n_tokens bigint, score double").fields]))
+    return carried.back(arrow_map(carried.docs.withColumn("raw", as_bytes(carried.of(text))), run, carried.schema("n_words bigint, n_tokens bigint, score double")))

@@ -3,7 +3,8 @@
 A text's features are the distinct n-grams (n in `SIZES`) of its lower-cased
 code points, hashed to `BUCKETS`. The classifier is fitted on at most `FIT_ROWS`
 labelled rows of each label (a documented bound; the first by a hash of the id,
-each label weighted back to its true share among all labelled rows). Their
+each label weighted back to its true share among all labelled rows), fewer where
+their distinct features pass `FIT_FEATURES` (one row a label is always taken). Their
 documents are counted by bucket and label; the log of the two smoothed shares
 is a bucket's ratio r, and logistic regression has features x = r.
 
@@ -13,7 +14,8 @@ the documents and no text is shuffled; the model is BUCKETS weights.
 Defined cases: null and empty text has no features and gets the intercept's
 score; rows with a null label or without a document aren't learnt from; several
 labels of one document each count; without both labels the score is 1 where
-all labels are 1, else 0.
+all labels are 1, else 0. Repeated rows and null doc_ids are scored row by row.
+Other columns pass through; one named score (in any case) comes back as score_in.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import arrow_map, as_bytes, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, stored, tuned
 
 SIZES = (4, 5)
 BUCKETS = 1 << 20
 FIT_ROWS = 2500
+#: Distinct features, over all rows of one label, that are fitted on: the bound in bytes of what meets the driver (4 each).
+FIT_FEATURES = 16 << 20
 EPOCHS = 8
 L2 = 1e-4
 SMOOTH = 0.5
@@ -127,7 +130,11 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"id": batch.column(0), "y": batch.column(1), "f": [features(x.as_py()).tobytes() for x in batch.column(2)]}
 
-    found = sorted(((r.id, r.y, bytes(r.f)) for r in arrow_map(texts, run, "id bigint, y int, f binary").collect()))
+    kept = stored(arrow_map(texts, run, "id bigint, y int, f binary"), "sample")  # at most 2 * rows texts
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "f").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.octet_length("f") / 4
+    kept = kept.withColumns({"upto": F.sum(size).over(order), "own": size}).where((F.col("upto") <= FIT_FEATURES) | (F.col("upto") == F.col("own")))
+    found = sorted(((r.id, r.y, bytes(r.f)) for r in kept.select("id", "y", "f").collect()))
     sets = [np.frombuffer(f, np.int32) for _, _, f in found]
     y = np.array([k for _, k, _ in found])
     counts = np.zeros((2, BUCKETS))
@@ -139,13 +146,15 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) added."""
+    tuned(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    carried = Carried(docs, "score")
+    names = carried.inner
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {c: batch.column(k) for k, c in enumerate(names)} | {"score": [shared.value.score(x.as_py()) for x in batch.column(len(names))]}
 
-    return arrow_map(docs.withColumn("_raw", as_bytes(text)), run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return carried.back(arrow_map(carried.docs.withColumn("raw", as_bytes(carried.of(text))), run, carried.schema("score double")))
 
 
 def fold(doc_id: str = "doc_id", folds: int = 4) -> F.Column:
