@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, queries, toxicity
-from tidemark.llm.common import stored
+from tidemark.llm.common import own_columns, stored
 
 #: A learnt score, a packing and files can't be put in SQL; tests hold each stage against SQL or a plain version.
 ORACLE_SQL = None
@@ -19,12 +19,12 @@ ORACLE_SQL = None
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = queries.table(spark, sf_dir, "labels").where(toxicity.fold() != 2)
     model = toxicity.trained(docs, labels)
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return own_columns(toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = own_columns(line_dedup.dedup_lines(docs), docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return own_columns(found.where(~F.col("contaminated")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
