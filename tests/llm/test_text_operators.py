@@ -148,11 +148,11 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if x != 5}
 
 
-@pytest.mark.parametrize("pairs", [near_dedup.PAIRS, 30, 0])
-def test_near_dedup_is_the_sql(spark, monkeypatch, pairs):
-    """pairs: with few comparisons allowed a list, most are listed again by longer sketches, and again by whole sets."""
+@pytest.mark.parametrize("others", [near_dedup.OTHERS, 5, 0])
+def test_near_dedup_is_the_sql(spark, monkeypatch, others):
+    """others: with few open members allowed a list, most are listed again by longer sketches, and again by whole sets."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "OTHERS", others)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(5000)}"
     docs = [(0, None), (1, ""), (2, " \n"), (3, "a b"), (4, "A  b"), (5, "a b c d e"), (6, "a b c d e f"), (7, "x" * 5000)]

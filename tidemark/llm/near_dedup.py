@@ -14,9 +14,9 @@
 4. Lists with members outside the hub's component are then compared in full, in
    blocks of bounded size: those members against all others of other components.
    Thus a group of m near copies costs m verifications and loses no link.
-5. A list that would have over `PAIRS` such comparisons (a passage that many
-   unlike documents share) is not compared. Its members go through steps 2 to 4
-   again, listed by longer sketches, of WIDE values, and those of lists that are
+5. A list with over `OTHERS` members outside the hub's component (a passage that
+   many unlike documents share) is not compared, so that no list has more than
+   OTHERS comparisons a member. Its members go through steps 2 to 4 again, listed by longer sketches, of WIDE values, and those of lists that are
    still so large by their whole sets. The more values are known, the more of them
    similar sets must share (20 of 48, 157 of 256, three quarters of all), so
    fewer, rarer ones list a set: a passage lists no set of which it's under 41, 61
@@ -62,8 +62,8 @@ WIDE_ESTIMATE = 0.61
 WIDE_SHARED = 157
 #: Members of a list on either side of one block.
 BLOCK = 128
-#: Comparisons of one list beyond which its members are listed again by more of their values.
-PAIRS = 1 << 20
+#: Members outside the hub's component beyond which a list's members are listed again by more of their values.
+OTHERS = 1024
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -191,15 +191,19 @@ def estimates(sketches: np.ndarray, sizes: np.ndarray, ns: np.ndarray, i: np.nda
     return np.where(whole, (again & real).sum(1) / total, (again & real & (rank <= k)).sum(1) / np.minimum(total, k))
 
 
-def _first_common(index: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest value that both rows of each pair are listed under."""
-    rows = [x.as_py() for x in index]
-    width, most = max(map(len, rows)), np.iinfo(np.int64).max
-    grid = np.full((len(rows), width), most, np.int64)
-    for out, x in zip(grid, rows, strict=True):
-        out[: len(x)] = x
-    both = np.sort(np.concatenate([grid[i], grid[j]], 1), 1)
-    return np.where(both[:, 1:] == both[:, :-1], both[:, 1:], most).min(1)
+def _owned(index: pa.ChunkedArray, value: int, width: int = 1 << 16) -> np.ndarray:
+    """Whether each pair of rows belongs to the list of `value`: both are in no list of a smaller value. One matrix product, in columns of `width`."""
+    rows = [np.array(x.as_py(), np.int64) for x in index]
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    keep = flat < value
+    names, at = np.unique(flat[keep], return_inverse=True)
+    owner, common = owner[keep], np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, len(names), width):
+        some = (at >= start) & (at < start + width)
+        m = np.zeros((len(rows), min(width, len(names) - start)), np.float32)
+        m[owner[some], at[some] - start] = 1
+        common += m @ m.T
+    return common == 0
 
 
 def _blocks(table: pa.Table) -> pa.Table:
@@ -215,13 +219,12 @@ def _blocks(table: pa.Table) -> pa.Table:
     ok = (comp[:, None] != comp) & (100 * small >= PERCENT * large) & (rep != hub)[:, None] & (rep != hub) & (rep[:, None] < rep)
     if kind[0]:  # others against the hub's component
         ok &= other[:, None] != other
+    if ok.any():  # a pair of several common lists is looked at in the one of the smallest value
+        ok &= _owned(table.column("index"), table.column("value")[0].as_py())
     i, j = np.nonzero(ok)
     if len(i):
         keep = estimates(sketches, sizes, n, i, j, K) >= ESTIMATE
         i, j = i[keep], j[keep]
-    if len(i) and table.column("index").null_count == 0:  # a pair of several common lists belongs to the one of the smallest value
-        keep = _first_common(table.column("index"), i, j) == table.column("value")[0].as_py()
-        i, j = i[keep], j[keep]
     if len(i):
         keep = estimates(sketches, sizes, n, i, j, WIDE) >= np.where(np.maximum(n[i], n[j]) <= WIDE, PERCENT / 100 - 1e-9, WIDE_ESTIMATE)
         i, j = i[keep], j[keep]
@@ -229,10 +232,7 @@ def _blocks(table: pa.Table) -> pa.Table:
 
 
 def linked(lists: DataFrame, sketches: DataFrame, texts: DataFrame, links: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Links found so far and those of one set of lists; and the members of lists with too many comparisons, if there are any.
-
-    last: all lists are compared, and a pair may be met in several.
-    """
+    """Links found so far and those of one set of lists; and the members of lists with too many comparisons, if there are any. last: all are compared."""
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("id"), "n")).alias("h"), F.count("*").alias("m")).select("value", (-F.col("h.id")).alias("hub"), F.col("h.n").alias("hub_n"), "m").where("m > 1")
     stars = lists.join(hubs, "value").where(F.col("rep") != F.col("hub")).where(fits("n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = stars.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -243,14 +243,14 @@ def linked(lists: DataFrame, sketches: DataFrame, texts: DataFrame, links: DataF
     named = lists.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "weight")
     hub_comp = hubs.where("m > 2").join(reached.withColumnRenamed("node", "hub"), "hub", "left").select("value", "hub", "m", F.coalesce("component", "hub").alias("hub_comp"))
     marked = named.join(hub_comp, "value").withColumn("other", F.col("comp") != F.col("hub_comp"))
-    open_ = stored(marked.where("other").groupBy("value").agg(F.count("*").alias("o"), F.first("m").alias("m_")), "open")
-    large = F.col("o") * F.col("m_") > PAIRS
+    open_ = stored(marked.where("other").groupBy("value").agg(F.count("*").alias("o")), "open")
+    large = F.col("o") > OTHERS
     hot = None
     if not last and open_.where(large).limit(1).count():
         hot = lists.join(open_.where(large).select("value"), "value", "left_semi").select("rep").distinct()
         open_ = open_.where(~large)
-    index = lists.groupBy("rep").agg(F.collect_list("value").alias("index")) if not last else lists.select("rep").distinct().withColumn("index", F.lit(None).cast("array<bigint>"))
-    marked = marked.join(open_.drop("m_"), "value").join(sketches.select("rep", "sketch"), "rep").join(index, "rep")
+    index = lists.groupBy("rep").agg(F.collect_list("value").alias("index"))  # what one set is listed under
+    marked = marked.join(open_, "value").join(sketches.select("rep", "sketch"), "rep").join(index, "rep")
     n_other, n_main = F.ceil(F.col("o") / BLOCK).cast("int"), F.greatest(F.ceil((F.col("m") - F.col("o")) / BLOCK), F.lit(1)).cast("int")
     marked = marked.withColumns({"n_other": n_other, "n_main": n_main}).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_other")).otherwise(F.col("n_main"))).cast("int"))
     block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
