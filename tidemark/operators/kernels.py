@@ -50,6 +50,72 @@ def hac(x: np.ndarray, e: np.ndarray, inverse: np.ndarray, lags: int | None = No
     return inverse @ s @ inverse
 
 
+def scaled_residuals(e: np.ndarray, leverage: np.ndarray, k: int, kind: str = "EH") -> np.ndarray:
+    """Residuals as they enter a robust covariance: as they are, or scaled by degrees of freedom or by leverage in one of four ways."""
+    n, h = len(e), leverage
+    mean = k / n
+    return e * {
+        "EH": 1.0, "EB": math.sqrt(n / (n - k)), "ET": 1 / np.sqrt(1 - h), "ED": 1 / (1 - h),
+        "EM": (1 - h) ** -(np.minimum(4, h / mean) / 2), "ES": (1 - h) ** -(np.minimum(np.minimum(4, h / mean), 0.7 * h.max() / mean) / 4),
+    }[kind]
+
+
+def automatic_bandwidth(scores: np.ndarray, kind: str = "bartlett") -> float:
+    """Bandwidth from first-order autoregressions of the columns of x e (Andrews 1991); a constant's column should be left out."""
+    top = bottom = 0.0
+    for u in scores.T:
+        rho = float(u[1:] @ u[:-1] / (u[:-1] @ u[:-1]))
+        rho = min(max(rho, -0.97), 0.97)
+        v = float(((u[1:] - rho * u[:-1]) ** 2).mean()) ** 2
+        top += 4 * rho**2 * v / ((1 - rho) ** 6 * (1 + rho) ** 2) if kind == "bartlett" else 4 * rho**2 * v / (1 - rho) ** 8
+        bottom += v / (1 - rho) ** 4
+    n, a = len(scores), top / bottom
+    rate = {"bartlett": (1.1447, 1 / 3), "truncated": (0.6611, 1 / 5), "parzen": (2.6614, 1 / 5), "tukey": (1.7462, 1 / 5)}.get(kind, (1.3221, 1 / 5))
+    return rate[0] * (a * n) ** rate[1]
+
+
+def spectral(x: np.ndarray, q: int, m: int) -> dict[str, np.ndarray]:
+    """Dynamic principal components: eigenvalues at each frequency of the Bartlett-smoothed spectral density, and the common part's share."""
+    n, k = x.shape
+    u = x - x.mean(0)
+    covs = [u[lag:].T @ u[: n - lag] / n for lag in range(m + 1)]
+    freq = 2 * np.pi * np.arange(2 * m + 1) / (2 * m + 1)
+    values = np.empty((len(freq), k))
+    for j, w in enumerate(freq):
+        s = covs[0].astype(complex)
+        for lag in range(1, m + 1):
+            weight = 1 - lag / (m + 1)
+            s += weight * (covs[lag] * np.exp(-1j * w * lag) + covs[lag].T * np.exp(1j * w * lag))
+        values[j] = np.linalg.eigvalsh(s / (2 * np.pi))[::-1]
+    total = values.mean(0)
+    return {"freq": freq, "values": values, "mean": total, "share": total[:q].sum() / total.sum()}
+
+
+def dynamic_count(x: np.ndarray, most: int, m: int, panels: int = 6, seed: int = 0) -> int:
+    """Number of dynamic factors (Hallin and Liska): the log of what the eigenvalues beyond q leave, and a penalty times a constant.
+
+    The constant is where the number is the same in random sub-panels of growing size: its first such stretch below the most allowed.
+    """
+    rng = np.random.default_rng(seed)
+    n, k = x.shape
+    most = min(most, k - 1)
+    order, found = rng.permutation(k), []
+    for j in range(panels):
+        share = 0.75 + 0.25 * (j + 1) / panels
+        part = x[: max(m + 2, int(n * share)), order[: max(most + 1, int(k * share))]]
+        periods, series = part.shape
+        mean = spectral(part, most, m)["mean"]
+        penalty = (m**-2 + math.sqrt(m / periods) + 1 / series) * math.log(min(series, m**2, math.sqrt(periods / m)) + 1)
+        found.append(([math.log(max(mean[q:].sum() / series, 1e-12)) for q in range(most + 1)], penalty))
+    grid = np.linspace(0.02, 4, 200)
+    chosen = np.array([[int(np.argmin([v + c * q * penalty for q, v in enumerate(left)])) for left, penalty in found] for c in grid])
+    same = (chosen == chosen[:, :1]).all(1)
+    for i in range(len(grid) - 1):
+        if same[i] and same[i + 1] and chosen[i, 0] == chosen[i + 1, 0] < most:
+            return int(chosen[i, 0])
+    return int(chosen[np.searchsorted(grid, 1.0), -1])
+
+
 def chi2_tail(x: float, k: int) -> float:
     """Upper tail of chi-square for k degrees, by its finite sums."""
     if x <= 0:
@@ -85,7 +151,7 @@ def recursive_residuals(y: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def adf(y: np.ndarray, most: int = 4) -> tuple[float, int]:
-    """Dickey-Fuller t statistic with drift; lags by AIC."""
+    """Dickey-Fuller t statistic with drift; lags by AIC, all lag lengths on the rows that the longest has."""
     best = (math.inf, 0.0, 0)
     dy = np.diff(y)
     for p in range(most + 1):
@@ -168,12 +234,12 @@ def factor_count(x: np.ndarray, most: int) -> int:
 
 
 def kalman(y: np.ndarray, h: np.ndarray, f: np.ndarray, q: np.ndarray, r: np.ndarray, x0: np.ndarray, p0: np.ndarray) -> dict:
-    """Filter of y_t = H x_t + e, x_t = F x_{t-1} + u; missing observations are dropped row by row."""
+    """Filter of y_t = H x_t + e, x_t = F x_{t-1} + u; missing observations are dropped row by row. q: the variance of u, or one for each t."""
     n, k = len(y), len(x0)
     out = {"xp": np.zeros((n, k)), "pp": np.zeros((n, k, k)), "xf": np.zeros((n, k)), "pf": np.zeros((n, k, k)), "loglik": 0.0, "gain": None}
     x, p = x0, p0
     for t in range(n):
-        x, p = f @ x, f @ p @ f.T + q
+        x, p = f @ x, f @ p @ f.T + (q[t] if q.ndim == 3 else q)
         out["xp"][t], out["pp"][t] = x, p
         seen = ~np.isnan(y[t])
         gain = np.zeros((k, 0))
@@ -231,7 +297,7 @@ def em_factor(y: np.ndarray, r: int = 1, rounds: int = 50, tolerance: float = 1e
 
 
 def news(y_old: np.ndarray, y_new: np.ndarray, fit: dict, row: int, series: int) -> dict[int, float]:
-    """Change of the expected value of a series at a row that each series' new cells bring; released one series after another."""
+    """Change of the expected value of a series at a row that each series' new cells bring, one series after another in their order (bayes.news_rows doesn't depend on it)."""
     r = len(fit["f"])
     expected = lambda y: float((smoothed(kalman(y, fit["h"], fit["f"], fit["q"], np.diag(fit["noise"]), np.zeros(r), np.eye(r) * 10), fit["f"])[0] @ fit["h"].T)[row, series])
     out, y, before = {}, y_old.copy(), expected(y_old)
@@ -269,7 +335,7 @@ def gibbs_factor(y: np.ndarray, draws: int = 60, burn: int = 30, seed: int = 0,
     logv = np.full(len(y), math.log(max(float(fit["q"][0, 0]), 1e-4)))
     total, last = np.zeros(len(y)), []
     for s in range(burn + draws * thin):
-        q = np.array([[float(np.exp(logv).mean())]])
+        q = np.exp(logv)[:, None, None]
         x = simulate_states(y, h, f, q, np.diag(noise), rng)[:, 0]
         for i in range(y.shape[1]):
             seen = ~np.isnan(y[:, i])

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import kernels, panel
+from tidemark.operators import bayes, kernels, panel
 from tidemark.plans.registry import query
 from tidemark.sources import tables as t
 
@@ -177,3 +177,71 @@ def bootstrapped(spark: S, d: str, replications: int = BOOTSTRAP_REPS, seeds: in
 def bootstrap_gain(spark: S, d: str) -> DataFrame:
     """MSE-F of each series' panel-mean regression with its bootstrap chance; replications are grouping keys."""
     return bootstrapped(spark, d)
+
+
+@query()
+def news_decomposition(spark: S, d: str) -> DataFrame:
+    """Why each category's estimate moved between two vintages: old, parameters, revisions, releases; and each released cell's weight and impact."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        y_new = standard(y)
+        y_old = y_new.copy()
+        y_old[-6:-3] *= 0.9  # what the older vintage had before its revision
+        y_old[-3:] = np.nan
+        old, new = (bayes.model(kernels.em_factor(v, 1, 20)) for v in (y_old, y_new))
+        rows, cells = bayes.news_rows(y_old, y_new, old, new, len(y) - 1, 0)
+        name = pdf["category"].iloc[0]
+        out = [(name, part, None, None, None, None, value) for part, value in rows.items()]
+        out += [(name, "cell", keys[c["series"]], len(y) - c["row"], c["forecast"], c["weight"], c["impact"]) for c in cells]
+        return pd.DataFrame(out, columns=["category", "part", "key", "months_ago", "forecast", "weight", "value"]).astype({"months_ago": "Int32"})
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, part string, key string, months_ago int, forecast double, weight double, value double")
+
+
+@query()
+def volatility_states(spark: S, d: str) -> DataFrame:
+    """Volatility, outlier scale and the chance of no outlier of each series' growth, by Gibbs over the mixture; 200 sweeps after 100."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        x = pdf["x"].to_numpy() - pdf["x"].mean()
+        got = bayes.volatility_chain(x, SHORT["draws"], SHORT["burn"], 1)
+        return pd.DataFrame({"key": pdf["key"], "date": pdf["date"], "sigma": got["sigma"], "scale": got["scale"], "plain": got["plain"]})
+
+    return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, date date, sigma double, scale double, plain double")
+
+
+@query()
+def dynamic_factors(spark: S, d: str) -> DataFrame:
+    """Dynamic eigenvalues of each category's series and the number of dynamic factors they speak for."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        y = np.nan_to_num(standard(y))
+        m = int(np.sqrt(len(y)))
+        got = kernels.spectral(y, 1, m)
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "place": np.arange(1, len(keys) + 1), "eigenvalue": got["mean"], "share": got["share"], "chosen": kernels.dynamic_count(y, 3, m)})
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, place int, eigenvalue double, share double, chosen int")
+
+
+@query()
+def robust_errors(spark: S, d: str) -> DataFrame:
+    """Standard errors of each series' slope on the panel mean, by kernel and residual scaling, with the automatic bandwidth."""
+    kinds = [(k, r) for k in ("truncated", "bartlett", "parzen", "tukey", "qs") for r in ("EH", "EB", "ET", "ED", "EM", "ES")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        x = np.column_stack([np.ones(len(pdf)), pdf["m"]])
+        beta, e, inverse = kernels.ols(pdf["x"].to_numpy(), x)
+        h = np.einsum("ij,jk,ik->i", x, inverse, x)
+        out = []
+        for kind, scaling in kinds:
+            u = kernels.scaled_residuals(e, h, 2, scaling)
+            width = kernels.automatic_bandwidth((x * u[:, None])[:, 1:], kind)
+            cov = kernels.hac(x, u, inverse, max(0, min(len(x) - 2, int(width))), kind)
+            out.append((pdf["key"].iloc[0], kind, scaling, float(beta[1]), float(width), float(np.sqrt(max(cov[1, 1], 0)))))
+        return pd.DataFrame(out, columns=["key", "kernel", "scaling", "slope", "bandwidth", "error"])
+
+    return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, kernel string, scaling string, slope double, bandwidth double, error double")

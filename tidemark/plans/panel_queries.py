@@ -111,25 +111,30 @@ def splice(spark: S, d: str) -> DataFrame:
 
 
 @query("""select m.key, m.date, a.asof, m.value, date_add(m.date, to_days(r.lag_days)) <= a.asof as by_date, last_day(m.date) + r.lag_days <= a.asof as by_month_end
-    from monthly m join registry r on m.key = r.key cross join (select last_day(date) as asof from months where month(date) = 6) a where m.date + r.lag_days <= a.asof""", levels=("value",))
+    from monthly m join registry r on m.key = r.key cross join (select last_day(date) as asof from months) a where m.date + r.lag_days <= a.asof""", levels=("value",))
 def as_of_cut(spark: S, d: str) -> DataFrame:
-    """What had been published at each June's end, by date + lag and by month end + lag; the as-of dates are few and become a key."""
+    """What had been published at each month's end, by date + lag and by month end + lag; the as-of dates from a row's release on are listed with it."""
     data = t.monthly(spark, d)
-    asofs = data.select(F.last_day("date").alias("asof")).where("month(asof) = 6").distinct()
-    cut = data.join(t.registry(spark, d), "key").withColumn("released", F.expr("date_add(date, lag_days)"))
-    return cut.join(F.broadcast(asofs), F.col("released") <= F.col("asof")).select("key", "date", "asof", "value", F.lit(True).alias("by_date"), (F.expr("date_add(last_day(date), lag_days)") <= F.col("asof")).alias("by_month_end"))
+    ends = data.agg(F.max("date").alias("until"))  # one row
+    cut = data.join(t.registry(spark, d), "key").withColumn("released", F.expr("date_add(date, lag_days)")).join(F.broadcast(ends)).where("released <= last_day(until)")
+    asof = F.explode(F.transform(F.sequence(F.trunc("released", "MM"), "until", F.expr("interval 1 month")), lambda x: F.last_day(x))).alias("asof")
+    return cut.select("key", "date", "value", "lag_days", asof).select("key", "date", "asof", "value", F.lit(True).alias("by_date"), (F.expr("date_add(last_day(date), lag_days)") <= F.col("asof")).alias("by_month_end"))
 
 
 @query("""select key, as_of, max(date) as last_date, cast(as_of - max(date) as integer) as age_days, cast(as_of - max(date) as integer) > any_value(lag_days) + 31 + 21 as stale from (
-    select m.key, m.date, a.as_of, r.lag_days from monthly m join registry r on m.key = r.key cross join (select last_day(date) as as_of from months where month(date) % 6 = 0) a
+    select m.key, m.date, a.as_of, r.lag_days from monthly m join registry r on m.key = r.key cross join (select last_day(date) as as_of from months) a
     where r.key <> 'NATION_3' and m.date + r.lag_days <= a.as_of or r.key = 'NATION_3' and m.date <= date '1996-01-01' and m.date <= a.as_of) group by key, as_of""")
 def freshness(spark: S, d: str) -> DataFrame:
-    """Age of each series at each as-of date against lag + interval + 21 days."""
-    data = t.monthly(spark, d).join(t.registry(spark, d), "key")
-    asofs = data.select(F.last_day("date").alias("as_of")).where("month(as_of) % 6 = 0").distinct()
-    seen = data.join(F.broadcast(asofs)).where("(key <> 'NATION_3' and date_add(date, lag_days) <= as_of) or (key = 'NATION_3' and date <= date'1996-01-01' and date <= as_of)")
+    """Age of each series at every month end against lag + interval + 21 days: an as-of join, linear in the rows."""
+    data = t.monthly(spark, d)
+    ends = data.agg(F.min("date").alias("since"), F.max("date").alias("until"))  # one row
+    months = F.explode(F.transform(F.sequence("since", "until", F.expr("interval 1 month")), lambda x: F.last_day(x))).alias("as_of")
+    registry = t.registry(spark, d).select("key", "lag_days")
+    grid = data.select("key").distinct().join(registry, "key").join(F.broadcast(ends)).select("key", "lag_days", months)
+    released = data.join(registry, "key").where("key <> 'NATION_3' or date <= date'1996-01-01'").select("key", F.when(F.col("key") == "NATION_3", F.col("date")).otherwise(F.expr("date_add(date, lag_days)")).alias("as_of"), "date", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("n"))
+    seen = joins.as_of(grid, released, ["key"], "as_of", ["date"], "n").where("right_date is not null").withColumnRenamed("right_date", "last_date")
     age = F.datediff("as_of", "last_date")
-    return seen.groupBy("key", "as_of").agg(F.max("date").alias("last_date"), F.first("lag_days").alias("lag")).select("key", "as_of", "last_date", age.alias("age_days"), (age > F.col("lag") + 52).alias("stale"))
+    return seen.select("key", "as_of", "last_date", age.alias("age_days"), (age > F.col("lag_days") + 52).alias("stale"))
 
 
 @query("""select key, count(*) as rows, count(value) as present, count(*) - count(value) as missing, min(case when value is not null then date end) as first_date, max(case when value is not null then date end) as last_date,

@@ -16,12 +16,18 @@ S = SparkSession
 @query("""select q_index, run_date, value from (select q.q_index, r.run_date, r.value, row_number() over (partition by q.q_index order by abs(r.run_date - q.target), r.run_date, r.event_id) as n
     from (select q_index, date '2024-01-01' + q_index % 28 as target from target_q) q cross join runs_a r) where n = 1""", ratios=("value",))
 def nearest_vintage(spark: S, d: str) -> DataFrame:
-    """The run nearest in days to each target date. Of each side only the nearest day counts, so runs are first one a day."""
+    """The run nearest in days to each target date: the last at or before it and the first at or after it, by two as-of joins, then the nearer (the earlier of equals)."""
     target = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("q_index") % 28).cast("int"))
     q = t.target_q(spark, d).select("q_index", target.alias("target"))
     daily = joins.latest(t.runs(spark, d, "view"), ["run_date"], F.col("event_id")).select("run_date", "event_id", "value")
-    near = q.join(F.broadcast(daily))  # both sides: at most one row a day or a quarter
-    return joins.latest(near, ["q_index"], F.abs(F.datediff("run_date", "target")), F.col("run_date"), F.col("event_id")).select("q_index", "run_date", "value")
+    day = lambda c, sign: (sign * F.datediff(c, F.lit("1970-01-01").cast("date"))).alias("at")
+    one = F.lit(1).alias("all")  # one row a day on the right, one a quarter on the left: both are few
+
+    def side(sign: int) -> DataFrame:
+        found = joins.as_of(q.select(one, "q_index", "target", day("target", sign)), daily.select(one, day("run_date", sign), "run_date", "value", "event_id"), ["all"], "at", ["run_date", "value"], "event_id")
+        return found.where("right_run_date is not null").select("q_index", "target", F.col("right_run_date").alias("run_date"), F.col("right_value").alias("value"))
+
+    return joins.latest(side(1).unionByName(side(-1)), ["q_index"], F.abs(F.datediff("run_date", "target")), F.col("run_date")).select("q_index", "run_date", "value")
 
 
 @query("""select user_id, run_date, value, releases from (select user_id, run_date, value, releases, row_number() over (partition by user_id, releases order by run_date desc, event_id desc) as n from (

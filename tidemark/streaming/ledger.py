@@ -18,8 +18,11 @@ from tidemark.sources.tables import table
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that executors share; a temporary one only where the session names none."""
+    """A new folder under the one that executors share; a temporary one only where the session names none and all runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return os.path.join(named or tempfile.gettempdir(), f"{name}-{uuid.uuid4().hex}")
 
 
