@@ -198,3 +198,33 @@ def test_near_dedup_rows_of_one_id_and_without_one(spark):
     assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc is None and r.n_shingles < 50) == [(0, None, None), (1, None, None)]
     assert [r.component_id for r in got if r.doc is None and r.n_shingles > 50] == [min(7, copy)] and [(r.component_id, r.kept) for r in got if r.doc == 11] == [(11, True)]
     assert got and near_dedup.deduplicated(spark.createDataFrame([(None, None)] * 3, "doc_id bigint, text string")).count() == 3
+
+
+def test_pairs_without_a_common_value(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        n = int(rng.integers(2, 60))
+        rows = [rng.choice(200, rng.integers(0, 12), replace=False) for _ in range(n)]
+        flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), [len(x) for x in rows])
+        ok = (rng.random((n, n)) < 0.5) & ~np.eye(n, dtype=bool)
+        want = [[bool(ok[a, b]) and not set(rows[a]) & set(rows[b]) for b in range(n)] for a in range(n)]
+        assert near_dedup._apart(flat, owner, ok).tolist() == want
+
+
+def test_likely_pairs_keep_all_similar_ones():
+    """Sets of many sizes, some larger than their sketch: no pair of 0.75 or more is lost before its estimate."""
+    rng = np.random.default_rng(1)
+    sets = []
+    for size in (40, 200, 300, 2000, 2400):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+        for share in (1.0, 0.98, 0.93, 0.9, 0.6):
+            kept = base[rng.random(size) < share]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**63, size - len(kept), dtype=np.uint64)])))
+    sketches = [s[: near_dedup.WIDE] for s in sets]
+    flat, row = np.concatenate(sketches), np.repeat(np.arange(len(sets)), [len(s) for s in sketches])
+    n = np.array([len(s) for s in sets])
+    got = near_dedup._likely(flat, row, n, ~np.eye(len(sets), dtype=bool))
+    similar = np.array([[near_dedup.similar(a, b) for b in sets] for a in sets]) & ~np.eye(len(sets), dtype=bool)
+    assert similar.sum() > 20 and (got | ~similar).all() and got[similar].all()
+    lone = [k for k in range(len(sets)) if not similar[k].any()]
+    assert got[np.ix_(lone, lone)].sum() <= 0.2 * len(lone) ** 2

@@ -60,8 +60,9 @@ ESTIMATE = 0.47
 WIDE_ESTIMATE = 0.61
 #: Retained values that similar sets share at least, of WIDE: 5 deviations under 0.75 WIDE.
 WIDE_SHARED = 157
-#: Members of a list on either side of one block.
-BLOCK = 128
+#: Members of a list on either side of one block; pairs whose estimates are made at once.
+BLOCK = 512
+PAIRS = 1 << 13
 #: Members outside the hub's component beyond which a list's members are listed again by more of their values.
 OTHERS = 1024
 
@@ -191,43 +192,92 @@ def estimates(sketches: np.ndarray, sizes: np.ndarray, ns: np.ndarray, i: np.nda
     return np.where(whole, (again & real).sum(1) / total, (again & real & (rank <= k)).sum(1) / np.minimum(total, k))
 
 
-def _owned(index: pa.ChunkedArray, value: int, width: int = 1 << 16) -> np.ndarray:
-    """Whether each pair of rows belongs to the list of `value`: both are in no list of a smaller value. One matrix product, in columns of `width`."""
-    rows = [np.array(x.as_py(), np.int64) for x in index]
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    keep = flat < value
-    names, at = np.unique(flat[keep], return_inverse=True)
-    owner, common = owner[keep], np.zeros((len(rows), len(rows)), np.float32)
-    for start in range(0, len(names), width):
-        some = (at >= start) & (at < start + width)
-        m = np.zeros((len(rows), min(width, len(names) - start)), np.float32)
-        m[owner[some], at[some] - start] = 1
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, and the row of each."""
+    one = column.combine_chunks()
+    sizes = one.value_lengths().to_numpy(zero_copy_only=False)
+    return one.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _apart(flat: np.ndarray, owner: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The pairs in ok whose rows have no value in common: the most frequent values first, then only rows that are undecided."""
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    at, several = rank[at], int((often > 1).sum())  # what one row alone has makes no pair
+    ok, start, width = ok.copy(), 0, 128
+    while start < several and ok.any():
+        rows = np.flatnonzero(ok.any(0) | ok.any(1))
+        local = np.full(len(ok), -1)
+        local[rows] = np.arange(len(rows))
+        some = (at >= start) & (at < min(start + width, several)) & (local[owner] >= 0)
+        m = np.zeros((len(rows), width), np.float32)
+        m[local[owner[some]], at[some] - start] = 1
+        ok[np.ix_(rows, rows)] &= m @ m.T == 0
+        start, width = start + width, 4096
+    return ok
+
+
+def _likely(flat: np.ndarray, row: np.ndarray, n: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The pairs in ok whose Jaccard over all values below one bound, under which each sketch is whole, isn't over 5 deviations short of the threshold."""
+    rows = np.flatnonzero(ok.any(0) | ok.any(1))
+    most = np.zeros(len(n), np.uint64)
+    np.maximum.at(most, row, flat)
+    cut = most[n > WIDE]
+    keep = (flat <= cut.min()) if len(cut) else np.ones(len(flat), bool)
+    local = np.full(len(n), -1)
+    local[rows] = np.arange(len(rows))
+    keep &= local[row] >= 0
+    flat, owner = flat[keep], local[row[keep]]
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    place, common = np.cumsum(often > 1) - 1, np.zeros((len(rows), len(rows)), np.float32)
+    several = often[at] > 1
+    of, at = owner[several], place[at[several]]
+    for start in range(0, int((often > 1).sum()), 4096):
+        some = (at >= start) & (at < start + 4096)
+        m = np.zeros((len(rows), 4096), np.float32)
+        m[of[some], at[some] - start] = 1
         common += m @ m.T
-    return common == 0
+    size = np.bincount(owner, minlength=len(rows))
+    union = np.maximum(size[:, None] + size - common, 1)
+    out = ok.copy()
+    out[np.ix_(rows, rows)] &= common / union >= PERCENT / 100 - 5 * np.sqrt(0.1875 / union)
+    return out
+
+
+def _passing(sketches: np.ndarray, sizes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose estimates pass, first by K values, then by WIDE."""
+    keep = estimates(sketches, sizes, n, i, j, K) >= ESTIMATE
+    i, j = i[keep], j[keep]
+    if len(i):
+        keep = estimates(sketches, sizes, n, i, j, WIDE) >= np.where(np.maximum(n[i], n[j]) <= WIDE, PERCENT / 100 - 1e-9, WIDE_ESTIMATE)
+        i, j = i[keep], j[keep]
+    return i, j
 
 
 def _blocks(table: pa.Table) -> pa.Table:
     """Pairs of one block whose estimate passes: members of different components, not the hub (it met all members)."""
     rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
     hub, other, kind = (table.column(c).to_numpy() for c in ("hub", "other", "kind"))
-    raw = [np.sort(np.array(x.as_py(), np.int64).view(np.uint64)) for x in table.column("sketch")]
-    sizes = np.array([len(x) for x in raw])
-    sketches = np.full((len(raw), WIDE), np.uint64(2**64 - 1))
-    for row, x in zip(sketches, raw, strict=True):
-        row[: len(x)] = x
     small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
     ok = (comp[:, None] != comp) & (100 * small >= PERCENT * large) & (rep != hub)[:, None] & (rep != hub) & (rep[:, None] < rep)
     if kind[0]:  # others against the hub's component
         ok &= other[:, None] != other
-    if ok.any():  # a pair of several common lists is looked at in the one of the smallest value
-        ok &= _owned(table.column("index"), table.column("value")[0].as_py())
+    if ok.any():  # a pair of several common lists is looked at in the one of the smallest value: it's in no list of a smaller one
+        flat, owner = _flat(table.column("index"))
+        smaller = flat < table.column("value")[0].as_py()
+        ok = _apart(flat[smaller], owner[smaller], ok)
+    flat, row = _flat(table.column("sketch"))
+    if ok.sum() > PAIRS:
+        ok = _likely(flat.view(np.uint64), row, n, ok)
     i, j = np.nonzero(ok)
     if len(i):
-        keep = estimates(sketches, sizes, n, i, j, K) >= ESTIMATE
-        i, j = i[keep], j[keep]
-    if len(i):
-        keep = estimates(sketches, sizes, n, i, j, WIDE) >= np.where(np.maximum(n[i], n[j]) <= WIDE, PERCENT / 100 - 1e-9, WIDE_ESTIMATE)
-        i, j = i[keep], j[keep]
+        order = np.lexsort((flat.view(np.uint64), row))
+        sizes = np.bincount(row, minlength=len(rep))
+        sketches = np.full((len(rep), WIDE), np.uint64(2**64 - 1))
+        sketches[row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]] = flat.view(np.uint64)[order]
+        found = [_passing(sketches, sizes, n, i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.table({"a": rep[i], "b": rep[j]})
 
 
