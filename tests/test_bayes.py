@@ -177,3 +177,25 @@ def test_scaled_residuals_and_bandwidth():
     for t in range(1, 500):
         slow[t] = 0.8 * slow[t - 1] + rng.normal()
     assert kernels.automatic_bandwidth(white) < 4 < kernels.automatic_bandwidth(slow)
+
+
+def test_mixed_chain_recovers_the_factor_and_the_quarters():
+    rng = np.random.default_rng(11)
+    t = 120
+    f = np.zeros(t)
+    for k in range(1, t):
+        f[k] = 0.7 * f[k - 1] + rng.normal()
+    monthly = f[:, None] * [1.0, 0.8, 1.1, 0.9] + 0.5 * rng.normal(size=(t, 4))
+    agg = np.convolve(f, bayes.AGGREGATOR)[:t]
+    quarter = np.where((np.arange(t) % 3 == 2) & (np.arange(t) >= 5), 0.9 * agg + 0.1 * rng.normal(size=t), np.nan)
+    y = np.column_stack([monthly, quarter])
+    truth = 0.9 * agg[-1]
+    y[-1, 4] = np.nan
+    y[-2:, 0] = np.nan
+    got = bayes.mixed_chain(y, 1, 120, 60, 1)
+    assert np.corrcoef(got["fitted"][10:, 1], f[10:])[0, 1] > 0.9 and got["last"].shape == (120, 1)
+    assert abs(got["last"].mean() - truth) < 4 * max(got["last"].std(), 0.15) and got["last"].std() < 1.0
+    ratio = got["loadings"].mean(0) / got["loadings"].mean(0)[0]
+    assert np.abs(ratio - [1.0, 0.8, 1.1, 0.9, 0.9]).max() < 0.3
+    same = bayes.mixed_chain(y, 1, 5, 3, 1)["last"]
+    assert np.array_equal(same, bayes.mixed_chain(y, 1, 5, 3, 1)["last"])  # a seed fixes a chain

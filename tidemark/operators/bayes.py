@@ -40,6 +40,8 @@ def spd_logdet(a: np.ndarray) -> float:
 def normal(mean: np.ndarray, cov: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """A draw of a multivariate normal; where the covariance is only semidefinite, by its eigenvalues."""
     z = rng.standard_normal(len(mean))
+    if not (cov - np.diag(np.diag(cov))).any():
+        return mean + np.sqrt(np.diag(cov)) * z
     try:
         return mean + np.linalg.cholesky(cov) @ z
     except np.linalg.LinAlgError:
@@ -152,11 +154,11 @@ def state_space(loadings: np.ndarray, phi: np.ndarray, q: np.ndarray, own_ar: np
 
 
 def simulated(ssm: dict[str, np.ndarray], n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """States and observations, forward; the first state comes from x0 and p0 and then takes a step."""
+    """States and observations, forward; the first state comes from x0 and p0 and then takes a step. q may have a matrix for each period."""
     x = normal(ssm["x0"], ssm["p0"], rng)
-    states, seen = [], []
-    for _ in range(n):
-        x = ssm["f"] @ x + normal(np.zeros(len(x)), ssm["q"], rng)
+    states, seen, q = [], [], ssm["q"]
+    for t in range(n):
+        x = ssm["f"] @ x + normal(np.zeros(len(x)), q[t] if q.ndim == 3 else q, rng)
         states.append(x)
         seen.append(ssm["h"] @ x + normal(np.zeros(len(ssm["h"])), ssm["r"], rng))
     return np.array(states), np.array(seen)
@@ -243,3 +245,82 @@ def volatility_chain(x: np.ndarray, sweeps: int, burn: int, seed: int, share: fl
             shares.append(share)
             steps.append(step)
     return total | {"share": np.array(shares), "step": np.array(steps)}
+
+
+def regression_draw(y: np.ndarray, x: np.ndarray, noise: np.ndarray | float, prior_mean: np.ndarray, prior_var: float, rng: np.random.Generator) -> np.ndarray:
+    """Coefficients of y on x with known error variances (one for all or one a row) and an independent normal prior."""
+    w = x / np.asarray(noise).reshape(-1, 1) if np.ndim(noise) else x / noise
+    precision = symmetric(x.T @ w) + np.eye(x.shape[1]) / prior_var
+    cov = spd_inv(precision)
+    return normal(cov @ (w.T @ y + prior_mean / prior_var), cov, rng)
+
+
+def steady(phi: np.ndarray) -> bool:
+    """Whether a scalar autoregression's roots are inside the unit circle."""
+    p = len(phi)
+    companion = np.vstack([phi, np.eye(p - 1, p)]) if p > 1 else phi.reshape(1, 1)
+    return bool(np.abs(np.linalg.eigvals(companion)).max() < 0.995)
+
+
+def mixed_chain(y: np.ndarray, n_quarterly: int, draws: int, burn: int, seed: int, thin: int = 1, lags: int = 2, share: float = 0.05) -> dict[str, np.ndarray]:
+    """Gibbs chain of a one-factor model of monthly and (last) quarterly series, standardised, T x n.
+
+    Blocks, each from its conditional: all states by simulation smoother with the factor's variance of each month; loadings and own
+    autoregressions of monthly series on quasi-differenced rows; a quarterly series' loading with its own part integrated out (its errors
+    share months across quarters, so their covariance has three diagonals); own variances; the factor's autoregression, kept stationary;
+    its volatility by the normal mixture, outlier scales, step variance and outlier share. Gives draws of what each series is at every
+    month (`fitted` mean), of the last month's quarterly value (`last`), and means of volatility and scales.
+    """
+    rng = np.random.default_rng(seed)
+    t, n = y.shape
+    n_monthly = n - n_quarterly
+    load, rho, var = np.ones((n, 1)), np.zeros(n), np.full(n, 0.5)
+    phi, sigma, scale, step = np.zeros(lags), np.full(t, 0.5), np.ones(t), 0.01
+    near = np.zeros(t)
+    out: dict[str, list] = {"last": [], "loadings": []}
+    total = {"fitted": np.zeros((t, n)), "sigma": near.copy(), "scale": near.copy()}
+    overlap = float(AGGREGATOR[3:] @ AGGREGATOR[:2])
+    for sweep in range(burn + draws * thin):
+        ssm = state_space(load, phi[None, :], np.eye(1), rho, var, n_quarterly)
+        q = np.repeat(ssm["q"][None], t, 0)
+        q[:, 0, 0] = (sigma * scale) ** 2
+        states = state_draw(y, dict(ssm, q=q), rng)
+        f = states[:, 0]
+        at = layout(n_monthly, n_quarterly, 1, lags)
+        for i in range(n_monthly):
+            pairs = np.flatnonzero(~np.isnan(y[1:, i]) & ~np.isnan(y[:-1, i])) + 1
+            dy, df = y[pairs, i] - rho[i] * y[pairs - 1, i], f[pairs] - rho[i] * f[pairs - 1]
+            load[i] = regression_draw(dy, df[:, None], var[i], np.ones(1), 1.0, rng)
+            e = y[:, i] - load[i, 0] * f
+            new = regression_draw(e[pairs], e[pairs - 1][:, None], var[i], np.zeros(1), 0.1, rng)
+            rho[i] = new[0] if abs(new[0]) < 0.98 else rho[i]
+            var[i] = max(update_gam(e[pairs] - rho[i] * e[pairs - 1], 4.0, 0.3, rng), 1e-4)
+        months = np.arange(len(AGGREGATOR) - 1, t)
+        agg = np.full(t, np.nan)
+        agg[months] = sum(w * f[months - j] for j, w in enumerate(AGGREGATOR))
+        for k in range(n_quarterly):
+            i = n_monthly + k
+            rows = months[~np.isnan(y[months, i])]
+            cov = var[i] * (float(AGGREGATOR @ AGGREGATOR) * np.eye(len(rows)) + overlap * (np.abs(np.subtract.outer(rows, rows)) == 3))
+            low = np.linalg.cholesky(cov)
+            load[i] = regression_draw(np.linalg.solve(low, y[rows, i]), np.linalg.solve(low, agg[rows])[:, None], 1.0, np.ones(1), 1.0, rng)
+            var[i] = max(update_gam(states[:, at["quarterly"].start + k * len(AGGREGATOR)], 4.0, 0.3, rng), 1e-4)
+        past = np.column_stack([f[lags - j - 1 : t - j - 1] for j in range(lags)])
+        new = regression_draw(f[lags:], past, (sigma * scale)[lags:] ** 2, np.zeros(lags), 0.25, rng)
+        phi = new if steady(new) else phi
+        u = np.concatenate([f[:lags], f[lags:] - past @ phi])
+        sigma = np.clip(update_vol(u / scale, sigma, step, rng), 1e-3, 1e2)
+        vals, probs = scale_support(share)
+        scale = update_scl(u / sigma, vals, probs, rng)[0]
+        step, share = update_gam(np.diff(2 * np.log(sigma)), 10.0, 0.01, rng), update_ps(scale, 1.0, 19.0, rng)
+        if load[:, 0].sum() < 0:
+            load, states = -load, states.copy()
+            states[:, at["factors"]] *= -1
+        if sweep >= burn and (sweep - burn + 1) % thin == 0:
+            fit = states @ state_space(load, phi[None, :], np.eye(1), rho, var, n_quarterly)["h"].T
+            total["fitted"] += fit / draws
+            total["sigma"] += sigma / draws
+            total["scale"] += scale / draws
+            out["last"].append(fit[-1, n_monthly:])
+            out["loadings"].append(load[:, 0].copy())
+    return total | {k: np.array(v) for k, v in out.items()}

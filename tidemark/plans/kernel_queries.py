@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bayes, kernels, panel
 from tidemark.plans.registry import query
+from tidemark.plans.registry import registered as registry_query
 from tidemark.sources import tables as t
 
 S = SparkSession
@@ -245,3 +246,49 @@ def robust_errors(spark: S, d: str) -> DataFrame:
         return pd.DataFrame(out, columns=["key", "kernel", "scaling", "slope", "bandwidth", "error"])
 
     return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, kernel string, scaling string, slope double, bandwidth double, error double")
+
+
+def mixed_panel(spark: S, d: str) -> DataFrame:
+    """Monthly growth by category, with the quarterly target's growth in its last months as one more series of each."""
+    rows = monthly_panel(spark, d).select("category", "key", "date", "x")
+    target = t.growth(spark, d).where("growth is not null").select(F.lit("target").alias("key"), "date", F.col("growth").alias("x"))
+    return rows.unionByName(rows.select("category").distinct().join(F.broadcast(target)).select("category", "key", "date", "x"))  # a few categories by one row a quarter
+
+
+@query()
+def mixed_chains(spark: S, d: str) -> DataFrame:
+    """Density of each category's estimate of the quarterly target in its last month, by chains of the mixed-frequency model; seeds are grouping keys."""
+    groups = mixed_panel(spark, d).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        order = [k for k, name in enumerate(keys) if name != "target"] + [keys.index("target")]
+        mean, sd = np.nanmean(y[:, order], 0), np.nanstd(y[:, order], 0, ddof=1)
+        z = (y[:, order] - mean) / sd
+        seed = int(pdf["seed"].iloc[0])
+        got = bayes.mixed_chain(z, 1, SHORT["draws"], SHORT["burn"], seed)
+        last = mean[-1] + sd[-1] * got["last"][:, 0]
+        p = np.percentile(last, [2.5, 16, 50, 84, 97.5])
+        return pd.DataFrame([(pdf["category"].iloc[0], seed, *p, got["loadings"][:, -1].mean(), got["sigma"][-1])], columns=["category", "seed", "p2", "p16", "p50", "p84", "p97", "loading", "vol"])
+
+    return groups.groupBy("category", "seed").applyInPandas(run, "category string, seed int, p2 double, p16 double, p50 double, p84 double, p97 double, loading double, vol double")
+
+
+@query()
+def activity_index(spark: S, d: str) -> DataFrame:
+    """Index of activity: series that pass the Wald gate, ranked by it, make one dynamic factor, filtered, so that no month looks ahead."""
+    gate = registry_query("hac_wald_gate")(spark, d).where("keep").select("key", "wald")
+    chosen = growth_rows(spark, d).join(gate, "key").select("key", "date", "x", "wald", F.lit(1).alias("all"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        rank = pdf.drop_duplicates("key").set_index("key")["wald"].reindex(keys).to_numpy()
+        first = np.argsort(-rank, kind="stable")[:10]  # the ten that matter most
+        if len(first) < 2:
+            return pd.DataFrame({"date": [], "activity": [], "series": []})
+        z = standard(y[:, first])
+        f = kernels.em_factor(z, 1, 30)["filtered"][:, 0]
+        sign = -1 if np.corrcoef(f, np.nanmean(z, 1))[0, 1] < 0 else 1
+        return pd.DataFrame({"date": sorted(pdf["date"].unique()), "activity": sign * f, "series": len(first)})
+
+    return chosen.groupBy("all").applyInPandas(run, "date date, activity double, series int")  # the panel: one row a series and month

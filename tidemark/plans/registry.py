@@ -69,6 +69,10 @@ def _loaded() -> None:
     from tidemark.plans import backtest_queries, calendar_queries, helper_queries, kernel_queries, panel_queries, published_queries, score_queries, source_queries, stream_queries, text_queries, vintage_queries  # noqa: F401
 
 
+def registered(name: str) -> Query:
+    return _QUERIES[name]
+
+
 def queries() -> dict[str, Query]:
     _loaded()
     return dict(_QUERIES)
