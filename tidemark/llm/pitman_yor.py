@@ -511,13 +511,13 @@ def scored(docs: DataFrame, held: F.Column, doc_id: str = "doc_id", text: str =
     parts = batches(docs, text, PART_BYTES)
     carried = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.pmod(F.xxhash64(doc_id, text), F.lit(parts)).cast("int").alias("part"), as_bytes(text).alias("raw"))
     dealt = lambda df: df.repartition(parts, "part").groupBy("part")  # noqa: E731  a part a task, about, whatever the session's number of partitions
-    units = stored(dealt(carried).applyInArrow(_units(context), "part int, kind int, key bigint, n bigint"), "units")
+    units = stored(dealt(carried).applyInArrow(_units(context), "part int, kind int, key bigint, n bigint"), "units", compression="zstd")
     words = units.where("kind = 0").groupBy("key").agg(F.sum("n").cast("double").alias("value"))
-    words = stored(words, "words")
+    words = stored(words, "words", compression="zstd")
     total = words.agg(F.sum("value").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
     n_train, n_types = int(total.n or 0), int(total.v or 0)
-    grams = stored(units.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    chances = stored(probabilities(grams, context), "chances")
+    grams = stored(units.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams", compression="zstd")
+    chances = stored(probabilities(grams, context), "chances", compression="zstd")
     values = words.withColumn("kind", F.lit(0)).unionByName(chances.withColumn("kind", F.lit(1)))
     answers = units.select("part", "kind", "key").join(values, ["kind", "key"]).select("part", "kind", "key", "value")
     floor = np.log10(n_train + n_types + 1)
