@@ -238,3 +238,58 @@ def band_basis(spark: S, d: str) -> DataFrame:
     rows = m.select(F.explode(F.when(F.col("q_index") % 3 == 0, F.array(F.lit("current"), F.lit("next"))).otherwise(F.array(F.lit("current")))).alias("horizon")).groupBy("horizon").agg(F.count("*").alias("n"))
     few = F.when(F.col("n") < 12, "pooled, fewer than 12 errors").otherwise(F.concat(F.lit("mean of "), F.col("n").cast("string"), F.lit(" errors, 68 and 95 percent bands")))
     return rows.select("horizon", few.alias("basis"), "n").where("horizon = 'current' or n < 12")
+
+
+@query("""with f as (select key, date, v, row_number() over (partition by key order by date) as n from (select key, date, cast(round(value) as bigint) as v from monthly)), c as (select key, n, case when key = 'NATION_12' and n = 3 then v + 1 else v end as v from f where date < date '1997-01-01')
+    select c.key, count(*) as n, count(*) filter (c.v = f.v) as equal, count(*) = count(*) filter (c.v = f.v) as prefix, case when count(*) = count(*) filter (c.v = f.v) then 'the cut explains what is missing' else 'refused: the cut series is another' end as why from c join f on f.key = c.key and f.n = c.n group by 1""")
+def prefix_check(spark: S, d: str) -> DataFrame:
+    """Whether a cut series is the head of the full one, place by place: only then does the cut explain what a tier lacks."""
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("date"))
+    full = cells(spark, d).withColumn("n", nth)
+    wrong = (F.col("key") == "NATION_12") & (F.col("n") == 3)
+    cut = full.where("date < date'1997-01-01'").select("key", "n", F.when(wrong, F.col("v") + 1).otherwise(F.col("v")).alias("w"))
+    both = cut.join(full.select("key", "n", "v"), ["key", "n"]).groupBy("key").agg(F.count("*").alias("rows"), F.count(F.when(F.col("v") == F.col("w"), 1)).alias("equal"))
+    prefix = F.col("rows") == F.col("equal")
+    return both.select("key", F.col("rows").alias("n"), "equal", prefix.alias("prefix"), F.when(prefix, "the cut explains what is missing").otherwise("refused: the cut series is another").alias("why"))
+
+
+@query("""with s as (select q_index, unnest([1, 2, 3]) as seed, model, actual from misses), m as (select q_index, avg(model + (seed - 2) * 0.1) as model, count(*) as seeds, any_value(actual) as actual from s where not (q_index % 5 = 0 and seed = 3) group by 1)
+    select q_index, model, seeds, actual, model - actual as miss, abs((model - actual) - round(model - actual, 4)) <= 1e-4 as identity from m where seeds >= 2""", ratios=("model", "actual", "miss"))
+def seed_misses(spark: S, d: str) -> DataFrame:
+    """Final estimates averaged over seeds, quarters that several seeds have, and their misses against first prints."""
+    s = t.misses(spark, d).select("q_index", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seed"), "model", "actual").where("not (q_index % 5 = 0 and seed = 3)")
+    m = s.groupBy("q_index").agg(F.avg(F.col("model") + (F.col("seed") - 2) * 0.1).alias("model"), F.count("*").alias("seeds"), F.first("actual").alias("actual")).where("seeds >= 2")
+    miss = F.col("model") - F.col("actual")
+    return m.select("q_index", "model", "seeds", "actual", miss.alias("miss"), (F.abs(miss - F.round(miss, 4)) <= 1e-4).alias("identity"))
+
+
+@query("""select name, rows from (select unnest(['gdp', 'latest', 'missing']) as name, unnest([(select count(*) from target_q), 1, 0]) as rows)""")
+def optional_payloads(spark: S, d: str) -> DataFrame:
+    """JSON documents by an explicit schema; one that isn't there is an empty table of that schema, not an error."""
+    from pyspark.errors import AnalysisException
+
+    from tidemark.streaming.ledger import shared_dir
+
+    path = shared_dir(spark, "documents")
+    q = t.target_q(spark, d).select(F.col("q_index").cast("int").alias("q_index"), F.round("value").cast("bigint").alias("v"))
+    q.write.json(f"{path}/gdp")
+    q.orderBy(F.desc("q_index")).limit(1).write.json(f"{path}/latest")
+
+    def read(name: str) -> DataFrame:
+        kind = "q_index int, v bigint"
+        try:
+            found = spark.read.schema(kind).json(f"{path}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = spark.createDataFrame([], kind)
+        return found.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+
+    return read("gdp").unionByName(read("latest")).unionByName(read("missing"))
+
+
+@query("""select date, value, 'business confidence' as name, 'net balance' as unit, date >= date '1998-01-01' as fresh from (select date, cast(cast(round(sum(value)) as bigint) % 161 - 80 as double) as value from monthly where date >= date '1994-01-01' group by 1)""")
+def manual_series(spark: S, d: str) -> DataFrame:
+    """A series kept by hand: from its start on, with constant columns, and whether a month is recent enough to be used."""
+    c = t.monthly(spark, d).where("date >= date'1994-01-01'").groupBy("date").agg((F.round(F.sum("value")).cast("bigint") % 161 - 80).cast("double").alias("value"))
+    return c.select("date", "value", F.lit("business confidence").alias("name"), F.lit("net balance").alias("unit"), (F.col("date") >= F.lit("1998-01-01").cast("date")).alias("fresh"))
