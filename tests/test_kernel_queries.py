@@ -153,3 +153,11 @@ def test_robust_errors(spark, rows):
         s = sum((1 - abs(i - j) / (lags + 1)) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(len(e)) for j in range(len(e)) if abs(i - j) <= lags)
         assert math.isclose(one.slope, beta[1], rel_tol=1e-6) and math.isclose(one.error, math.sqrt((inverse @ s @ inverse)[1, 1]), rel_tol=1e-6)
         assert got[key, "bartlett", "ED"].error != one.error
+
+
+def test_activity_index_moves_with_mean_growth(spark, rows):
+    longest = max(rows.values(), key=len)
+    means = dict(zip(longest["date"], longest["m"], strict=True))
+    got = {r.date: r.activity for r in collected(spark, "activity_index")}
+    both = sorted(set(got) & set(means))
+    assert len(both) > 40 and np.corrcoef([got[d] for d in both], [means[d] for d in both])[0, 1] > 0.3
