@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 #: Rows that a Python worker gets at once; with a long text each this is still some tens of MB.
 ARROW_ROWS = 512
 #: Text that one group of documents holds, where documents are grouped to be met by answers.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 _OWN_SCRATCH: dict[str, str] = {}
 _STORED: dict[str, list[str]] = {}
@@ -94,16 +95,27 @@ def batches(docs: DataFrame, text: str = "text", size: int = BATCH_BYTES) -> int
     return max(1, -(-int(total) // size))
 
 
+def released() -> None:
+    """Give back what a reused worker has freed but still holds: the next stage's workers share an executor's memory with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where fn gives dicts of columns for each batch."""
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in it:
             if batch.num_rows:
                 for out in fn(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        released()
 
     return df.mapInArrow(run, kind)
 

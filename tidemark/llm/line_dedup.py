@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import Carried, arrow_map, as_bytes, batches, mix, stored, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, batches, mix, released, stored, tuned
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -122,6 +122,7 @@ def _line_rows(min_chars: int):
 
 def _arrays(table: pa.Table) -> pa.Table:
     """The perfect hash of a shard's lines and their arrays, in its order."""
+    released()
     keys = table.column("h").to_numpy().view(np.uint64)
     index = PerfectHash(keys)
     order = index.index(keys)
@@ -135,6 +136,7 @@ def _probe(least: int):
     empty = pa.table({"h": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "last": pa.array([], pa.int64())})
 
     def run(arrays: pa.Table, lines: pa.Table) -> pa.Table:
+        released()
         if not arrays.num_rows or not lines.num_rows:
             return empty
         index = PerfectHash.from_bytes(arrays.column("hash")[0].as_py())
@@ -169,6 +171,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     own = to_arrow_schema(kind)
 
     def rebuilt(batch: pa.Table, found: pa.Table) -> pa.Table:
+        released()
         last = dict(zip(found.column("h").to_pylist(), found.column("last").to_pylist(), strict=True))
         texts, n_lines, n_dropped = [], [], []
         for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("raw"), strict=True):
