@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Carried, arrow_map, as_bytes, stored, tuned
+from tidemark.llm.common import Carried, arrow_map, as_bytes, released, stored, tuned
 
 SIZES = (4, 5)
 BUCKETS = 1 << 20
@@ -134,9 +134,10 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "f").rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("f") / 4
     kept = kept.withColumns({"upto": F.sum(size).over(order), "own": size}).where((F.col("upto") <= FIT_FEATURES) | (F.col("upto") == F.col("own")))
-    found = sorted(((r.id, r.y, bytes(r.f)) for r in kept.select("id", "y", "f").collect()))
-    sets = [np.frombuffer(f, np.int32) for _, _, f in found]
-    y = np.array([k for _, k, _ in found])
+    found = kept.select("id", "y", "f").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("f", "ascending")])
+    released()
+    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("f")]  # no copies
+    y = found.column("y").to_numpy()
     counts = np.zeros((2, BUCKETS))
     for one, k in zip(sets, y, strict=True):
         counts[k, one] += 1
