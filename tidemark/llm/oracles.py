@@ -58,4 +58,69 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(
 from m group by doc_id
 """
 
-ORACLE: dict[str, str] = {"op6_near_dedup": OP6, "op7_decontaminate": OP7, "op8_warc": OP8, "op9_line_dedup": OP9}
+OP11 = r"""
+with recursive crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents)
+  where length(run) >= 5 group by all),
+bytes as (
+  select run, n, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''),
+    lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [cast(192 + (unicode(c) >> 6) as bigint), cast(128 + (unicode(c) & 63) as bigint)] end)) as b
+  from runs),
+hashed as (
+  select run, n, xor(list_reduce(list_prepend(cast(4294967295 as bigint), b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, crc),
+v as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 97 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, n from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cuts as (select word, n, i, word[1 : i] || word[i + 2 :] as rest from v, unnest(range(length(word))) as r(i)),
+near as (
+  select a.word, a.n, b.word as other, b.n as m from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cuts a join v b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from cuts a join v b on a.rest = b.word),
+best as (select word, count(*) as n_near, first(other order by m desc, other) as form, max(m) as form_n from near group by word),
+forms as (
+  select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n
+  from v left join best using (word)),
+walk as (
+  select word, coalesce(form, word) as root, 0 as k from forms
+  union select w.word, f.form, k + 1 from walk w join forms f on f.word = w.root where f.form is not null)
+select f.*, w.root from forms f join (select word, arg_max(root, k) as root from walk group by word) w using (word)
+"""
+
+OP12 = """
+with v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select a.vec_id as query_id, b.vec_id, list_cosine_similarity(a.e, b.e) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 5
+"""
+
+OP13 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+    sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents),
+d as (
+  select doc_id, x, u, cast(len(u) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+  from t),
+c as (
+  select doc_id, x, u, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from d),
+p as (
+  select doc_id, x, n, form, coalesce(list_aggregate(u[1:a], 'string_agg', ''), '') as pre, coalesce(list_aggregate(u[a + 1 : b], 'string_agg', ''), '') as mid,
+    coalesce(list_aggregate(u[b + 1 : n], 'string_agg', ''), '') as suf
+  from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(x) as restored_sha256
+from p
+"""
+
+ORACLE: dict[str, str] = {"op6_near_dedup": OP6, "op7_decontaminate": OP7, "op8_warc": OP8, "op9_line_dedup": OP9, "op11_spelling": OP11, "op12_nearest": OP12, "op13_fill_middle": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, matroska, near_dedup, packing, pitman_yor, secrets, token_counts, toxicity, warc
+from tidemark.llm import decontaminate, fill_middle, line_dedup, matroska, near_dedup, nearest, packing, pitman_yor, secrets, spelling, token_counts, toxicity, warc
 from tidemark.llm.oracles import ORACLE as ORACLE
 
 
@@ -75,4 +75,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_matroska, op4_token_counts, op5_packing, op6_near_dedup, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_matroska, op4_token_counts, op5_packing, op6_near_dedup, op7_decontaminate, op8_warc, op9_line_dedup, op10_secrets, op11_spelling, op12_nearest, op13_fill_middle)}
