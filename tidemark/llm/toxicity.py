@@ -13,7 +13,7 @@ the documents and no text is shuffled; the model is BUCKETS weights.
 
 Defined cases: null and empty text has no features and gets the intercept's
 score; rows with a null label or without a document aren't learnt from; several
-labels of one document each count; without both labels the score is 1 where
+labels of one document each count; without any sampled document every score is a half; without both labels the score is 1 where
 all labels are 1, else 0. Repeated rows and null doc_ids are scored row by row.
 Other columns pass through; one named score (in any case) comes back as score_in.
 """
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from tidemark.llm.common import Carried, arrow_map, as_bytes, released, stored,
 SIZES = (4, 5)
 BUCKETS = 1 << 20
 FIT_ROWS = 2500
-#: Distinct features, over all rows of one label, that are fitted on: the bound in bytes of what meets the driver (4 each).
+#: Distinct features, over all rows of one label, that are fitted on: the bound of what meets in the task that fits (4 bytes each).
 FIT_FEATURES = 16 << 20
 EPOCHS = 8
 L2 = 1e-4
@@ -134,15 +135,24 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "f").rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("f") / 4
     kept = kept.withColumns({"upto": F.sum(size).over(order), "own": size}).where((F.col("upto") <= FIT_FEATURES) | (F.col("upto") == F.col("own")))
-    found = kept.select("id", "y", "f").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("f", "ascending")])
-    released()
-    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("f")]  # no copies
-    y = found.column("y").to_numpy()
-    counts = np.zeros((2, BUCKETS))
-    for one, k in zip(sets, y, strict=True):
-        counts[k, one] += 1
-    held = (max(1, int((y == 0).sum())), max(1, int((y == 1).sum())))
-    return fitted(ratios(counts, held), sets, y.astype(float), np.array([total[k] / held[k] for k in y]))
+
+    def fit(found: pa.Table) -> pa.Table:
+        released()
+        order = pc.sort_indices(found, [("id", "ascending"), ("y", "ascending"), ("f", "ascending")]).to_numpy()
+        column = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("f")]  # no copies
+        sets, y = [column[k] for k in order], found.column("y").to_numpy()[order]
+        counts = np.zeros((2, BUCKETS))
+        for one, k in zip(sets, y, strict=True):
+            counts[k, one] += 1
+        held = (max(1, int((y == 0).sum())), max(1, int((y == 1).sum())))
+        model = fitted(ratios(counts, held), sets, y.astype(float), np.array([total[k] / held[k] for k in y]))
+        return pa.table({"weights": pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), "intercept": [model.intercept]})
+
+    # the bounded sample meets in one task, and only the weights come to the driver
+    one = kept.select("id", "y", "f", F.lit(0).alias("all")).groupBy("all").applyInArrow(fit, "weights binary, intercept double").first()
+    if one is None:  # no sampled row has a document
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+    return Model(np.frombuffer(one.weights, np.float32), one.intercept)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
