@@ -171,7 +171,7 @@ def test_spectral_values_and_number_of_dynamic_factors():
 
 def test_scaled_residuals_and_bandwidth():
     e, h = np.array([1.0, -2.0, 0.5, 1.5]), np.array([0.2, 0.5, 0.3, 1.0 - 1e-9])
-    assert np.allclose(kernels.scaled_residuals(e[:3], h[:3], 1, "ED"), e[:3] / (1 - h[:3])) and np.allclose(kernels.scaled_residuals(e, h, 2, "EB"), e * math.sqrt(2))
+    assert np.allclose(kernels.scaled_residuals(e[:3], h[:3], "ET"), e[:3] / (1 - h[:3])) and np.allclose(kernels.scaled_residuals(e, h, "EB"), e / np.sqrt(1 - h))
     rng = np.random.default_rng(10)
     white, slow = rng.normal(size=(500, 1)), np.zeros((500, 1))
     for t in range(1, 500):

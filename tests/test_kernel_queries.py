@@ -143,16 +143,50 @@ def test_volatility_states(spark, rows):
         assert 0.3 < np.sqrt(np.mean([r.sigma**2 for r in got if r.key == k])) / g["x"].std() < 2
 
 
+def scalings(e, h):
+    """Each scaling from its statement, a row at a time."""
+    n, mean = len(h), sum(h) / len(h)
+    rel = [v / mean for v in h]
+    d = {"EH": [0.0] * n, "EB": [1.0] * n, "ET": [2.0] * n, "ED": [min(4.0, r) for r in rel], "EM": [min(1.0, r) + min(1.5, r) for r in rel], "ES": [min(r, max(4.0, 0.7 * max(rel))) for r in rel]}
+    return {k: np.array([x / (1 - v) ** (p / 2) for x, v, p in zip(e, h, ps, strict=True)]) for k, ps in d.items()}
+
+
+def refitted(y, x):
+    """Standardised one-step errors by a new regression for every row."""
+    out = []
+    for t in range(x.shape[1], len(y)):
+        beta, _, inverse = regression(y[:t], x[:t])
+        out.append((y[t] - x[t] @ beta) / math.sqrt(1 + x[t] @ inverse @ x[t]))
+    return np.array(out)
+
+
 def test_robust_errors(spark, rows):
     got = {(r.key, r.kernel, r.scaling): r for r in collected(spark, "robust_errors")}
+    weights = {"truncated": lambda z: float(z <= 1), "bartlett": lambda z: 1 - z, "parzen": lambda z: 1 - 6 * z**2 + 6 * z**3 if z <= 0.5 else 2 * (1 - z) ** 3, "tukey": lambda z: (1 + math.cos(math.pi * z)) / 2}
+    assert len(got) == 35 * len(rows)
+    for key, g in rows.items():
+        y, x = g["x"].to_numpy(), np.column_stack([np.ones(len(g)), g["m"]])
+        beta, e, inverse = regression(y, x)
+        h = np.diag(x @ inverse @ x.T)
+        steps = refitted(y, x)
+        first = math.floor(0.1 * len(steps))
+        scores = {k: x * u[:, None] for k, u in scalings(e, h).items()} | {"FE": x[2 + first :] * steps[first:, None]}
+        for kernel, weight in weights.items():
+            for scaling, u in scores.items():
+                one = got[key, kernel, scaling]
+                lags = min(len(u) - 2, int(one.bandwidth))
+                s = sum(weight(abs(i - j) / (lags + 1)) * np.outer(u[i], u[j]) for i in range(len(u)) for j in range(max(0, i - lags), min(len(u), i + lags + 1)))
+                var = (inverse @ s @ inverse)[1, 1]
+                assert math.isclose(one.slope, beta[1], rel_tol=1e-6) and math.isclose(one.error, math.sqrt(max(var, 0)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_recursive_errors(spark, rows):
+    got = {}
+    for r in sorted(collected(spark, "recursive_errors"), key=lambda r: (r.key, r.date)):
+        got.setdefault(r.key, []).append((r.error, r.path))
     for key, g in rows.items():
-        x = np.column_stack([np.ones(len(g)), g["m"]])
-        beta, e, inverse = regression(g["x"].to_numpy(), x)
-        one = got[key, "bartlett", "EH"]
-        lags = min(len(x) - 2, int(one.bandwidth))
-        s = sum((1 - abs(i - j) / (lags + 1)) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(len(e)) for j in range(len(e)) if abs(i - j) <= lags)
-        assert math.isclose(one.slope, beta[1], rel_tol=1e-6) and math.isclose(one.error, math.sqrt((inverse @ s @ inverse)[1, 1]), rel_tol=1e-6)
-        assert got[key, "bartlett", "ED"].error != one.error
+        want = refitted(g["x"].to_numpy(), np.column_stack([np.ones(len(g)), g["m"]]))
+        assert np.allclose([e for e, _ in got[key]], want, rtol=1e-6, atol=1e-9) and np.allclose([p for _, p in got[key]], np.cumsum(want) / want.std(ddof=1), atol=1e-6)
 
 
 def test_activity_index_moves_with_mean_growth(spark, rows):

@@ -50,18 +50,63 @@ def hac(x: np.ndarray, e: np.ndarray, inverse: np.ndarray, lags: int | None = No
     return inverse @ s @ inverse
 
 
-def scaled_residuals(e: np.ndarray, leverage: np.ndarray, k: int, kind: str = "EH") -> np.ndarray:
-    """Residuals as they enter a robust covariance: as they are, or scaled by degrees of freedom or by leverage in one of four ways."""
-    n, h = len(e), leverage
-    mean = k / n
-    return e * {
-        "EH": 1.0, "EB": math.sqrt(n / (n - k)), "ET": 1 / np.sqrt(1 - h), "ED": 1 / (1 - h),
-        "EM": (1 - h) ** -(np.minimum(4, h / mean) / 2), "ES": (1 - h) ** -(np.minimum(np.minimum(4, h / mean), 0.7 * h.max() / mean) / 4),
-    }[kind]
+def scaled_residuals(e: np.ndarray, leverage: np.ndarray, kind: str = "EH") -> np.ndarray:
+    """Residuals as they enter a robust covariance: e / (1 - h) ** (d / 2), where d depends on the kind.
+
+    EH: 0, plain. EB: 1, standardised. ET: 2, prediction errors. With the leverage relative to its mean, r = n h / sum(h): ED, discounted:
+    min(4, r); EM, discounted in two parts: min(1, r) + min(1.5, r); ES: min(r, max(4, 0.7 max(r))).
+    """
+    r = len(leverage) * leverage / leverage.sum()
+    power = {
+        "EH": lambda: 0.0, "EB": lambda: 1.0, "ET": lambda: 2.0, "ED": lambda: np.minimum(4, r),
+        "EM": lambda: np.minimum(1, r) + np.minimum(1.5, r), "ES": lambda: np.minimum(r, max(4.0, 0.7 * r.max())),
+    }[kind]()
+    return e / (1 - leverage) ** (power / 2)
+
+
+def recursive_residuals(y: np.ndarray, x: np.ndarray, standard: bool = True) -> np.ndarray:
+    """Errors of one-step forecasts, each by the regression on the rows before it, over their deviation; one pass, the inverse gets rank-one updates.
+
+    The first k rows, for k columns, start it and have no residual; they must be independent.
+    """
+    k = x.shape[1]
+    inverse = np.linalg.pinv(x[:k].T @ x[:k])
+    beta = inverse @ x[:k].T @ y[:k]
+    out = np.empty(len(y) - k)
+    for t in range(k, len(y)):
+        gain = inverse @ x[t]
+        wider = 1 + float(x[t] @ gain)
+        error = float(y[t] - x[t] @ beta)
+        out[t - k] = error / math.sqrt(wider) if standard else error
+        inverse -= np.outer(gain, gain) / wider
+        beta = beta + gain * (error / wider)
+    return out
+
+
+def forecast_scores(y: np.ndarray, x: np.ndarray, standard: bool = True, trim: float = 0.1) -> np.ndarray:
+    """Rows of x times their recursive residuals, without the first `trim` of them, which few rows stand behind."""
+    if not 0 <= trim < 1:
+        raise ValueError("trim must be from 0 to under 1")
+    e = recursive_residuals(y, x, standard)
+    first = math.floor(len(e) * trim)
+    return x[len(x) - len(e) + first :] * e[first:, None]
+
+
+def long_run(scores: np.ndarray, lags: int, kind: str = "bartlett") -> np.ndarray:
+    """Sum of the scores' cross products over all lags up to `lags`, weighted by the kernel."""
+    s = scores.T @ scores
+    for lag in range(1, lags + 1):
+        g = scores[lag:].T @ scores[:-lag]
+        s += kernel_weight(lag / (lags + 1), kind) * (g + g.T)
+    return s
 
 
 def automatic_bandwidth(scores: np.ndarray, kind: str = "bartlett") -> float:
-    """Bandwidth from first-order autoregressions of the columns of x e (Andrews 1991); a constant's column should be left out."""
+    """Bandwidth from first-order autoregressions of the columns of x e (Andrews 1991); a constant's column should be left out.
+
+    For Bartlett the published divisor (1 - rho)^6 (1 + rho)^2 is taken; some code has (1 - rho)^8, as for the other kernels. rho is
+    held within 0.97, since the published forms have no limit at 1.
+    """
     top = bottom = 0.0
     for u in scores.T:
         rho = float(u[1:] @ u[:-1] / (u[:-1] @ u[:-1]))
@@ -140,16 +185,6 @@ def wald(beta: np.ndarray, cov: np.ndarray, r: np.ndarray, q: np.ndarray | float
     return stat, chi2_tail(stat, len(r))
 
 
-def recursive_residuals(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One-step errors, scaled, each from the rows before."""
-    k = x.shape[1]
-    out = []
-    for t in range(k, len(y)):
-        beta, _, inverse = ols(y[:t], x[:t])
-        out.append((y[t] - x[t] @ beta) / math.sqrt(1 + x[t] @ inverse @ x[t]))
-    return np.array(out)
-
-
 def adf(y: np.ndarray, most: int = 4) -> tuple[float, int]:
     """Dickey-Fuller t statistic with drift; lags by AIC, all lag lengths on the rows that the longest has."""
     best = (math.inf, 0.0, 0)

@@ -229,25 +229,43 @@ def dynamic_factors(spark: S, d: str) -> DataFrame:
 
 @query()
 def robust_errors(spark: S, d: str) -> DataFrame:
-    """Standard errors of each series' slope on the panel mean, by kernel and residual scaling, with the automatic bandwidth."""
-    kinds = [(k, r) for k in ("truncated", "bartlett", "parzen", "tukey", "qs") for r in ("EH", "EB", "ET", "ED", "EM", "ES")]
+    """Standard errors of each series' slope on the panel mean, by kernel and residual scaling, with the automatic bandwidth.
+
+    Scalings EH to ES are those of kernels.scaled_residuals; FE takes the errors of recursive one-step forecasts, trimmed by a tenth.
+    """
+    kinds = [(k, r) for k in ("truncated", "bartlett", "parzen", "tukey", "qs") for r in ("EH", "EB", "ET", "ED", "EM", "ES", "FE")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        x = np.column_stack([np.ones(len(pdf)), pdf["m"]])
-        beta, e, inverse = kernels.ols(pdf["x"].to_numpy(), x)
+        y, x = pdf["x"].to_numpy(), np.column_stack([np.ones(len(pdf)), pdf["m"]])
+        beta, e, inverse = kernels.ols(y, x)
         h = np.einsum("ij,jk,ik->i", x, inverse, x)
         out = []
         for kind, scaling in kinds:
-            u = kernels.scaled_residuals(e, h, 2, scaling)
-            width = kernels.automatic_bandwidth((x * u[:, None])[:, 1:], kind)
-            cov = kernels.hac(x, u, inverse, max(0, min(len(x) - 2, int(width))), kind)
+            scores = kernels.forecast_scores(y, x) if scaling == "FE" else x * kernels.scaled_residuals(e, h, scaling)[:, None]
+            width = kernels.automatic_bandwidth(scores[:, 1:], kind)
+            cov = inverse @ kernels.long_run(scores, max(0, min(len(scores) - 2, int(width))), kind) @ inverse
             out.append((pdf["key"].iloc[0], kind, scaling, float(beta[1]), float(width), float(np.sqrt(max(cov[1, 1], 0)))))
         return pd.DataFrame(out, columns=["key", "kernel", "scaling", "slope", "bandwidth", "error"])
 
     return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, kernel string, scaling string, slope double, bandwidth double, error double")
 
 
+@query()
+def recursive_errors(spark: S, d: str) -> DataFrame:
+    """Standardised errors of recursive one-step forecasts of each series by the panel mean, with their sums so far (a test of stable slopes)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        x = np.column_stack([np.ones(len(pdf)), pdf["m"]])
+        if len(pdf) < 4:
+            return pd.DataFrame({"key": [], "date": [], "error": [], "path": []})
+        e = kernels.recursive_residuals(pdf["x"].to_numpy(), x)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "date": pdf["date"].to_numpy()[2:], "error": e, "path": np.cumsum(e) / e.std(ddof=1)})
+
+    return growth_rows(spark, d).groupBy("key").applyInPandas(run, "key string, date date, error double, path double")
+
+
 def mixed_panel(spark: S, d: str) -> DataFrame:
     """Monthly growth by category, with the quarterly target's growth in its last months as one more series of each."""
     rows = monthly_panel(spark, d).select("category", "key", "date", "x")
