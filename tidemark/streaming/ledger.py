@@ -32,6 +32,15 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events", files: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
+def span(spark: SparkSession, sf_dir: str, name: str = "events", at: str = "ts") -> str:
+    """Days from a table's first to its last time, as a watermark's delay: its files may then come in any order and no row is late.
+
+    State is kept as long, so where the disorder of a source is known to be less, that is the delay to take.
+    """
+    r = table(spark, sf_dir, name).agg(F.datediff(F.max(at), F.min(at)).alias("days")).first()
+    return f"{(r.days or 0) + 1} days"
+
+
 def drained(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Runs all there is into folders of batches, then stops."""
 
