@@ -16,17 +16,21 @@ from tidemark.sources import tables as t
 S = SparkSession
 
 
-@query(f"""select key, mae / naive_mae as rmae, 100 * (1 - mae / naive_mae) as rel_mae, mse / naive_mse as rel_mse, sqrt(mse / naive_mse) as rel_rmse, 1 - sse / sst as rsq, mse from (select key, avg(abs(error)) as mae, avg(abs(naive)) as naive_mae, avg(error * error) as mse, avg(naive * naive) as naive_mse, sum((latest - first) ** 2) as sse, sum((latest - m) ** 2) as sst
-    from (select *, 100 * (b / latest - 1) as naive, avg(latest) over (partition by key) as m from (select *, lag(latest) over (partition by key order by date) as b from {ERRORS}) where b is not null) group by key)""", ratios=("rmae", "rel_mae", "rel_mse", "rel_rmse", "rsq", "mse"))
+@query(f"""select key, sqrt(avg(abs(error))) as rmae, sqrt(avg(abs(naive))) / sqrt(avg(abs(error))) - 1 as rel_rmae, avg(naive * naive) / avg(error * error) - 1 as rel_mse,
+    sqrt(avg(naive * naive)) / sqrt(avg(error * error)) - 1 as rel_rmse, sum(first * first) / sum(latest * latest) as rsq, avg(error * error) as mse
+    from (select *, 100 * (b / latest - 1) as naive from (select *, lag(latest) over (partition by key order by date) as b from {ERRORS}) where b is not null) group by key""",
+    ratios=("rmae", "rel_rmae", "rel_mse", "rel_rmse", "rsq", "mse"))
 def relative_errors(spark: S, d: str) -> DataFrame:
-    """Errors against those of no change: relative MAE, MSE and RMSE, and R squared."""
+    """Root of the mean absolute error, mean squared error, how much larger those of no change are (relative to the first), and the uncentred share of squares."""
     e = errors(spark, d).withColumn("b", F.lag("latest").over(Window.partitionBy("key").orderBy("date"))).where("b is not null")
     naive = 100 * (F.col("b") / F.col("latest") - 1)
-    mae, mse = F.avg(F.abs("error")), F.avg(F.col("error") * F.col("error"))
-    n_mae, n_mse = F.avg(F.abs(naive)), F.avg(naive * naive)
-    sst = F.sum(F.col("latest") * F.col("latest")) - F.sum("latest") * F.avg("latest")
-    g = e.groupBy("key").agg(mae.alias("mae"), mse.alias("mse"), n_mae.alias("n_mae"), n_mse.alias("n_mse"), F.sum(F.pow(F.col("latest") - F.col("first"), 2)).alias("sse"), sst.alias("sst"))
-    return g.select("key", (F.col("mae") / F.col("n_mae")).alias("rmae"), (100 * (1 - F.col("mae") / F.col("n_mae"))).alias("rel_mae"), (F.col("mse") / F.col("n_mse")).alias("rel_mse"), F.sqrt(F.col("mse") / F.col("n_mse")).alias("rel_rmse"), (1 - F.col("sse") / F.col("sst")).alias("rsq"), "mse")
+    square = lambda c: F.avg(c * c)
+    g = e.groupBy("key").agg(
+        F.sqrt(F.avg(F.abs("error"))).alias("rmae"), F.sqrt(F.avg(F.abs(naive))).alias("rmae2"), square(F.col("error")).alias("mse"), square(naive).alias("mse2"),
+        (F.sum(F.col("first") * F.col("first")) / F.sum(F.col("latest") * F.col("latest"))).alias("rsq"),
+    )
+    more = lambda second, first: (second - first) / first
+    return g.select("key", "rmae", more(F.col("rmae2"), F.col("rmae")).alias("rel_rmae"), more(F.col("mse2"), F.col("mse")).alias("rel_mse"), more(F.sqrt("mse2"), F.sqrt("mse")).alias("rel_rmse"), "rsq", "mse")
 
 
 def relative_error(got: Column, wanted: Column) -> Column:
@@ -94,77 +98,120 @@ def acf_limits(spark: S, d: str) -> DataFrame:
     return long.select("key", "lag", "acf", (z / F.sqrt("n")).alias("white"), (z * F.sqrt((1 + 2 * before) / F.col("n"))).alias("ma"))
 
 
-@query("""with r as (select key, lag_days, n_nationkey % 3 as kind from registry join nation on n_name = key), l as (select key, max(date) as last from monthly group by 1), f as (select key, kind, cast(d as date) as d from (select r.key, kind, unnest([
-    case kind when 0 then cast(m1 + interval 1 month as date) + cast((10 - dayofweek(cast(m1 + interval 1 month as date))) % 7 as integer) when 1 then last_day(m1) + lag_days else m2 + cast((8 - dayofweek(m2)) % 7 as integer) + case when month(m1) = 12 then 7 else 0 end + case when month(m2) in (8, 10) then 1 else 0 end end]) as d
-    from (select r.*, cast(last + interval (k) month as date) as m1, cast(last + interval (k + 1) month as date) as m2 from r join l using (key), unnest(generate_series(1, 6)) as s(k)) r)) select key, kind, min(d) as next from f where d >= date '1999-01-15' group by 1, 2""")
+@query("""with e as (select y, cast(make_date(y, cast((h + l - 7 * mm + 114) // 31 as integer), cast((h + l - 7 * mm + 114) % 31 + 1 as integer)) + 1 as date) as easter from (
+        select *, (a + 11 * h + 22 * l) // 451 as mm from (select *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 as l from (select *, (19 * a + b - b // 4 - (8 * b + 13) // 25 + 15) % 30 as h from (
+        select y, y % 19 as a, y // 100 as b, y % 100 as c from (select unnest(range(1980, 2100)) as y)))))),
+    r as (select key, lag_days, n_nationkey % 3 as kind from registry join nation on n_name = key),
+    k as (select r.*, m.date as m1, cast(m.date + interval 1 month as date) as m2 from r cross join (select distinct date from monthly) m),
+    x as (select *, cast(m2 + cast((8 - dayofweek(m2)) % 7 as integer) as date) as monday from k)
+    select key, kind, m1 as month, cast(case kind when 0 then m2 + cast((10 - dayofweek(m2)) % 7 as integer) when 1 then last_day(m1) + lag_days
+        else case when month(m1) = 12 then monday + 7 when month(m2) in (8, 10) or monday = easter then monday + 1 else monday end end as date) as release
+    from x join e on e.y = year(monday)""")
 def release_rules(spark: S, d: str) -> DataFrame:
-    """Next release of each series by its rule, rolled on until it isn't past: a weekday of the month after, a lag in days, or the first Monday with its exceptions."""
+    """Release of each series' every month by its rule: a weekday of the month after, a lag in days, or the first Monday, a day later where that is a bank
+    holiday (August, October) or Easter Monday, a week later for December."""
     r = t.registry(spark, d).join(t.table(spark, d, "nation").select(F.col("n_name").alias("key"), (F.col("n_nationkey") % 3).alias("kind")), "key")
-    rows = r.join(t.monthly(spark, d).groupBy("key").agg(F.max("date").alias("last")), "key")
-
-    def date(k: Column) -> Column:
-        m1, m2 = F.add_months("last", k), F.add_months("last", k + 1)
-        monday = F.date_add(calendar.nth_weekday(m2, "Mon", 1), F.when(F.month(m1) == 12, 7).otherwise(0) + F.when(F.month(m2).isin(8, 10), 1).otherwise(0))
-        return F.when(F.col("kind") == 0, calendar.nth_weekday(m2, "Wed", 1)).when(F.col("kind") == 1, F.date_add(F.last_day(m1), F.col("lag_days"))).otherwise(monday)
-
-    later = F.filter(F.transform(F.sequence(F.lit(1), F.lit(6)), date), lambda x: x >= F.lit("1999-01-15").cast("date"))
-    return rows.select("key", "kind", F.array_min(later).alias("next")).where("next is not null")
-
-
-@query("""select alpha, q, model, row_number() over (order by alpha, q, model) as variant, case when d_mae < -0.05 and d_rmse < -0.05 then 'keep' when d_mae < 0 or d_rmse < 0 then 'star' else 'neutral' end as verdict from (
-    select a.alpha, b.q, c.model, (a.alpha - 0.1) * b.q / 2.0 - 0.06 as d_mae, case when c.model = 'qa' then -0.1 else 0.02 end as d_rmse from (select cast(unnest([0.05, 0.1, 0.2]) as double) as alpha) a cross join (select unnest([1, 2]) as q) b cross join (select unnest(['qa', 'umidas']) as model) c)""", ratios=("alpha",))
+    m1, m2 = F.col("month"), F.add_months("month", 1)
+    monday = calendar.nth_weekday(m2, "Mon", 1)
+    holiday = F.month(m2).isin(8, 10) | (monday == calendar.easter_monday(F.year(m2)))
+    third = F.when(F.month(m1) == 12, F.date_add(monday, 7)).when(holiday, F.date_add(monday, 1)).otherwise(monday)
+    release = F.when(F.col("kind") == 0, calendar.nth_weekday(m2, "Wed", 1)).when(F.col("kind") == 1, F.date_add(F.last_day(m1), F.col("lag_days"))).otherwise(third)
+    months = t.monthly(spark, d).select(F.col("date").alias("month")).distinct()  # one row a month
+    return r.join(F.broadcast(months)).select("key", "kind", "month", release.alias("release"))
+
+
+@query(f"""with e as (select *, row_number() over (partition by key order by date desc) as back, date >= (select min(date) + cast((max(date) - min(date)) // 2 as integer) from {ERRORS}) as post from {ERRORS}),
+    v as (select key as variant, sqrt(avg(error * error) filter (post)) as pc, sqrt(avg(error * error)) as whole, sqrt(avg(error * error) filter (back <= 8)) as oos from e group by key),
+    b as (select sqrt(avg(error * error) filter (post)) as pc, sqrt(avg(error * error)) as whole, sqrt(avg(error * error) filter (back <= 8)) as oos from e),
+    x as (select variant, v.pc - b.pc as d_pc, v.whole - b.whole as d_full, v.oos - b.oos as d_oos from v cross join b)
+    select *, case when d_pc is null then 'none' when d_pc < 0 and d_full <= 0 and d_oos <= 0 then 'keep in all' when d_pc < 0 and d_full <= 0.02 then 'keep' else 'none' end as verdict from x""", ratios=("d_pc", "d_full", "d_oos"))
 def variant_grid(spark: S, d: str) -> DataFrame:
-    """Grid of hyper-parameters with its variants' numbers, and the verdict on what each changes."""
-    sides = [spark.createDataFrame([(x,) for x in xs], f"{name} {kind}") for name, kind, xs in (("alpha", "double", (0.05, 0.1, 0.2)), ("q", "int", (1, 2)), ("model", "string", ("qa", "umidas")))]
-    grid = sides[0].crossJoin(sides[1]).crossJoin(sides[2])  # twelve rows, fixed by the parameters
-    mae, rmse = (F.col("alpha") - 0.1) * F.col("q") / 2 - 0.06, F.when(F.col("model") == "qa", -0.1).otherwise(0.02)
-    verdict = F.when((mae < -0.05) & (rmse < -0.05), "keep").when((mae < 0) | (rmse < 0), "star").otherwise("neutral")
-    return grid.select("alpha", "q", "model", F.row_number().over(Window.orderBy("alpha", "q", "model")).cast("bigint").alias("variant"), verdict.alias("verdict"))
-
-
-# Tiers of a price index: the newest is preferred; an older one is admitted where it overlaps enough with what is there.
-TIERS = """t as (select key, date, v, tier from (select key, date, 50 + cast(round(value) as bigint) % 100 as v from monthly) c, unnest([1, 2, 3]) as u(tier) where tier = 1 and date >= date '1996-01-01' or tier = 2 and date between date '1994-01-01' and date '1997-06-01' and key <> 'NATION_3' or tier = 3 and date < case when key < 'NATION_2' then date '1994-09-01' else date '1994-03-01' end)"""
+    """Each series' errors against all of them, as a variant against the baseline, in the later half, over all and in the last 8 months; what is kept:
+    better in the later half without a material loss (over 0.02) over all, or better in all three."""
+    e = errors(spark, d).withColumn("back", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("date"))))
+    half = e.agg(F.expr("date_add(min(date), cast(floor(datediff(max(date), min(date)) / 2) as int))").alias("half"))  # one row
+    e = e.join(F.broadcast(half)).withColumn("post", F.col("date") >= F.col("half"))
+    rmse = lambda keep: F.sqrt(F.avg(F.when(keep, F.col("error") * F.col("error"))))
+    windows = {"pc": F.col("post"), "full": F.lit(True), "oos": F.col("back") <= 8}
+    base = e.agg(*(rmse(w).alias(f"b_{k}") for k, w in windows.items()))  # one row
+    v = e.groupBy(F.col("key").alias("variant")).agg(*(rmse(w).alias(k) for k, w in windows.items())).join(F.broadcast(base))
+    v = v.select("variant", *((F.col(k) - F.col(f"b_{k}")).alias(f"d_{k}") for k in windows))
+    better = F.col("d_pc") < 0
+    verdict = F.when(better & (F.col("d_full") <= 0) & (F.col("d_oos") <= 0), "keep in all").when(better & (F.col("d_full") <= 0.02), "keep").otherwise("none")
+    return v.withColumn("verdict", verdict)
+
+
+# Tiers of a price index (1 the newest and preferred); how far each reaches depends here on the length of the series' name, so that overlaps differ.
+TIERS = """s as (select min(date) as m from monthly), c as (select key, date, 50 + cast(round(value) as bigint) % 100 as v, cast(length(key) as integer) as k, date_diff('month', m, date) as mo from monthly cross join s),
+    t as (select key, date, v, 1 as tier from c where mo >= 48 union all select key, date, v, 2 from c where mo >= 24 and mo < 46 + 2 * k % 12 and k <> 8 union all select key, date, v, 3 from c where mo < 20 + 5 * (k % 7))"""
+#: Months that two tiers must share.
+LEAST_OVERLAP = 6
 
 
 def index_tiers(spark: S, d: str) -> DataFrame:
     """key, date, v, tier (1 preferred)."""
-    c = cells(spark, d).select("key", "date", (50 + F.col("v") % 100).alias("v")).withColumn("tier", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    third = F.when(F.col("key") < "NATION_2", F.lit("1994-09-01")).otherwise(F.lit("1994-03-01")).cast("date")
-    return c.where("tier = 1 and date >= date'1996-01-01' or tier = 2 and date between date'1994-01-01' and date'1997-06-01' and key <> 'NATION_3'").unionByName(c.where((F.col("tier") == 3) & (F.col("date") < third)))
+    c = cells(spark, d).select("key", "date", (50 + F.col("v") % 100).alias("v"), F.length("key").alias("k"))
+    first = c.agg(F.min("date").alias("m"))  # one row
+    c = c.join(F.broadcast(first)).withColumn("at", F.months_between("date", "m").cast("int"))
+    reach = {1: F.col("at") >= 48, 2: (F.col("at") >= 24) & (F.col("at") < 46 + 2 * F.col("k") % 12) & (F.col("k") != 8), 3: F.col("at") < 20 + 5 * (F.col("k") % 7)}
+    tiers = F.array(*(F.when(w, F.lit(tier)) for tier, w in reach.items()))
+    return c.select("key", "date", "v", F.explode(F.array_compact(tiers)).alias("tier"))
+
+
+def admitted(tiers: DataFrame, most: int, least: int = LEAST_OVERLAP) -> DataFrame:
+    """key, admitted (tiers, newest first), why: tiers walked from the oldest (`most`) to the newest (1). The oldest that has anything is the base; a newer one
+    is admitted if it shares `least` months with the last admitted, else it is skipped and the walk goes on. tiers: key, date, tier."""
+    order = range(most, 0, -1)
+    has = tiers.groupBy("key", "date").agg(*(F.max(F.when(F.col("tier") == k, 1)).alias(f"t{k}") for k in order))
+    shared = [F.count(F.when(F.col(f"t{i}") + F.col(f"t{j}") == 2, 1)).alias(f"n{i}{j}") for i in order for j in order if i < j]
+    n = has.groupBy("key").agg(*(F.count(f"t{k}").alias(f"n{k}") for k in order), *shared)
+    last, kept, why = F.lit(0), F.array().cast("array<int>"), F.array().cast("array<string>")
+    for k in order:
+        overlap = F.lit(0)
+        for j in range(most, k, -1):
+            overlap = F.when(last == j, F.col(f"n{k}{j}")).otherwise(overlap)
+        empty, base = F.col(f"n{k}") == 0, (F.col(f"n{k}") > 0) & (last == 0)
+        fits = ~empty & (base | (overlap >= least))
+        said = F.when(empty, F.lit(f"tier {k} has nothing")).when(~fits, F.concat(F.lit(f"tier {k} shares "), overlap.cast("string"), F.lit(" months with tier "), last.cast("string")))
+        why = F.when(said.isNotNull(), F.array_append(why, said)).otherwise(why)
+        kept = F.when(fits, F.array_prepend(kept, F.lit(k))).otherwise(kept)
+        last = F.when(fits, k).otherwise(last)
+    return n.select("key", kept.alias("admitted"), why.alias("why"))
+
+
+ADMITTED = f"""{TIERS}, n as (select key, count(*) filter (tier = 1) as n1, count(*) filter (tier = 2) as n2, count(*) filter (tier = 3) as n3 from t group by 1),
+    o as (select a.key, count(*) filter (a.tier = 1 and b.tier = 2) as n12, count(*) filter (a.tier = 1 and b.tier = 3) as n13, count(*) filter (a.tier = 2 and b.tier = 3) as n23 from t a join t b on a.key = b.key and a.date = b.date and a.tier < b.tier group by 1),
+    w as (select n.*, coalesce(n12, 0) as n12, coalesce(n13, 0) as n13, n3 > 0 as in3, n2 > 0 and (n3 = 0 or coalesce(n23, 0) >= 6) as in2, coalesce(n23, 0) as n23 from n left join o using (key)),
+    x as (select *, case when in2 then 2 when in3 then 3 else 0 end as base from w), y as (select *, n1 > 0 and (base = 0 or case base when 2 then n12 else n13 end >= 6) as in1 from x)"""
+
+
+@query(f"""with {ADMITTED} select key, concat_ws(',', case when in1 then '1' end, case when in2 then '2' end, case when in3 then '3' end) as admitted,
+    concat_ws('; ', case when n3 = 0 then 'tier 3 has nothing' end, case when n2 = 0 then 'tier 2 has nothing' when not in2 then 'tier 2 shares ' || n23 || ' months with tier 3' end,
+        case when n1 = 0 then 'tier 1 has nothing' when not in1 then 'tier 1 shares ' || case base when 2 then n12 else n13 end || ' months with tier ' || base end) as why from y""")
+def admitted_tiers(spark: S, d: str) -> DataFrame:
+    """Which tiers of an index hang together, and why others are skipped."""
+    return admitted(index_tiers(spark, d), 3).select("key", F.array_join("admitted", ",").alias("admitted"), F.array_join("why", "; ").alias("why"))
 
 
-@query(f"""with {TIERS}, o12 as (select a.key, count(*) as n12 from t a join t b on a.key = b.key and a.date = b.date and a.tier = 1 and b.tier = 2 group by 1), o23 as (select a.key, count(*) as n23 from t a join t b on a.key = b.key and a.date = b.date and a.tier = 2 and b.tier = 3 group by 1)
-    select k.key, coalesce(n12, 0) as overlap_2, coalesce(n23, 0) as overlap_3, coalesce(n12, 0) >= 6 as admits_2, coalesce(n12, 0) >= 6 and coalesce(n23, 0) >= 6 as admits_3,
-    case when coalesce(n12, 0) < 6 then 'tier 2 overlaps in too few months' when coalesce(n23, 0) < 6 then 'tier 3 overlaps in too few months' else 'all tiers' end as why from (select distinct key from t) k left join o12 using (key) left join o23 using (key)""")
-def admitted_tiers(spark: S, d: str) -> DataFrame:
-    """Which tiers of an index hang together: each needs six months in common with the one before, and a tier behind a broken one is lost with it."""
-    g = index_tiers(spark, d).groupBy("key", "date").agg(*(F.max(F.when(F.col("tier") == k, 1)).alias(f"t{k}") for k in (1, 2, 3)))
-    n = g.groupBy("key").agg(F.count(F.when(F.col("t1") + F.col("t2") == 2, 1)).alias("overlap_2"), F.count(F.when(F.col("t2") + F.col("t3") == 2, 1)).alias("overlap_3"))
-    two = F.col("overlap_2") >= 6
-    three = two & (F.col("overlap_3") >= 6)
-    why = F.when(~two, "tier 2 overlaps in too few months").when(~three, "tier 3 overlaps in too few months").otherwise("all tiers")
-    return n.select("key", "overlap_2", "overlap_3", two.alias("admits_2"), three.alias("admits_3"), why.alias("why"))
-
-
-@query(f"""with {TIERS}, w as (select key, date, max(v) filter (tier = 1) as a, max(v) filter (tier = 2) as b, max(v) filter (tier = 3) as c from t group by 1, 2), f1 as (select key, case when count(a * b) >= 6 then exp(avg(case when a is not null and b is not null then ln(a / cast(b as double)) end)) end as f, min(date) filter (a is not null) as s from w group by 1),
-    x as (select w.key, date, coalesce(cast(a as double), case when date < s then b * f end) as y, c, case when a is not null then 1 when date < s and b * f is not null then 2 end as src, f from w join f1 using (key)), f2 as (select key, case when count(y * c) >= 6 and max(f) is not null then exp(avg(case when y is not null and c is not null then ln(y / c) end)) end as g, min(date) filter (y is not null) as s from x group by 1)
-    select key, src as tier, min(date) as first, max(date) as last, count(*) as n, sum(value) as total from (select x.key, date, coalesce(y, case when date < s then c * g end) as value, coalesce(src, 3) as src from x join f2 using (key)) where value is not null group by 1, 2""", levels=("total",))
+@query(f"""with {ADMITTED}, g as (select t.key, t.date, max(v) filter (tier = 1 and in1) as a, max(v) filter (tier = 2 and in2) as b, max(v) filter (tier = 3 and in3) as c from t join y using (key) group by 1, 2),
+    f1 as (select key, exp(avg(case when a is not null and b is not null then ln(a / cast(b as double)) end)) as f, min(date) filter (a is not null) as s from g group by 1),
+    z as (select g.key, date, coalesce(cast(a as double), case when s is null then b when date < s then b * f end) as y, c, case when a is not null then 1 when b is not null and (s is null or date < s) then 2 end as src from g join f1 using (key)),
+    f2 as (select key, exp(avg(case when y is not null and c is not null then ln(y / c) end)) as f, min(date) filter (y is not null) as s from z group by 1)
+    select key, src as tier, min(date) as first, max(date) as last, count(*) as n, sum(value) as total from (
+        select z.key, date, coalesce(y, case when s is null then c when date < s then c * f end) as value, coalesce(src, 3) as src from z join f2 using (key)) where value is not null group by 1, 2""", levels=("total",))
 def tiered_index(spark: S, d: str) -> DataFrame:
-    """Tiers spliced oldest last, each rescaled by the geometric mean ratio of the overlap (six months or none); what each tier contributes."""
-    wide = index_tiers(spark, d).groupBy("key", "date").agg(*(F.max(F.when(F.col("tier") == k, F.col("v").cast("double"))).alias(f"v{k}") for k in (1, 2, 3)))
+    """Admitted tiers spliced, newest first, each older one rescaled by the geometric mean ratio to what stands where both have months; what each tier contributes."""
+    tiers = index_tiers(spark, d)
+    kept = tiers.join(admitted(tiers, 3).select("key", "admitted"), "key").where(F.array_contains("admitted", F.col("tier")))
+    wide = kept.groupBy("key", "date").agg(*(F.max(F.when(F.col("tier") == k, F.col("v").cast("double"))).alias(f"v{k}") for k in (1, 2, 3)))
     every = Window.partitionBy("key")
-
-    def extended(df: DataFrame, new: str, old: str, alive: Column) -> DataFrame:
-        both = F.col(new).isNotNull() & F.col(old).isNotNull()
-        ratio = F.when(both, F.log(F.col(new) / F.col(old)))
-        factor = F.when(alive & (F.count(ratio).over(every) >= 6), F.exp(F.avg(ratio).over(every)))
-        start = F.min(F.when(F.col(new).isNotNull(), F.col("date"))).over(every)
-        return df.withColumns({"factor": factor, "start": start}).withColumn("y", F.coalesce(new, F.when(F.col("date") < F.col("start"), F.col(old) * F.col("factor"))))
-
-    two = extended(wide, "v1", "v2", F.lit(True))
-    two = two.withColumns({"src": F.when(F.col("v1").isNotNull(), 1).when(F.col("y").isNotNull(), 2), "ok": F.max("factor").over(every).isNotNull()}).select("key", "date", F.col("y").alias("y2"), "v3", "src", "ok")
-    three = extended(two, "y2", "v3", F.col("ok")).where("y is not null").withColumn("tier", F.coalesce("src", F.lit(3)))
-    return three.groupBy("key", "tier").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"), F.sum("y").alias("total"))
+    y = wide.withColumns({"y": F.col("v1"), "tier": F.when(F.col("v1").isNotNull(), 1)})
+    for k in (2, 3):
+        old = F.col(f"v{k}")
+        y = y.withColumns({"factor": F.exp(F.avg(F.when(F.col("y").isNotNull() & old.isNotNull(), F.log(F.col("y") / old))).over(every)), "start": F.min(F.when(F.col("y").isNotNull(), F.col("date"))).over(every)})
+        new = F.when(F.col("start").isNull(), old).when(F.col("date") < F.col("start"), old * F.col("factor"))
+        y = y.select("key", "date", "v1", "v2", "v3", F.coalesce("y", new).alias("y"), F.coalesce("tier", F.when(new.isNotNull(), k)).alias("tier"))
+    return y.where("y is not null").groupBy("key", "tier").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"), F.sum("y").alias("total"))
 
 
 @query("""select key, date, block, cast(case when block = 'pandemic' and not (date between date '1996-03-01' and date '1997-12-01') then 0 else 1 end as double) as active, case when date between date '1996-03-01' and date '1997-12-01' then cast(year(date) * 4 + quarter(date) - 1 - (1996 * 4 + 0) as integer) end as dummy
@@ -187,14 +234,24 @@ def transform_modes(spark: S, d: str) -> DataFrame:
     return p.withColumns({"b": b, "m": m, "s": s}).select("key", "date", F.inline(forms))
 
 
-@query("""select key, date, value from (select key, date, value, row_number() over (partition by key, date order by value desc) as n from (select key, date, cast(round(value) as bigint) as value from monthly where month(date) <> 5 union all select key, date, cast(round(value) as bigint) - 1 from monthly where month(date) = 4)) where n = 1""")
+@query("""select key, date, value from (select key, date, value, row_number() over (partition by key, date order by place) as n from (
+    select key, date, cast(round(value) as double) as value, 1 as place from monthly where month(date) % 3 = 0 union all select key, date, cast(round(value) as double) + 0.5, 2 from monthly where month(date) <> 5
+    union all select key, date, cast(round(value) as double) + 7, 3 from monthly)) where n = 1""", levels=("value",))
 def cleaned_rows(spark: S, d: str) -> DataFrame:
-    """Raw rows cleaned: dates parsed, rows without a date or number dropped, one row a series and month (the largest value)."""
-    c = cells(spark, d)
-    raw = c.select("key", F.when(F.month("date") == 5, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("on"), F.col("v").cast("string").alias("value"))
-    twice = raw.unionByName(c.where("month(date) = 4").select("key", F.date_format("date", "yyyy-MM-dd").alias("on"), (F.col("v") - 1).cast("string").alias("value"))).unionByName(raw.select("key", "on", F.lit("-").alias("value")))
-    rows = twice.select("key", F.col("on").try_cast("date").alias("date"), F.col("value").try_cast("bigint").alias("value")).dropna()
-    return rows.groupBy("key", "date").agg(F.max("value").alias("value"))
+    """Raw rows cleaned: dates and numbers read from text, rows without either dropped, of several rows of a series and day the first as delivered."""
+    c = cells(spark, d).withColumn("on", F.date_format("date", "yyyy-MM-dd"))
+    text = lambda v: v.cast("string")
+    first = c.where("month(date) % 3 = 0").select("key", "on", text(F.col("v")).alias("value"), F.lit(1).alias("place"))
+    second = c.select("key", F.when(F.month("date") == 5, "n/a").otherwise(F.col("on")).alias("on"), F.concat(text(F.col("v")), F.lit(".5")).alias("value"), F.lit(2).alias("place"))
+    third = c.select("key", "on", text(F.col("v") + 7).alias("value"), F.lit(3).alias("place"))
+    void = c.select("key", "on", F.lit("-").alias("value"), F.lit(0).alias("place"))
+    return cleaned(first.unionByName(second).unionByName(third).unionByName(void))
+
+
+def cleaned(raw: DataFrame) -> DataFrame:
+    """key, date, value of raw rows (key, on, value as text; place: the order of delivery)."""
+    rows = raw.select("key", F.col("on").try_cast("date").alias("date"), F.col("value").try_cast("double").alias("value"), "place").dropna(subset=["date", "value"])
+    return rows.groupBy("key", "date").agg(F.min_by("value", "place").alias("value"))
 
 
 @query("""select page_id, cast(line as bigint) as line, count(*) as chars, string_agg(c, '' order by pos) as text from (select page_id, pos, substr(html, pos, 1) as c, round((pos * 7 % 41 + (pos % 3) * 0.4) / 3.2) as line from (select page_id, html, unnest(generate_series(1, 60)) as pos from pages where page_id < 100000)) group by 1, 2""")
@@ -240,17 +297,28 @@ def band_basis(spark: S, d: str) -> DataFrame:
     return rows.select("horizon", few.alias("basis"), "n").where("horizon = 'current' or n < 12")
 
 
-@query("""with f as (select key, date, v, row_number() over (partition by key order by date) as n from (select key, date, cast(round(value) as bigint) as v from monthly)), c as (select key, n, case when key = 'NATION_12' and n = 3 then v + 1 else v end as v from f where date < date '1997-01-01')
-    select c.key, count(*) as n, count(*) filter (c.v = f.v) as equal, count(*) = count(*) filter (c.v = f.v) as prefix, case when count(*) = count(*) filter (c.v = f.v) then 'the cut explains what is missing' else 'refused: the cut series is another' end as why from c join f on f.key = c.key and f.n = c.n group by 1""")
+@query("""with f as (select key, date, cast(round(value) as bigint) as v, cast(length(key) as integer) % 5 as k, row_number() over (partition by key order by date) as n, max(date) over () as m, count(*) over (partition by key) as total from monthly),
+    c as (select key, date, v + case when k = 0 and n = 3 then 1 else 0 end as v, n from f where k <> 2 and (k = 1 or n <= total - 12) union all
+        select key, cast(m + interval 1 month as date), 1, total + 1 from f where k = 1 and n = 1)
+    select key, count(c.n) as n, count(*) filter (c.v = f.v and c.date = f.date) as same, count(c.n) = count(*) filter (c.v = f.v and c.date = f.date) as prefix from (select distinct key from f) k left join c using (key) left join f using (key, n) group by key""")
 def prefix_check(spark: S, d: str) -> DataFrame:
-    """Whether a cut series is the head of the full one, place by place: only then does the cut explain what a tier lacks."""
+    """Whether a cut series is the head of the full one, place by place, dates and values: only then does the cut explain what a tier lacks. None is the head of all."""
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("date"))
+    k = F.length("key") % 5
+    full = cells(spark, d).withColumns({"n": nth, "total": F.count("*").over(Window.partitionBy("key"))})
+    end = full.agg(F.add_months(F.max("date"), 1).alias("end"))  # one row
+    cut = full.where((k != 2) & ((k == 1) | (F.col("n") <= F.col("total") - 12))).select("key", "date", (F.col("v") + F.when((k == 0) & (F.col("n") == 3), 1).otherwise(0)).alias("v"))
+    longer = full.where((k == 1) & (F.col("n") == 1)).join(F.broadcast(end)).select("key", F.col("end").alias("date"), F.lit(1).cast("bigint").alias("v"))
+    return prefixes(cut.unionByName(longer), full.select("key", "date", "v"))
+
+
+def prefixes(cut: DataFrame, full: DataFrame) -> DataFrame:
+    """key, n, same, prefix: rows of each key's cut and how many are those of the full series at the same place. Both: key, date, v."""
     nth = F.row_number().over(Window.partitionBy("key").orderBy("date"))
-    full = cells(spark, d).withColumn("n", nth)
-    wrong = (F.col("key") == "NATION_12") & (F.col("n") == 3)
-    cut = full.where("date < date'1997-01-01'").select("key", "n", F.when(wrong, F.col("v") + 1).otherwise(F.col("v")).alias("w"))
-    both = cut.join(full.select("key", "n", "v"), ["key", "n"]).groupBy("key").agg(F.count("*").alias("rows"), F.count(F.when(F.col("v") == F.col("w"), 1)).alias("equal"))
-    prefix = F.col("rows") == F.col("equal")
-    return both.select("key", F.col("rows").alias("n"), "equal", prefix.alias("prefix"), F.when(prefix, "the cut explains what is missing").otherwise("refused: the cut series is another").alias("why"))
+    head = full.withColumn("n", nth).withColumnsRenamed({"date": "f_date", "v": "f_v"})
+    both = full.select("key").distinct().join(cut.withColumn("n", nth), "key", "left").join(head, ["key", "n"], "left")
+    same = (F.col("date") == F.col("f_date")) & F.col("v").eqNullSafe(F.col("f_v"))
+    return both.groupBy("key").agg(F.count("n").alias("n"), F.count(F.when(same, 1)).alias("same")).withColumn("prefix", F.col("n") == F.col("same"))
 
 
 @query("""with s as (select q_index, unnest([1, 2, 3]) as seed, model, actual from misses), m as (select q_index, avg(model + (seed - 2) * 0.1) as model, count(*) as seeds, any_value(actual) as actual from s where not (q_index % 5 = 0 and seed = 3) group by 1)

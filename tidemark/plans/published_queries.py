@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import bands, calendar
+from tidemark.functions import bands, calendar, display
 from tidemark.operators import joins
 from tidemark.plans.registry import query
 from tidemark.plans.source_queries import cells
@@ -84,109 +84,102 @@ def manifest_check(spark: S, d: str) -> DataFrame:
 
 
 def growth_words(x: Column) -> Column:
-    """The word for a quarter's growth."""
-    return F.when(x < 0, "contraction").when(x < 0.3, "weak growth").when(x < 0.6, "moderate growth").when(x < 1.0, "solid growth").otherwise("strong growth")
+    """What a quarter's growth is called."""
+    return F.when(x > 1.5, "Strong growth expected").when(x > 0.5, "Moderate growth expected").when(x > 0, "Modest growth expected").otherwise("Contraction expected")
 
 
-@query("""select q_index, '- ' || cast(q_index // 4 as varchar) || 'Q' || cast(q_index % 4 + 1 as varchar) || ': ' || case when growth < 0 then 'contraction' when growth < 0.3 then 'weak growth' when growth < 0.6 then 'moderate growth' when growth < 1 then 'solid growth' else 'strong growth' end
-    || ' (' || case when round(growth, 1) > 0 then '+' else '' end || printf('%.1f', round(growth, 1)) || '%), ' || case when abs(miss) <= 0.5 then 'near the estimate' when miss > 0 then 'below the estimate' else 'above the estimate' end as line from growth join misses using (q_index)""")
-def summary_lines(spark: S, d: str) -> DataFrame:
-    """Report lines: growth in words and where it stood against the estimate."""
-    both = t.growth(spark, d).join(t.misses(spark, d).select("q_index", "miss"), "q_index")
-    x = F.round("growth", 1)
-    against = F.when(F.abs("miss") <= 0.5, "near the estimate").when(F.col("miss") > 0, "below the estimate").otherwise("above the estimate")
-    return both.select("q_index", F.concat(F.lit("- "), calendar.quarter_label(F.col("q_index")), F.lit(": "), growth_words(F.col("growth")), F.lit(" ("), F.when(x > 0, "+").otherwise(""), F.format_string("%.1f", x), F.lit("%), "), against).alias("line"))
-
-
-# What a page shows. Units whose changes aren't shown in percent, and the names that mean one unit.
-RATES = ("%", "pts", "net balance")
-ALIASES = {"percent": "%", "per cent": "%", "points": "pts", "net": "net balance", "$m": "$m", "'000": "'000", "index": "index"}
-
-
-def canonical_unit(unit: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
-    return F.coalesce(F.element_at(names, F.lower(F.trim(unit))), F.trim(unit))
-
+def year_words(x: Column) -> Column:
+    """What a year's growth says of the economy."""
+    return F.when(x > 2.5, "strong").when(x > 1.5, "healthy").otherwise("modest")
 
-def shown_level(x: Column, unit: Column) -> Column:
-    """A level as text by its unit."""
-    whole = F.format_number(x, 0)
-    return F.when(unit == "%", F.format_string("%.1f%%", x)).when(unit == "$m", F.concat(F.lit("$"), whole, F.lit("m"))).when(unit == "'000", F.concat(whole, F.lit("k"))).when(unit == "index", F.format_string("%.1f", x)).otherwise(F.format_string("%+.0f", x))
 
-
-def shown_change(x: Column, unit: Column) -> Column:
-    """A change as text by its unit, with its sign."""
-    sign = F.when(x > 0, "+").when(x < 0, "-").otherwise("")
-    size = F.abs(x)
-    return F.when(x.isNull(), None).when(unit == "%", F.concat(F.format_string("%+.2f", x), F.lit(" pp"))).when(unit == "$m", F.concat(sign, F.lit("$"), F.format_number(size, 0), F.lit("m"))).when(unit == "'000", F.concat(sign, F.format_number(size, 0), F.lit("k"))).otherwise(F.format_string("%+.1f", x))
+@query("""select q_index, '- ' || case when growth > 1.5 then 'Strong growth expected' when growth > 0.5 then 'Moderate growth expected' when growth > 0 then 'Modest growth expected' else 'Contraction expected' end
+    || ': ' || cast(q_index // 4 as varchar) || 'Q' || cast(q_index % 4 + 1 as varchar) || case when yoy is null then '' else '; year-on-year growth of ' || printf('%.2f', floor(yoy * 100 + 0.5) / 100) || '% indicates '
+    || case when yoy > 2.5 then 'strong' when yoy > 1.5 then 'healthy' else 'modest' end || ' annual performance' end as line from (select q_index, growth, 100 * (value / lag(value, 4) over (order by q_index) - 1) as yoy from growth) where growth is not null""")
+def summary_lines(spark: S, d: str) -> DataFrame:
+    """Report lines: what a quarter's growth is called, and the year's."""
+    yoy = 100 * (F.col("value") / F.lag("value", 4).over(Window.orderBy("q_index")) - 1)  # one row a quarter
+    g = t.growth(spark, d).withColumn("yoy", yoy).where("growth is not null")
+    year = F.concat(F.lit("; year-on-year growth of "), display.fixed(F.col("yoy"), 2), F.lit("% indicates "), year_words(F.col("yoy")), F.lit(" annual performance"))
+    return g.select("q_index", F.concat(F.lit("- "), growth_words(F.col("growth")), F.lit(": "), calendar.quarter_label(F.col("q_index")), F.coalesce(year, F.lit(""))).alias("line"))
 
 
-def has_percent(unit: Column) -> Column:
-    return ~unit.isin(*RATES)
+# What a page shows: units and ids as providers write them, dealt over the series here.
+WRITTEN = ("Percent", "Millions of Dollars", "Thousands", "index", "net balance", "hours (thousands)", "Number ", "$bn", "ratio")
+IDS = ("cpi", "employment", "nab_cu", "gdp", "hours", "aig_pmi", "credit")
 
 
 def named_units(spark: S, d: str) -> DataFrame:
-    """key, date, v, unit as it was written."""
-    c = cells(spark, d).join(t.table(spark, d, "nation").select(F.col("n_name").alias("key"), "n_nationkey"), "key")
-    raw = F.element_at(F.array(*map(F.lit, ("Percent ", "$m", "'000", "index", "net"))), F.col("n_nationkey") % 5 + 1)
-    return c.select("key", "date", (F.col("v") % 100_000).alias("v"), raw.alias("unit"))
+    """key, date, id, unit as shown, v, c (the change)."""
+    c = cells(spark, d).join(t.table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("k")), "key")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), F.col("k") % len(names) + 1)
+    n = c.select("key", "date", pick(IDS).alias("id"), pick(WRITTEN).alias("unit"), (F.col("v") % 100_000 * F.when(F.col("k") % 9 == 5, 37).otherwise(1)).cast("double").alias("v"))
+    n = n.withColumn("unit", display.canonical_unit(display.display_unit(F.col("id"), F.col("unit"))))
+    return n.withColumn("c", F.col("v") - F.lag("v").over(Window.partitionBy("key").orderBy("date")))
 
 
-UNITS = "(select m.key, m.date, cast(round(value) as bigint) % 100000 as v, case n_nationkey % 5 when 0 then '%' when 1 then '$m' when 2 then '''000' when 3 then 'index' else 'net balance' end as unit from monthly m join nation n on n.n_name = m.key)"
+UNITS = """(select m.key, m.date, ['cpi', 'employment', 'nab_cu', 'gdp', 'hours', 'aig_pmi', 'credit'][n_nationkey % 7 + 1] as id, case when n_nationkey % 7 = 2 then 'percent'
+    else ['Percent', '$ millions', '000s persons', 'index', 'net balance', 'hours (thousands)', 'count', '$bn', 'ratio'][n_nationkey % 9 + 1] end as unit,
+    cast(round(value) as bigint) % 100000 * case when n_nationkey % 9 = 5 then 37 else 1 end as v from monthly m join nation n on n.n_name = m.key)"""
 CHANGED = f"(select *, v - lag(v) over (partition by key order by date) as c from {UNITS})"
-
-
-@query(f"""select key, date, unit, case unit when '%' then printf('%.1f', cast(v as double)) || '%' when '$m' then '$' || format('{{:,}}', v) || 'm' when '''000' then format('{{:,}}', v) || 'k' when 'index' then printf('%.1f', cast(v as double)) else '+' || cast(v as varchar) end as level,
-    case when c is null then null when unit = '%' then printf('%+.2f', cast(c as double)) || ' pp' when unit = '$m' then case when c > 0 then '+' when c < 0 then '-' else '' end || '$' || format('{{:,}}', abs(c)) || 'm'
-    when unit = '''000' then case when c > 0 then '+' when c < 0 then '-' else '' end || format('{{:,}}', abs(c)) || 'k' else printf('%+.1f', cast(c as double)) end as change, unit not in ('%', 'net balance') as percent from {CHANGED}""")
+UP = "floor({0} + 0.5)"  # halves go up
+TENTH, HUNDREDTH = "printf('%.1f', floor(({0}) * 10 + 0.5) / 10)", "printf('%.2f', floor(({0}) * 100 + 0.5) / 100)"
+SIGN = "case when c > 0 then '+' when c < 0 then '\u2212' else '' end"
+
+
+@query(f"""select key, date, unit,
+    case lower(unit) when 'percent' then {TENTH.format('v')} || '%' when '$ millions' then '$' || format('{{:,}}', v) || 'M' when '$bn' then '$' || format('{{:,}}', v) || 'bn' when '000s persons' then format('{{:,}}', v) || 'k'
+        when 'hours (thousands)' then case when v >= 1000000 then {HUNDREDTH.format('v / 1e6')} || 'bn hrs' when v >= 1000 then {TENTH.format('v / 1e3')} || 'm hrs' else format('{{:,}}', v) || 'k hrs' end
+        when 'count' then format('{{:,}}', v) when 'net balance' then cast(v as varchar) when 'index' then {TENTH.format('v')} else format('{{:,}}', v) end as level,
+    case when c is null then null else {SIGN} || case lower(unit) when 'percent' then {TENTH.format('abs(c)')} || 'pp'
+        when '$ millions' then '$' || case when abs(c) >= 1000 then {TENTH.format('abs(c) / 1e3')} || 'bn' when abs(c) >= 100 then cast(abs(c) as varchar) || 'M' else {TENTH.format('abs(c)')} || 'M' end
+        when '$bn' then '$' || {TENTH.format('abs(c)')} || 'bn' when '000s persons' then case when abs(c) >= 1000 then {TENTH.format('abs(c) / 1e3')} || 'm' else {TENTH.format('abs(c)')} || 'k' end
+        when 'hours (thousands)' then case when abs(c) >= 1000000 then {HUNDREDTH.format('abs(c) / 1e6')} || 'bn hrs' when abs(c) >= 1000 then {TENTH.format('abs(c) / 1e3')} || 'm hrs' else cast(abs(c) as varchar) || 'k hrs' end
+        when 'count' then format('{{:,}}', abs(c)) when 'net balance' then cast(abs(c) as varchar) || ' pts' when 'index' then {TENTH.format('abs(c)')} || ' pts' else {TENTH.format('abs(c)')} end end as change,
+    case when lower(unit) in ('percent', 'net balance') then null when unit = 'index' and id <> 'cpi' then null when v - c = 0 then null when c is null then null when c = 0 then '0.00%'
+        else {SIGN} || {HUNDREDTH.format('abs(c / cast(v - c as double) * 100)')} || '%' end as relative from {CHANGED}""")
 def display_values(spark: S, d: str) -> DataFrame:
-    """Levels and changes as a page shows them, by unit; whether a percent change makes sense."""
-    n = named_units(spark, d).withColumn("unit", canonical_unit(F.col("unit")))
-    c = (F.col("v") - F.lag("v").over(Window.partitionBy("key").orderBy("date"))).cast("double")
-    n = n.withColumn("c", c).withColumn("x", F.col("v").cast("double"))
-    return n.select("key", "date", "unit", shown_level(F.col("x"), F.col("unit")).alias("level"), shown_change(F.col("c"), F.col("unit")).alias("change"), has_percent(F.col("unit")).alias("percent"))
+    """Levels, changes and percent changes as a page shows them, by unit and series."""
+    n, unit, c = named_units(spark, d), F.col("unit"), F.col("c")
+    before = F.col("v") - c
+    relative = F.when(display.has_percent(F.col("id"), unit) & (before != 0), display.shown_percent(c / before * 100))
+    return n.select("key", "date", "unit", display.shown_level(F.col("v"), unit).alias("level"), display.shown_change(c, unit).alias("change"), relative.alias("relative"))
 
 
-@query(f"""select key, unit, last, case when unit in ('%', 'net balance') then 'level' when nonpositive > 0 then 'bars' else 'growth' end as chart, case when unit in ('%', 'net balance') then null when n % 2 = 0 then 'monthly' else 'quarterly' end as frequency from (
-    select key, any_value(unit) as unit, max(date) as last, count(*) filter (c is not null and c <= -90000) as nonpositive, count(*) as n from {CHANGED} group by key)""")
+@query(f"""select key, any_value(id) as id, any_value(unit) as unit, any_value(case when lower(unit) in ('percent', 'net balance') then 'level' when id = 'employment' then 'bars' when id in ('cpi', 'gdp', 'hours', 'credit') then 'growth' else 'level' end) as chart,
+    any_value(case when lower(unit) in ('percent', 'net balance') then null when id = 'gdp' then 'q' when id in ('cpi', 'employment', 'hours', 'credit') then 'm' end) as frequency from {CHANGED} group by key""")
 def chart_choice(spark: S, d: str) -> DataFrame:
-    """Which chart an indicator gets: levels of rates, bars where growth would break, growth else; rates have no change chart."""
-    n = named_units(spark, d).withColumn("unit", canonical_unit(F.col("unit")))
-    n = n.withColumn("c", F.col("v") - F.lag("v").over(Window.partitionBy("key").orderBy("date")))
-    g = n.groupBy("key").agg(F.first("unit").alias("unit"), F.max("date").alias("last"), F.count(F.when(F.col("c") <= -90_000, 1)).alias("broken"), F.count("*").alias("n"))
-    kind = F.when(~has_percent(F.col("unit")), "level").when(F.col("broken") > 0, "bars").otherwise("growth")
-    every = F.when(has_percent(F.col("unit")), F.when(F.col("n") % 2 == 0, "monthly").otherwise("quarterly"))
-    return g.select("key", "unit", "last", kind.alias("chart"), every.alias("frequency"))
+    """Which chart a series gets: bars of changes for employment, growth for listed series unless they are rates, levels else; and the frequency of changes."""
+    n = named_units(spark, d).groupBy("key").agg(F.first("id").alias("id"), F.first("unit").alias("unit"))
+    return n.select("key", "id", "unit", display.chart_kind(F.col("id"), F.col("unit")).alias("chart"), display.chart_frequency(F.col("id"), F.col("unit")).alias("frequency"))
 
 
-def nice_bound(x: Column) -> Column:
-    """The least of 1, 2, 2.5, 5, 10 times a power of ten that is at least x."""
-    base = F.pow(F.lit(10.0), F.floor(F.log10(x)))
-    return F.element_at(F.filter(F.transform(F.array(*map(F.lit, (1.0, 2.0, 2.5, 5.0, 10.0))), lambda m: m * base), lambda b: b >= x * (1 - 1e-12)), 1)
+NICE = f"[{', '.join(repr(m * 10.0**k) for k in range(9) for m in display.RANGE_STEPS[:-1])}]"
+STEPS = f"[{', '.join(f'{m * 10.0**k:.12f}' for k in range(-6, 9) for m in display.AXIS_STEPS)}]"
 
 
-@query("""select q_index, bound, list_transform(generate_series(0, 4), lambda k: round(-bound + k * bound / 2, 6)) as ticks, round(t * t * (3 - 2 * t), 6) as eased from (select q_index, (q_index % 11) / 10.0 as t, list_filter(list_transform([1.0, 2.0, 2.5, 5.0, 10.0], lambda m: m * base), lambda b: b >= x * (1 - 1e-12))[1] as bound
-    from (select *, power(10.0, floor(log10(x))) as base from (select q_index, greatest(abs(model), abs(actual), 0.1) as x from misses)))""", ratios=("bound",))
+@query(f"""with p as (select q_index // 4 as year, greatest(1, max(abs(model)), max(abs(actual)), max(abs(model - 1)), max(abs(model + 1))) as largest, least(0, min(actual), min(model)) as low, greatest(0, max(actual), max(model)) as high, 60 + 40 * (q_index // 4 % 4) as height from misses group by 1, 5),
+    s as (select *, greatest(3, least(6, cast(floor(height / 26) as integer) + 1)) as most from p),
+    b as (select *, list_filter(cast({NICE} as double[]), lambda b: b >= largest)[1] as bound, list_filter(cast({STEPS} as double[]), lambda s: s >= (high - low) / (most - 1) and ceil(high / s) - floor(low / s) + 1 <= most)[1] as step from s)
+    select year, bound, floor(low / step) * step as low, ceil(high / step) * step as high, step from b""", ratios=("bound", "low", "high", "step"))
 def axis_bounds(spark: S, d: str) -> DataFrame:
-    """One bound for points and bands on both sides of zero, five ticks, and the easing of an entrance."""
-    m = t.misses(spark, d).select("q_index", nice_bound(F.greatest(F.abs("model"), F.abs("actual"), F.lit(0.1))).alias("bound"), (F.col("q_index") % 11 / 10.0).alias("t"))
-    ticks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.round(-F.col("bound") + k * F.col("bound") / 2, 6))
-    return m.select("q_index", "bound", ticks.alias("ticks"), F.round(F.col("t") * F.col("t") * (3 - 2 * F.col("t")), 6).alias("eased"))
-
-
-def stored_day(text: Column) -> Column:
-    """A strict ISO day, or null: 2024-02-30 and 2024-2-3 are none."""
-    day = text.try_cast("date")
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.date_format(day, "yyyy-MM-dd") == text), day)
+    """Of each year's page: one bound for all quarters and bands on both sides of zero, and an axis over zero and all points with as many ticks as its height allows."""
+    edges = F.array("model", "actual", F.col("model") - 1, F.col("model") + 1)
+    m = t.misses(spark, d).select(F.floor(F.col("q_index") / 4).cast("int").alias("year"), F.array_max(F.transform(edges, F.abs)).alias("edge"), "model", "actual")
+    g = m.groupBy("year").agg(F.max("edge").alias("largest"), F.collect_list("model").alias("models"), F.collect_list("actual").alias("actuals"))  # four quarters a year
+    axis = display.evolution_axis(F.concat("models", "actuals"), (60 + 40 * (F.col("year") % 4)).cast("double"))
+    return g.select("year", display.range_bound(F.col("largest")).alias("bound"), axis.alias("axis")).select("year", "bound", F.col("axis.min").alias("low"), F.col("axis.max").alias("high"), F.col("axis.step").alias("step"))
 
 
-@query("""select user_id, shown, cast(row_number() over (order by shown desc nulls last, lower(name), user_id) as integer) as place from (select user_id, 'User ' || cast(user_id % 7 as varchar) as name, case when user_id % 5 <> 0 then cast(max(ts) as date) when user_id % 3 = 0 then date '2024-01-01' end as shown from events group by user_id)""")
+@query("""select user_id, shown, cast(row_number() over (order by shown desc nulls last, lower(name), user_id) as integer) as place from (
+    select user_id, 'User ' || cast(user_id % 7 as varchar) as name, case when user_id % 5 in (1, 3, 4) then cast(max(ts) as date) when user_id % 3 = 0 then date '2024-01-01' end as shown from events group by user_id)""")
 def update_order(spark: S, d: str) -> DataFrame:
-    """Indicators by the day their page was checked, else its release: newest first, none last, then name and id; malformed days are none."""
+    """Indicators by the day their page was checked, else its release: newest first, none last, then name and id; days and times in ISO form count, others are none."""
     e = t.table(spark, d, "events").groupBy("user_id").agg(F.max("ts").cast("date").alias("last"))
-    checked = F.when(F.col("user_id") % 5 != 0, F.date_format("last", "yyyy-MM-dd")).otherwise(F.lit("2024-02-30"))
+    day, k = F.date_format("last", "yyyy-MM-dd"), F.col("user_id") % 5
+    checked = F.when(k == 0, "2024-02-30").when(k == 1, F.concat(day, F.lit("T08:30:00Z"))).when(k == 2, F.concat(day, F.lit("T99:00"))).otherwise(day)
     release = F.when(F.col("user_id") % 3 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-1-1"))
-    shown = F.coalesce(stored_day(checked), stored_day(release))
+    shown = F.coalesce(display.stored_day(checked), display.stored_day(release))
     named = e.select("user_id", F.concat(F.lit("User "), (F.col("user_id") % 7).cast("string")).alias("name"), shown.alias("shown"))
     return named.select("user_id", "shown", F.row_number().over(Window.orderBy(F.col("shown").desc_nulls_last(), F.lower("name"), "user_id")).alias("place"))  # one row an indicator
 

@@ -238,14 +238,37 @@ def model_spec(spark: S, d: str) -> DataFrame:
     return kept.select(F.col("seriesid").alias("key"), F.element_at(labels, F.col("frequency")).alias("frequency"), block.alias("block"), trend.alias("trend"), "place")
 
 
-@query("""select key, cast(count(*) as integer) as rows, count(*) filter (where month(date) % 4 = 0) as changed, count(*) >= 12 and count(*) = count(distinct date) as ok from monthly group by key""")
+@query("""with n as (select m.key as nation, cast(m.date - to_months(cast(100 * (n_nationkey // 5) as integer)) as date) as date, cast(n_nationkey % 5 as integer) as series, cast(cast(round(value) as bigint) % (case when n_nationkey % 5 = 0 then 300 else 161 end) - 80 as double) as value from monthly m join nation on n_name = m.key),
+    v as (select series, case when series = 1 and month(date) = 7 then date + 3 else date end as date, value from n where not (series = 2 and year(date) > 1980)),
+    o as (select series, date, value + case when month(date) % 4 = 0 then 0.5 else 0 end as value from n where month(date) <> 2)
+    select series, rows, off_first, outside, rows >= 300 and repeated = 0 and off_first = 0 and outside = 0 as ok, changed, gained, dropped from (
+        select series, count(v.value) as rows, count(v.value) - count(distinct case when v.value is not null then date end) as repeated, count(*) filter (v.value is not null and day(date) <> 1) as off_first, count(*) filter (v.value < -80 or v.value > 80) as outside,
+            count(*) filter (o.value <> v.value) as changed, count(*) filter (o.value is null) as gained, count(*) filter (v.value is null) as dropped
+        from (select series, date, value from v) v full join o using (series, date) group by series)""")
 def synced_series(spark: S, d: str) -> DataFrame:
-    """A stored series replaced by a newer one: enough unique first-of-month rows in range, and what it changes."""
-    c = cells(spark, d).select("key", "date", (F.col("v") % 161 - 80).cast("double").alias("value"))
-    stored = c.withColumn("value", F.when(F.month("date") % 4 == 0, F.col("value") + 0.5).otherwise(F.col("value")))
-    diff = joins.changes(stored, c, ["key", "date"]).groupBy("key").agg(F.count("*").alias("changed"))
-    sound = (F.count("*") >= 12) & (F.count("*") == F.count_distinct("date")) & (F.max(F.abs("value")) <= 80) & F.every(F.dayofmonth("date") == 1)
-    return c.groupBy("key").agg(F.count("*").cast("int").alias("rows"), sound.alias("ok")).join(diff, "key", "left").select("key", "rows", F.coalesce("changed", F.lit(0)).alias("changed"), "ok")
+    """Stored series replaced by newer ones, each only if it has 300 rows, no day twice, firsts of months alone and values from -80 to 80; what the newer changes, adds and drops.
+
+    A series is the nations of a residue one after another, 100 months apart.
+    """
+    k = F.col("n_nationkey")
+    n = t.monthly(spark, d).join(t.table(spark, d, "nation").select(F.col("n_name").alias("key"), k), "key")
+    n = n.select((k % 5).alias("series"), F.expr("add_months(date, -100 * cast(floor(n_nationkey / 5) as int))").alias("date"), (F.round("value").cast("bigint") % F.when(k % 5 == 0, 300).otherwise(161) - 80).cast("double").alias("value"))
+    newer = n.where("not (series = 2 and year(date) > 1980)").withColumn("date", F.when((F.col("series") == 1) & (F.month("date") == 7), F.date_add("date", 3)).otherwise(F.col("date")))
+    older = n.where("month(date) <> 2").withColumn("value", F.col("value") + F.when(F.month("date") % 4 == 0, 0.5).otherwise(0.0))
+    return synced(newer, older)
+
+
+def synced(newer: DataFrame, older: DataFrame, least: int = 300, low: float = -80, high: float = 80) -> DataFrame:
+    """Whether each newer series may replace the older one, and what it changes. Both: series, date, value."""
+    both = newer.join(older.withColumnRenamed("value", "old"), ["series", "date"], "full")
+    there, v = F.col("value").isNotNull(), F.col("value")
+    count = lambda c: F.count(F.when(c, 1))
+    g = both.groupBy("series").agg(
+        count(there).alias("rows"), F.count_distinct(F.when(there, F.col("date"))).alias("days"), count(there & (F.dayofmonth("date") != 1)).alias("off_first"), count((v < low) | (v > high)).alias("outside"),
+        count(v != F.col("old")).alias("changed"), count(F.col("old").isNull()).alias("gained"), count(~there).alias("dropped"),
+    )
+    ok = (F.col("rows") >= least) & (F.col("rows") == F.col("days")) & (F.col("off_first") == 0) & (F.col("outside") == 0)
+    return g.select("series", "rows", "off_first", "outside", ok.alias("ok"), "changed", "gained", "dropped")
 
 
 @query("""with o as (select as_of, cast(date_trunc('month', as_of) as date) as m, cast(cast(date_trunc('month', as_of) as date) + cast((9 - dayofweek(cast(date_trunc('month', as_of) as date))) % 7 as integer) + 7 as date) as second from (select distinct cast(date_trunc('week', o_orderdate) as date) as as_of from orders))
