@@ -17,9 +17,11 @@ from tidemark.sources import tables as t
 
 S = SparkSession
 MONTH_LAG, PRINT_LAG, LEAST = 45, 60, 6
+#: Months of the panel before the first as-of date: with fewer nothing can be learnt.
+HISTORY = 24
 
 GRID = f"""mm as (select date, avg(x) as m from (select key, date, 100 * ln(value / lag(value) over (partition by key order by date)) as x from dense) where x is not null group by 1),
-    asofs as (select cast(last_day(date) as date) as as_of from months where date >= date '1994-01-01'),
+    asofs as (select cast(last_day(date) as date) as as_of from months where date >= (select min(date) + interval {HISTORY} month from months)),
     known as (select as_of, cast(year(date) * 4 + quarter(date) - 1 as integer) as q, count(*) as stage, avg(m) as qa, arg_max(m, date) as last from mm, asofs where date + {MONTH_LAG} <= as_of group by 1, 2),
     long as (select as_of, q, stage, unnest(['qa', 'last']) as variant, unnest([qa, last]) as x from known),
     y as (select q_index as q, date, growth from growth where growth is not null),
@@ -38,9 +40,9 @@ def mean_growth(spark: S, d: str) -> DataFrame:
 def backtest_runs(spark: S, d: str) -> DataFrame:
     """as_of, variant, target, stage (months known of the target), forecast, n (quarters it is learnt from)."""
     mm = mean_growth(spark, d)
-    until = mm.agg(F.max("date").alias("until"))
-    months = mm.join(F.broadcast(until))  # one row
-    first = F.greatest(F.trunc(F.date_add("date", MONTH_LAG), "MM"), F.lit("1994-01-01").cast("date"))
+    span = t.monthly(spark, d).agg(F.max("date").alias("until"), F.add_months(F.min("date"), HISTORY).alias("since"))
+    months = mm.join(F.broadcast(span))  # one row
+    first = F.greatest(F.trunc(F.date_add("date", MONTH_LAG), "MM"), F.col("since"))
     asofs = F.filter(F.transform(F.sequence(first, F.greatest("until", first), F.expr("interval 1 month")), lambda x: F.last_day(x)), lambda x: (F.date_add("date", MONTH_LAG) <= x) & (x <= F.last_day("until")))
     q = calendar.q_index(F.col("date")).cast("int")
     known = months.select("date", "m", q.alias("q"), F.explode(asofs).alias("as_of")).groupBy("as_of", "q").agg(F.count("*").alias("stage"), F.avg("m").alias("qa"), F.max_by("m", "date").alias("last"))
@@ -68,7 +70,7 @@ def backtest_scores(spark: S, d: str) -> DataFrame:
     return s.groupBy("variant", "stage").agg(*bands.scores(F.col("e")), F.avg(F.when(F.signum("forecast") == F.signum("growth"), 1.0).otherwise(0.0)).alias("direction"))
 
 
-COMBINED = f"""{GRID}, v2 as (select * from runs where variant = 'qa' and month(as_of) % 4 <> 0), v3 as (select * from runs where variant = 'last' and month(as_of) % 5 <> 0),
+COMBINED = f"""{GRID}, v2 as (select * from runs where variant = 'qa'), v3 as (select * from runs where variant = 'last'),
     paired as (select v2.as_of, v2.target, v2.stage, v2.forecast as v2, arg_max(v3.forecast, v3.as_of) as v3_raw, max(v3.as_of) as v3_date from v2 left join v3 on v3.as_of <= v2.as_of and v2.as_of - v3.as_of <= 31 group by 1, 2, 3, 4),
     finals as (select target, arg_max(forecast, as_of) as final from v3 group by 1), miss as (select y.q, y.date + {PRINT_LAG} as printed, final - growth as miss from finals join y on y.q = finals.target),
     fixed as (select p.*, (select case when count(*) >= 4 then avg(miss) end from (select miss from miss where miss.printed <= p.as_of order by printed desc limit 8)) as correction from paired p),
@@ -76,13 +78,20 @@ COMBINED = f"""{GRID}, v2 as (select * from runs where variant = 'qa' and month(
 
 
 def combined(spark: S, d: str) -> DataFrame:
-    """as_of, target, stage, v2, v3_raw, v3_date, correction, v3, combo: the second arm no more than 31 days old, less the mean of its last 8 misses that had been printed (4 at least)."""
-    runs = backtest_runs(spark, d).withColumn("all", F.lit(1))
-    v2 = runs.where("variant = 'qa' and month(as_of) % 4 <> 0")
-    v3 = runs.where("variant = 'last' and month(as_of) % 5 <> 0")
+    """The two arms of the backtest, combined."""
+    runs = backtest_runs(spark, d)
+    prints = t.growth(spark, d).where("growth is not null").select(F.col("q_index").alias("target"), F.date_add("date", PRINT_LAG).alias("printed"), "growth")
+    return combine(runs.where("variant = 'qa'"), runs.where("variant = 'last'"), prints)
+
+
+def combine(v2: DataFrame, v3: DataFrame, y: DataFrame) -> DataFrame:
+    """as_of, target, stage, v2, v3_raw, v3_date, correction, v3, combo: the second arm no more than 31 days old, less the mean of its last 8 misses that had been printed (4 at least).
+
+    v2, v3: as_of, target, stage, forecast, n. y: target, printed, growth.
+    """
+    v2, v3 = v2.withColumn("all", F.lit(1)), v3.withColumn("all", F.lit(1))
     paired = joins.as_of(v2.select("all", "as_of", "target", "stage", F.col("forecast").alias("v2")), v3.select("all", F.col("as_of").alias("as_of"), F.col("forecast").alias("raw"), F.col("as_of").alias("date"), "n"), ["all"], "as_of", ["raw", "date"], "n", 31)  # one row an as-of date
     finals = v3.groupBy("target").agg(F.max_by("forecast", "as_of").alias("final"))
-    y = t.growth(spark, d).where("growth is not null").select(F.col("q_index").alias("target"), F.date_add("date", PRINT_LAG).alias("printed"), "growth")
     misses = finals.join(y, "target").select("printed", (F.col("final") - F.col("growth")).alias("miss"))
     ledger = misses.agg(F.array_sort(F.collect_list(F.struct("printed", "miss"))).alias("ledger"))  # one row a quarter
     seen = F.filter("ledger", lambda x: x["printed"] <= F.col("as_of"))

@@ -46,14 +46,14 @@ def easter(spark: S, d: str) -> DataFrame:
 
 
 @query("""select q.q_index, m.monday, cast(greatest(0, least(3, date_diff('month', q.first, m.monday))) as integer) as months_known, cast(q.release - m.monday as integer) as days_to_release from (
-    select q_index, cast(date - interval 2 month as date) as first, cast(date + interval 100 day as date) as release from target_q) q join (select cast(unnest(generate_series(date '1995-01-02', date '2001-12-31', interval 7 day)) as date) as monday) m
+    select q_index, cast(date - interval 2 month as date) as first, cast(date + interval 100 day as date) as release from target_q) q join (select cast(unnest(generate_series((select date_trunc('week', min(date) - interval 3 month) from target_q), (select max(date) + interval 110 day from target_q), interval 7 day)) as date) as monday) m
     on m.monday >= q.first and m.monday < q.release""")
 def mondays(spark: S, d: str) -> DataFrame:
     """Weekly as-of Mondays of each quarter until its release, months of data known, days left: a sequence, not a join."""
     q = t.target_q(spark, d).select("q_index", F.add_months("date", -2).alias("first"), F.date_add("date", 100).alias("release"))
     q = q.withColumn("monday", F.explode(F.sequence(F.next_day(F.date_sub("first", 1), "Mon"), F.date_sub("release", 1), F.expr("interval 7 day"))))
     known = F.greatest(F.lit(0), F.least(F.lit(3), F.months_between(F.trunc("monday", "MM"), "first").cast("int")))
-    return q.where("monday between date'1995-01-02' and date'2001-12-31'").select("q_index", "monday", known.alias("months_known"), F.datediff("release", "monday").alias("days_to_release"))
+    return q.select("q_index", "monday", known.alias("months_known"), F.datediff("release", "monday").alias("days_to_release"))
 
 
 @query("""select g.q_index, growth, 100 * (power(1 + growth / 100, 4) - 1) as annualised, case when growth > -100 then 100 * (power(1 + growth / 100, 0.25) - 1) end as qoq, value / (1 + growth / 100) as previous,

@@ -215,10 +215,10 @@ def tiered_index(spark: S, d: str) -> DataFrame:
 
 
 @query("""select key, date, block, cast(case when block = 'pandemic' and not (date between date '1996-03-01' and date '1997-12-01') then 0 else 1 end as double) as active, case when date between date '1996-03-01' and date '1997-12-01' then cast(year(date) * 4 + quarter(date) - 1 - (1996 * 4 + 0) as integer) end as dummy
-    from (select key, date, unnest(['global', 'pandemic']) as block from panel where key < 'NATION_15')""")
+    from (select key, date, unnest(['global', 'pandemic']) as block from panel)""")
 def block_masks(spark: S, d: str) -> DataFrame:
     """Factors by block: one that holds only in a window of months is zero outside it; the quarter's dummy inside."""
-    p = gappy(spark, d).where("key < 'NATION_15'").select("key", "date", F.explode(F.array(F.lit("global"), F.lit("pandemic"))).alias("block"))
+    p = gappy(spark, d).select("key", "date", F.explode(F.array(F.lit("global"), F.lit("pandemic"))).alias("block"))
     inside = F.col("date").between(F.lit("1996-03-01").cast("date"), F.lit("1997-12-01").cast("date"))
     return p.select("key", "date", "block", F.when((F.col("block") == "pandemic") & ~inside, 0.0).otherwise(1.0).alias("active"), F.when(inside, (calendar.q_index(F.col("date")) - 1996 * 4).cast("int")).alias("dummy"))
 

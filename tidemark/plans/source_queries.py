@@ -91,7 +91,7 @@ def stored_vintage(spark: S, d: str) -> DataFrame:
 # Survey texts: a monthly table (three months a line), quarterly appendix lines under a month header, and prose bullets.
 def survey_lines(spark: S, d: str) -> DataFrame:
     """report, n, line."""
-    c = cells(spark, d).withColumn("x", (F.col("v") % 161 - 80).cast("int")).where("year(date) < 1996")
+    c = cells(spark, d).withColumn("x", (F.col("v") % 161 - 80).cast("int"))
     at = lambda f: F.date_format("date", f)
     table = c.groupBy("key", F.year("date").alias("y"), F.quarter("date").alias("q")).agg(F.array_sort(F.collect_list(F.struct("date", "x"))).alias("p")).where("size(p) = 3")
     head = F.concat(F.lit("Index       "), F.array_join(F.transform("p", lambda r: F.date_format(r["date"], "MMM yyyy")), "   "))
@@ -118,7 +118,7 @@ def parsed_survey(lines: DataFrame, low: int = -80, high: int = 80) -> DataFrame
     return every.select("key", "date", readers.number(F.col("v")).alias("value"), "prio").where(F.col("value").between(low, high))
 
 
-SURVEY = """c as (select key, date, cast(cast(round(value) as bigint) % 161 - 80 as integer) as x from monthly where year(date) < 1996), full_q as (select key, year(date) as y, quarter(date) as q from c group by 1, 2, 3 having count(*) = 3),
+SURVEY = """c as (select key, date, cast(cast(round(value) as bigint) % 161 - 80 as integer) as x from monthly), full_q as (select key, year(date) as y, quarter(date) as q from c group by 1, 2, 3 having count(*) = 3),
     every as (select key, date, x + 1 as value, 1 as prio from c where month(date) % 3 = 0 and x + 1 <= 80 union all select c.key, date, x, 2 from c join full_q f on f.key = c.key and f.y = year(date) and f.q = quarter(date)
     union all select key, date, x + 2, 3 from c where month(date) = 1 and x + 2 <= 80)"""
 
@@ -129,12 +129,13 @@ def survey_values(spark: S, d: str) -> DataFrame:
     return parsed_survey(survey_lines(spark, d))
 
 
-@query(f"""with {SURVEY}, best as (select key, date, value, prio from (select *, row_number() over (partition by key, date order by prio) as n from every) where n = 1), old as (select key, date, cast(x as double) - 3 as value from c where year(date) = 1992)
+@query(f"""with {SURVEY}, best as (select key, date, value, prio from (select *, row_number() over (partition by key, date order by prio) as n from every) where n = 1), old as (select key, date, cast(x as double) - 3 as value from c where year(date) = (select min(year(date)) from c))
     select coalesce(b.key, o.key) as key, coalesce(b.date, o.date) as date, coalesce(b.value, o.value) as value, coalesce(b.prio, 0) as prio from best b full join old o on o.key = b.key and o.date = b.date""")
 def survey_merged(spark: S, d: str) -> DataFrame:
     """Best source of each month, merged into what is stored: new wins, and no stored month is lost."""
     best = joins.latest(parsed_survey(survey_lines(spark, d)), ["key", "date"], F.col("prio"))
-    stored = cells(spark, d).where("year(date) = 1992").select("key", "date", (F.col("v") % 161 - 83).cast("double").alias("value"), F.lit(0).alias("prio"))
+    first = cells(spark, d).agg(F.min(F.year("date")).alias("first"))  # one row
+    stored = cells(spark, d).join(F.broadcast(first)).where("year(date) = first").select("key", "date", (F.col("v") % 161 - 83).cast("double").alias("value"), F.lit(0).alias("prio"))
     return joins.upsert(stored, best, ["key", "date"])
 
 
@@ -152,10 +153,10 @@ def checked_lines(spark: S, d: str) -> DataFrame:
     return rows.withColumn("implied", implied).where("value between 40 and 220 and (implied is null or abs(implied - printed) <= 3)").select("key", "date", "value")
 
 
-@query("""select key, date, 60 + cast(round(value) as bigint) % 85 as value, month(date) % 6 = 5 as provisional from monthly where date <= date '1997-12-01' and key < 'NATION_2'""")
+@query("""select key, date, 60 + cast(round(value) as bigint) % 85 as value, month(date) % 6 = 5 as provisional from monthly where date <= (select max(cast(o_orderdate as date)) from orders)""")
 def year_tables(spark: S, d: str) -> DataFrame:
     """An HTML table of years by months to long rows; ** marks a provisional value; future months and values out of 50 to 150 are refused."""
-    c = cells(spark, d).where("key < 'NATION_2'")
+    c = cells(spark, d)
     cell = F.concat(F.lit("<td>"), F.coalesce((60 + F.col("v") % 85).cast("string"), F.lit("")), F.when(F.month("date") % 6 == 5, "**").otherwise(""), F.lit("</td>"))
     by_year = c.select("key", F.year("date").alias("y"), F.month("date").alias("m"), cell.alias("cell")).groupBy("key", "y").agg(F.map_from_entries(F.collect_list(F.struct("m", "cell"))).alias("cells"))  # twelve at most
     row = F.concat(F.lit("<tr><th>"), "y", F.lit("</th>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.coalesce(F.element_at("cells", m), F.lit("<td></td>"))), ""), F.lit("</tr>"))
@@ -164,7 +165,8 @@ def year_tables(spark: S, d: str) -> DataFrame:
     rows = rows.select("key", F.regexp_extract("tr", r"<th>(\d{4})</th>", 1).cast("int").alias("y"), F.posexplode(F.regexp_extract_all("tr", F.lit("<td>([^<]*)</td>"), F.lit(1))).alias("m", "cell"))
     value = F.regexp_replace("cell", r"\*+$", "").try_cast("bigint")
     rows = rows.select("key", F.make_date("y", F.col("m") + 1, F.lit(1)).alias("date"), value.alias("value"), F.col("cell").endswith("**").alias("provisional"))
-    return rows.where("value between 50 and 150 and date <= date'1997-12-01'")
+    now = t.table(spark, d, "orders").agg(F.max(F.col("o_orderdate").cast("date")).alias("now"))  # one row
+    return rows.where("value between 50 and 150").join(F.broadcast(now)).where("date <= now").drop("now")
 
 
 @query("""select q_index, cast(q_index // 4 as varchar) || 'Q' || cast(q_index % 4 + 1 as varchar) as quarter, case when q_index % 4 = 1 then 'May' else 'Nov' end as edition, round(growth, 1) as forecast from growth where growth is not null and q_index % 4 in (1, 3) and q_index % 8 <> 1""", ratios=("forecast",))
