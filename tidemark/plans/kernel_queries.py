@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bayes, kernels, panel
+from tidemark.operators import bayes, dynamic, kernels, panel
 from tidemark.plans.registry import query
 from tidemark.plans.registry import registered as registry_query
 from tidemark.sources import tables as t
@@ -180,6 +180,50 @@ def bootstrap_gain(spark: S, d: str) -> DataFrame:
     return bootstrapped(spark, d)
 
 
+#: Lags of the panel mean beside a series' own last value, and months ahead, of the models that the path bootstrap tests.
+MODELS, HORIZONS, DRAWS = {"mean": 1, "two means": 2}, (1, 3), ("residual", "normal")
+TESTED = 20
+
+
+@query()
+def bootstrap_paths(spark: S, d: str) -> DataFrame:
+    """MSE-F of each series' forecasts by the panel mean's lags, by model and horizon, with its chance under paths generated from the null model, by kind of
+    draw; 1,000 paths each, dealt over seeds. (series, model, horizon, draw, seed) are grouping keys; series of under 45 months are left out."""
+    grid = [(m, n, h, k, s) for m, n in MODELS.items() for h in HORIZONS for k in DRAWS for s in range(4)]
+    rows = growth_rows(spark, d).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("date", "x", "m"))).alias("rows")).where("size(rows) >= 45")  # a series' months
+    cases = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(n).alias("lags"), F.lit(h).alias("horizon"), F.lit(k).alias("draw"), F.lit(s).alias("seed")) for m, n, h, k, s in grid))
+    each = rows.select("key", F.col("rows.x").alias("x"), F.col("rows.m").alias("m"), F.inline(cases)).repartition(64, "key", "seed", "model", "horizon", "draw")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                y, m = np.array(r.x), np.array(r.m)
+                paths = dynamic.null_paths(y, m, BOOTSTRAP_REPS // 4, r.draw, np.random.default_rng([r.seed, r.lags, r.horizon]))
+                stat = dynamic.mse_f(y[None], m[None], r.lags, r.horizon, TESTED)[0]
+                out.append((r.key, r.model, r.horizon, r.draw, stat, int((dynamic.mse_f(*paths, r.lags, r.horizon, TESTED) > stat).sum())))
+            yield pd.DataFrame(out, columns=["key", "model", "horizon", "draw", "stat", "above"])
+
+    parts = each.mapInPandas(run, "key string, model string, horizon int, draw string, stat double, above int")
+    return parts.groupBy("key", "model", "horizon", "draw").agg(F.first("stat").alias("stat"), (F.sum("above") / (BOOTSTRAP_REPS // 4 * 4)).alias("p"))
+
+
+@query()
+def dynamic_shocks(spark: S, d: str) -> DataFrame:
+    """What each series' surprise added to each month's update of its category's factor: two static factors driven by one shock, by EM, identified."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, keys = wide(pdf)
+        y = standard(y)
+        m = dynamic.identified(dynamic.estimated(y, 1, 1, 2))
+        news, parts, updates = dynamic.contributions(y, m)
+        dates = sorted(pdf["date"].unique())
+        i, j = np.nonzero(~np.isnan(news))
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "date": [dates[k] for k in i], "key": [keys[k] for k in j], "surprise": news[i, j], "contribution": parts[i, j, 0], "update": updates[i, 0]})
+
+    return monthly_panel(spark, d).groupBy("category").applyInPandas(run, "category string, date date, key string, surprise double, contribution double, update double")
+
+
 @query()
 def news_decomposition(spark: S, d: str) -> DataFrame:
     """Why each category's estimate moved between two vintages: old, parameters, revisions, releases; and each released cell's weight and impact."""
