@@ -9,6 +9,7 @@ from tidemark.functions import bands, calendar, display
 from tidemark.operators import joins
 from tidemark.plans.registry import query
 from tidemark.plans.source_queries import cells
+from tidemark.sources import publication
 from tidemark.sources import tables as t
 from tidemark.streaming.ledger import shared_dir
 
@@ -242,3 +243,16 @@ def revision_snapshots(spark: S, d: str) -> DataFrame:
     every = spark.read.schema("key string, date date, v bigint, vintage_date date").parquet(path)
     g = every.groupBy("key", "date").agg(F.count("*").alias("versions"), F.min_by("v", "vintage_date").alias("first_v"), F.max_by("v", "vintage_date").alias("last_v"))
     return g.withColumn("revised", F.col("last_v") != F.col("first_v"))
+
+
+@query("""select year(date) * 12 + month(date) as month, key, value from monthly""", levels=("value",))
+def publication_round(spark: S, d: str) -> DataFrame:
+    """The panel published in two versions, the second added to the first, and read back by the newest manifest."""
+    publication.register(spark)
+    path = shared_dir(spark, "publication")
+    m = t.monthly(spark, d).select((F.year("date") * 12 + F.month("date")).cast("bigint").alias("month"), "key", "value")
+    middle = m.agg(F.expr("cast((min(month) + max(month)) / 2 as bigint)").alias("middle"))  # one row
+    halves = m.join(F.broadcast(middle))
+    halves.where("month <= middle").drop("middle").write.format("publication").mode("overwrite").save(path)
+    halves.where("month > middle").drop("middle").write.format("publication").mode("append").save(path)
+    return spark.read.format("publication").schema(m.schema).load(path)
