@@ -41,13 +41,14 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 def core_of(word: bytes) -> tuple[bytes, bytes]:
     """A word and its end: a full stop or comma after a letter or digit is a token of its own.
 
-    Words of ASCII alone are lower-cased, as the tokenizer would. In others a mark may join the
-    letter before it first, and not every capital has the joined form of its small letter: they stay.
+    Words are lower-cased (ASCII only) where the tokenizer would do the same: if all is under U+0280. In
+    others a mark may join the letter before it first, and not every capital has the joined form of
+    its small letter: they stay.
     """
     if b"<|" in word:  # may be a special token, which is told by its case
         return word, b""
     core, end = (word[:-1], word[-1:]) if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum() else (word, b"")
-    return core.lower() if core.isascii() else core, end
+    return core.lower() if core.isascii() or max(core) < 0xCA else core, end
 
 
 class Words:
