@@ -20,6 +20,7 @@ equal rows each give their own pieces; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,17 +39,21 @@ THIRDS = 6
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
 
 
-def core_of(word: bytes) -> tuple[bytes, bytes]:
+#: First bytes of characters from U+0280 on.
+HIGH = re.compile(rb"[\xca-\xff]")
+
+
+def core_of(word: bytes, low: bool = False) -> tuple[bytes, bytes]:
     """A word and its end: a full stop or comma after a letter or digit is a token of its own.
 
     Words are lower-cased (ASCII only) where the tokenizer would do the same: if all is under U+0280. In
     others a mark may join the letter before it first, and not every capital has the joined form of
-    its small letter: they stay.
+    its small letter: they stay. low: it is known that the word has none of these.
     """
     if b"<|" in word:  # may be a special token, which is told by its case
         return word, b""
     core, end = (word[:-1], word[-1:]) if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum() else (word, b"")
-    return core.lower() if core.isascii() or max(core) < 0xCA else core, end
+    return core.lower() if low or not HIGH.search(core) else core, end
 
 
 class Words:
@@ -69,11 +74,12 @@ class Words:
         self.cores: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: set[bytes], high: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; `high` are those of texts with characters from U+0280 on."""
         if len(self.cores) > self.LIMIT:
             self.older, self.cores = self.cores, {}
         cores, older = self.cores, self.older
-        split = [(w, *core_of(w)) for w in words]
+        split = [(w, *core_of(w, True)) for w in words] + [(w, *core_of(w)) for w in high - words]
         missing = []
         for x in {x for _, core, end in split for x in (core, end) if x not in cores}:
             if (ids := older.get(x)) is None:
@@ -96,7 +102,10 @@ class Words:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text."""
         split = [t.split() for t in texts]
-        get = self.learn(set().union(*split)).__getitem__
+        words, high = set(), set()
+        for t, own in zip(texts, split, strict=True):
+            (high if HIGH.search(t) else words).update(own)
+        get = self.learn(words, high).__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
