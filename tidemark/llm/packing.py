@@ -104,7 +104,7 @@ class Words:
         split = [t.split() for t in texts]
         words, high = set(), set()
         for t, own in zip(texts, split, strict=True):
-            (high if HIGH.search(t) else words).update(own)
+            (words if t.isascii() or not HIGH.search(t) else high).update(own)
         get = self.learn(words, high).__getitem__
         for words in split:
             yield b"".join(map(get, words))
