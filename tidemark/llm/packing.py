@@ -57,7 +57,7 @@ def core_of(word: bytes, low: bool = False) -> tuple[bytes, bytes]:
 
 
 class Words:
-    """Ids, as little-endian bytes, of text between white space; kept for frequent words in two generations.
+    """Ids, as little-endian bytes, of text between white space; kept for frequent words and cores in two generations.
 
     The tokenizer never joins what white space divides, so a text's ids are those of its words. New words
     are encoded together, and the offsets of the tokens tell which word each is of.
@@ -71,33 +71,39 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes], high: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words; `high` are those of texts with characters from U+0280 on."""
-        if len(self.cores) > self.LIMIT:
-            self.older, self.cores = self.cores, {}
-        cores, older = self.cores, self.older
-        split = [(w, *core_of(w, True)) for w in words] + [(w, *core_of(w)) for w in high - words]
-        missing = []
-        for x in {x for _, core, end in split for x in (core, end) if x not in cores}:
-            if (ids := older.get(x)) is None:
-                missing.append(x)
-            else:
-                cores[x] = ids
+    def learn(self, words: set[bytes], high: set[bytes]) -> None:
+        """Makes all words known; `high` are those of texts with characters from U+0280 on."""
+        if len(self.known) > self.LIMIT:
+            self.older, self.known = self.known, {}
+        known = self.known
+        split = [(w, *core_of(w, True)) for w in self._new(words)] + [(w, *core_of(w)) for w in self._new(high - words)]
+        missing = self._new({x for _, core, end in split for x in (core, end)})
         for k in range(0, len(missing), self.TOGETHER):
             self._encode(missing[k : k + self.TOGETHER])
-        return {w: cores[core] + cores[end] if end else cores[core] for w, core, end in split}
+        for w, core, end in split:
+            known[w] = known[core] + known[end] if end else known[core]
+
+    def _new(self, words: set[bytes]) -> list[bytes]:
+        """Those of no generation; what only the older one knows is carried over."""
+        out = []
+        for w in words.difference(self.known):
+            if (ids := self.older.get(w)) is None:
+                out.append(w)
+            else:
+                self.known[w] = ids
+        return out
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        ids = np.array(got.ids, "<u4")
-        at = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begin)
+        ids = np.array(got.ids, "<u4").tobytes()
+        at = (4 * np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), begin)).tolist()
         for k, w in enumerate(words):
-            self.cores[w] = ids[at[k] : at[k + 1]].tobytes()
+            self.known[w] = ids[at[k] : at[k + 1]]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text."""
@@ -105,9 +111,10 @@ class Words:
         words, high = set(), set()
         for t, own in zip(texts, split, strict=True):
             (words if t.isascii() or not HIGH.search(t) else high).update(own)
-        get = self.learn(words, high).__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.learn(words, high)
+        get = self.known.__getitem__
+        for own in split:
+            yield b"".join(map(get, own))
 
 
 #: By a Python worker's tokenizer; a worker that is used again keeps what it has learnt.
