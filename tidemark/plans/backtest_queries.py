@@ -90,14 +90,12 @@ def combine(v2: DataFrame, v3: DataFrame, y: DataFrame) -> DataFrame:
     v2, v3: as_of, target, stage, forecast, n. y: target, printed, growth.
     """
     v2, v3 = v2.withColumn("all", F.lit(1)), v3.withColumn("all", F.lit(1))
-    paired = joins.as_of(v2.select("all", "as_of", "target", "stage", F.col("forecast").alias("v2")), v3.select("all", F.col("as_of").alias("as_of"), F.col("forecast").alias("raw"), F.col("as_of").alias("date"), "n"), ["all"], "as_of", ["raw", "date"], "n", 31)  # one row an as-of date
+    paired = joins.as_of(v2.select("all", "as_of", "target", "stage", F.col("forecast").alias("v2")), v3.select("all", F.col("as_of").alias("as_of"), F.col("forecast").alias("raw"), F.col("as_of").alias("date"), "n"), ["all"], "as_of", ["raw", "date"], "n", 31, F.year)
     finals = v3.groupBy("target").agg(F.max_by("forecast", "as_of").alias("final"))
     misses = finals.join(y, "target").select("printed", (F.col("final") - F.col("growth")).alias("miss"))
-    ledger = misses.agg(F.array_sort(F.collect_list(F.struct("printed", "miss"))).alias("ledger"))  # one row a quarter
-    seen = F.filter("ledger", lambda x: x["printed"] <= F.col("as_of"))
-    last = F.slice(seen, F.greatest(F.size(seen) - 7, F.lit(1)), F.lit(8))
-    mean = F.aggregate(last, F.lit(0.0), lambda s, x: s + x["miss"]) / F.size(last)
-    out = paired.join(F.broadcast(ledger)).withColumn("correction", F.when(F.size(last) >= 4, mean))
+    last = Window.orderBy("printed").rowsBetween(-7, 0)  # one row a quarter
+    means = misses.select(F.lit(1).alias("all"), F.col("printed").alias("as_of"), F.when(F.count("*").over(last) >= 4, F.avg("miss").over(last)).alias("correction"))
+    out = joins.as_of(paired, means, ["all"], "as_of", ["correction"], "correction", span=F.year).withColumnRenamed("right_correction", "correction")
     v3_fixed = F.col("right_raw") - F.coalesce("correction", F.lit(0.0))
     return out.select("as_of", "target", "stage", "v2", F.col("right_raw").alias("v3_raw"), F.col("right_date").alias("v3_date"), "correction", v3_fixed.alias("v3"), F.when(F.col("right_raw").isNull(), F.col("v2")).otherwise((F.col("v2") + v3_fixed) / 2).alias("combo"))
 

@@ -167,14 +167,14 @@ PAIR_SQL = """select a.user_id, a.event_id, a.run_date, a.value, b.event_id as r
 @query(PAIR_SQL.format(cut="and cast(a.ts as date) - cast(b.ts as date) <= 7"), levels=("value", "right_value"))
 def as_of_pair(spark: S, d: str) -> DataFrame:
     """Each run with the latest partner run at or before it, no more than 7 days old."""
-    out = joins.as_of(t.runs(spark, d, "view"), t.runs(spark, d, "click"), ["user_id"], "ts", ["event_id", "value"], "event_id", 7)
+    out = joins.as_of(t.runs(spark, d, "view"), t.runs(spark, d, "click"), ["user_id"], "ts", ["event_id", "value"], "event_id", 7, lambda c: F.date_trunc("week", c))
     return out.select("user_id", "event_id", "run_date", "value", "right_event_id", "right_value")
 
 
 @query(PAIR_SQL.format(cut=""), levels=("value", "right_value"))
 def as_of_latest(spark: S, d: str) -> DataFrame:
     """The same without a tolerance."""
-    out = joins.as_of(t.runs(spark, d, "view"), t.runs(spark, d, "click"), ["user_id"], "ts", ["event_id", "value"], "event_id")
+    out = joins.as_of(t.runs(spark, d, "view"), t.runs(spark, d, "click"), ["user_id"], "ts", ["event_id", "value"], "event_id", span=lambda c: F.date_trunc("week", c))
     return out.select("user_id", "event_id", "run_date", "value", "right_event_id", "right_value")
 
 

@@ -21,10 +21,10 @@ def nearest_vintage(spark: S, d: str) -> DataFrame:
     q = t.target_q(spark, d).select("q_index", target.alias("target"))
     daily = joins.latest(t.runs(spark, d, "view"), ["run_date"], F.col("event_id")).select("run_date", "event_id", "value")
     day = lambda c, sign: (sign * F.datediff(c, F.lit("1970-01-01").cast("date"))).alias("at")
-    one = F.lit(1).alias("all")  # one row a day on the right, one a quarter on the left: both are few
+    one = F.lit(1).alias("all")  # all are of one key, so years are split
 
     def side(sign: int) -> DataFrame:
-        found = joins.as_of(q.select(one, "q_index", "target", day("target", sign)), daily.select(one, day("run_date", sign), "run_date", "value", "event_id"), ["all"], "at", ["run_date", "value"], "event_id")
+        found = joins.as_of(q.select(one, "q_index", "target", day("target", sign)), daily.select(one, day("run_date", sign), "run_date", "value", "event_id"), ["all"], "at", ["run_date", "value"], "event_id", span=lambda c: F.floor(c / 365))
         return found.where("right_run_date is not null").select("q_index", "target", F.col("right_run_date").alias("run_date"), F.col("right_value").alias("value"))
 
     return joins.latest(side(1).unionByName(side(-1)), ["q_index"], F.abs(F.datediff("run_date", "target")), F.col("run_date")).select("q_index", "run_date", "value")
