@@ -338,19 +338,20 @@ def mixed_chains(spark: S, d: str) -> DataFrame:
 
 @query()
 def activity_index(spark: S, d: str) -> DataFrame:
-    """Index of activity: series that pass the Wald gate, ranked by it, make one dynamic factor, filtered, so that no month looks ahead."""
-    gate = registry_query("hac_wald_gate")(spark, d).where("keep").select("key", "wald")
-    chosen = growth_rows(spark, d).join(gate, "key").select("key", "date", "x", "wald", F.lit(1).alias("all"))
+    """Index of activity: the ten series that pass the Wald gate and matter most make one dynamic factor, filtered, so that no month looks ahead.
+
+    The ten are chosen before they meet, so the group holds ten series however many there are.
+    """
+    gate = registry_query("hac_wald_gate")(spark, d).where("keep").orderBy(F.desc("wald"), "key").limit(10).select("key")
+    chosen = growth_rows(spark, d).join(F.broadcast(gate), "key").select("key", "date", "x", F.lit(1).alias("all"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, keys = wide(pdf)
-        rank = pdf.drop_duplicates("key").set_index("key")["wald"].reindex(keys).to_numpy()
-        first = np.argsort(-rank, kind="stable")[:10]  # the ten that matter most
-        if len(first) < 2:
+        if len(keys) < 2:
             return pd.DataFrame({"date": [], "activity": [], "series": []})
-        z = standard(y[:, first])
+        z = standard(y)
         f = kernels.em_factor(z, 1, 30)["filtered"][:, 0]
         sign = -1 if np.corrcoef(f, np.nanmean(z, 1))[0, 1] < 0 else 1
-        return pd.DataFrame({"date": sorted(pdf["date"].unique()), "activity": sign * f, "series": len(first)})
+        return pd.DataFrame({"date": sorted(pdf["date"].unique()), "activity": sign * f, "series": len(keys)})
 
-    return chosen.groupBy("all").applyInPandas(run, "date date, activity double, series int")  # the panel: one row a series and month
+    return chosen.groupBy("all").applyInPandas(run, "date date, activity double, series int")  # ten series
