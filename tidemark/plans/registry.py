@@ -66,7 +66,7 @@ def whole(sql: str, places: dict[str, int]) -> str:
 
 
 def _loaded() -> None:
-    from tidemark.plans import backtest_queries, block_queries, calendar_queries, helper_queries, kernel_queries, panel_queries, print_queries, published_queries, recursive_queries, score_queries, source_queries, stream_queries, text_queries, vintage_queries  # noqa: F401
+    from tidemark.plans import backtest_queries, block_queries, calendar_queries, component_queries, helper_queries, kernel_queries, panel_queries, print_queries, published_queries, recursive_queries, score_queries, source_queries, stream_queries, text_queries, vintage_queries  # noqa: F401
 
 
 def registered(name: str) -> Query:
