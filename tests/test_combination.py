@@ -22,3 +22,13 @@ def test_gaps_stale_arms_and_few_misses(spark):
     early, late = got[ends[8]], got[ends[39]]
     assert early.correction is None and early.combo == 1.5
     assert late.correction == 0.5 and late.v3 == 1.5 and late.combo == 1.25
+
+
+def test_arms_in_one_task_equal_arms_split_by_year(spark):
+    ends = [dt.date(2000, 1, 3) + dt.timedelta(7 * k) for k in range(150)]
+    v2 = spark.createDataFrame([(d, k // 13, k % 3 + 1, float(k % 5), 9) for k, d in enumerate(ends)], RUNS)
+    v3 = spark.createDataFrame([(d, k // 13, k % 3 + 1, float(k % 7), 9) for k, d in enumerate(ends) if k % 11 and not 60 < k < 70], RUNS)
+    y = spark.createDataFrame([(q, ends[13 * q + 12] + dt.timedelta(50), 1.5) for q in range(11)], "target int, printed date, growth double")
+    a, b = (sorted(bq.combine(v2, v3, y, s).collect()) for s in (None, lambda c: bq.F.year(c)))
+    assert a == b and len(a) == 150 and any(r.v3_raw is None for r in a) and any(r.correction is not None for r in a)
+    assert sum(r.n for r in bq.scored(bq.combine(v2, v3, y, None), y).collect() if r.arm == "v2") == 143

@@ -182,3 +182,20 @@ def test_queries_equal_one_plain_model(spark):
             assert abs(r.nowcast_change - impact.get(r.run_date, 0.0)) < 1e-8
     assert set(news["key"]) == set(keys)  # last quarter's target is a release too
     rows.unpersist()
+
+
+def test_combination_of_both_models(spark):
+    """The first arm is the sum of contributions, the second the whole's model; corrections take only misses printed by the run."""
+    got = plans.arms(spark, SF).toPandas().set_index("as_of")
+    sums = plans.contributions(plans.runs(plans.component_rows(spark, SF)), plans.component_levels(spark, SF)).toPandas().groupby("run_date")["contribution_pp"].sum()
+    whole = plans.runs(plans.whole_rows(spark, SF)).toPandas().set_index("run_date")
+    y = plans.printed(spark, SF).toPandas().set_index("target")
+    assert set(got.index) == set(sums.index) and len(got) > 100
+    finals = whole.sort_index().groupby("quarter")["nowcast"].last()
+    misses = sorted((y.printed[q], finals[q] - y.growth[q]) for q in finals.index if q in y.index)
+    for day, r in got.iterrows():
+        assert r.v2 == pytest.approx(sums[day]) and r.v3_raw == pytest.approx(whole.nowcast[day]) and r.target == whole.quarter[day]
+        known = [m for p, m in misses if p <= day][-8:]
+        fix = sum(known) / len(known) if len(known) >= 4 else None
+        assert (np.isnan(r.correction) if fix is None else r.correction == pytest.approx(fix)) and r.combo == pytest.approx((r.v2 + r.v3_raw - (fix or 0)) / 2)
+    assert got.correction.notna().any() and got.correction.isna().any()

@@ -7,6 +7,8 @@ mean of the months known last. Forecasts are simple regressions, so they are agg
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,18 +86,18 @@ def combined(spark: S, d: str) -> DataFrame:
     return combine(runs.where("variant = 'qa'"), runs.where("variant = 'last'"), prints)
 
 
-def combine(v2: DataFrame, v3: DataFrame, y: DataFrame) -> DataFrame:
+def combine(v2: DataFrame, v3: DataFrame, y: DataFrame, span: Callable[[Column], Column] | None = F.year) -> DataFrame:
     """as_of, target, stage, v2, v3_raw, v3_date, correction, v3, combo: the second arm no more than 31 days old, less the mean of its last 8 misses that had been printed (4 at least).
 
-    v2, v3: as_of, target, stage, forecast, n. y: target, printed, growth.
+    v2, v3: as_of, target, stage, forecast, n. y: target, printed, growth. span: that of joins.as_of; without one the arms, a row a run, meet in one task and are read once.
     """
     v2, v3 = v2.withColumn("all", F.lit(1)), v3.withColumn("all", F.lit(1))
-    paired = joins.as_of(v2.select("all", "as_of", "target", "stage", F.col("forecast").alias("v2")), v3.select("all", F.col("as_of").alias("as_of"), F.col("forecast").alias("raw"), F.col("as_of").alias("date"), "n"), ["all"], "as_of", ["raw", "date"], "n", 31, F.year)
+    paired = joins.as_of(v2.select("all", "as_of", "target", "stage", F.col("forecast").alias("v2")), v3.select("all", F.col("as_of").alias("as_of"), F.col("forecast").alias("raw"), F.col("as_of").alias("date"), "n"), ["all"], "as_of", ["raw", "date"], "n", 31, span)
     finals = v3.groupBy("target").agg(F.max_by("forecast", "as_of").alias("final"))
     misses = finals.join(y, "target").select("printed", (F.col("final") - F.col("growth")).alias("miss"))
     last = Window.orderBy("printed").rowsBetween(-7, 0)  # one row a quarter
     means = misses.select(F.lit(1).alias("all"), F.col("printed").alias("as_of"), F.when(F.count("*").over(last) >= 4, F.avg("miss").over(last)).alias("correction"))
-    out = joins.as_of(paired, means, ["all"], "as_of", ["correction"], "correction", span=F.year).withColumnRenamed("right_correction", "correction")
+    out = joins.as_of(paired, means, ["all"], "as_of", ["correction"], "correction", span=span).withColumnRenamed("right_correction", "correction")
     v3_fixed = F.col("right_raw") - F.coalesce("correction", F.lit(0.0))
     return out.select("as_of", "target", "stage", "v2", F.col("right_raw").alias("v3_raw"), F.col("right_date").alias("v3_date"), "correction", v3_fixed.alias("v3"), F.when(F.col("right_raw").isNull(), F.col("v2")).otherwise((F.col("v2") + v3_fixed) / 2).alias("combo"))
 
@@ -110,7 +112,12 @@ def combination_run(spark: S, d: str) -> DataFrame:
 def arm_scores(spark: S, d: str) -> DataFrame:
     """The four arms scored from one pass: unpivoted, then aggregated; with the bands of their errors."""
     y = t.growth(spark, d).where("growth is not null").select(F.col("q_index").alias("target"), "growth")
-    rows = combined(spark, d).join(y, "target").select("growth", F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(a).alias("x")) for a in ("v2", "v3_raw", "v3", "combo")))))
+    return scored(combined(spark, d), y)
+
+
+def scored(arms: DataFrame, y: DataFrame) -> DataFrame:
+    """By arm, its errors' scores and bands; y: target, growth."""
+    rows = arms.join(y, "target").select("growth", F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(a).alias("x")) for a in ("v2", "v3_raw", "v3", "combo")))))
     e = F.col("x") - F.col("growth")
     return rows.withColumn("e", e).groupBy("arm").agg(*bands.scores(F.col("e")), *bands.quantiles(F.col("e")))
 

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
 from tidemark.operators import components, joins
-from tidemark.plans.kernel_queries import monthly_panel
+from tidemark.plans import backtest_queries as backtest
+from tidemark.plans.kernel_queries import growth_rows, monthly_panel
 from tidemark.plans.registry import query
 from tidemark.sources import tables as t
 
 S = SparkSession
-TARGET = "target"
+TARGET, WHOLE = "target", "whole"
 TOP = 5
 
 
@@ -44,6 +45,14 @@ def component_rows(spark: S, d: str) -> DataFrame:
     return series.unionByName(grown.where("x is not null").select("component", F.lit(TARGET).alias("key"), "date", "x", "published"))
 
 
+def whole_rows(spark: S, d: str) -> DataFrame:
+    """The same rows for the whole: all series under one component, and the whole's growth."""
+    whole = F.lit(WHOLE).alias("component")
+    series = growth_rows(spark, d).join(t.registry(spark, d).select("key", "lag_days"), "key").select(whole, "key", "date", "x", F.date_add(F.last_day("date"), F.col("lag_days")).alias("published"))
+    own = t.growth(spark, d).where("growth is not null").select(whole, F.lit(TARGET).alias("key"), "date", F.col("growth").alias("x"), calendar.release_date(F.col("q_index")).alias("published"))
+    return series.unionByName(own)
+
+
 def by_year(rows: DataFrame) -> DataFrame:
     """rows with year, each in every year from its publication on; years are those of the months that the series hold."""
     years = rows.where(F.col("key") != TARGET).agg(F.max(F.year("date")).alias("_last"))  # one row
@@ -199,3 +208,27 @@ def complete_nowcasts(spark: S, d: str) -> DataFrame:
     whole = parts.groupBy("quarter", "run_date").agg(F.count("*").alias("components"), F.first("total").alias("growth"), F.sum("level").alias("level"), F.max_by("component", F.struct(F.abs("contribution_pp"), F.col("component"))).alias("largest"))
     last, first = (lambda c: F.max_by(c, "run_date")), (lambda c: F.min_by(c, "run_date"))
     return whole.groupBy("quarter").agg(F.max("run_date").alias("run_date"), F.count("*").alias("runs"), last("components").alias("components"), last("growth").alias("growth"), last("level").alias("level"), (last("growth") - first("growth")).alias("change"), last("largest").alias("largest"))
+
+
+def printed(spark: S, d: str) -> DataFrame:
+    return t.growth(spark, d).where("growth is not null").select(F.col("q_index").alias("target"), calendar.release_date(F.col("q_index")).alias("printed"), "growth")
+
+
+def arms(spark: S, d: str) -> DataFrame:
+    """The components' sum as the first arm and the whole's own model as the second, paired, corrected and combined by run date."""
+    stage = ((F.month("as_of") - 1) % 3 + 1).alias("stage")  # month of the quarter
+    arm = lambda df, x: df.select(F.col("run_date").alias("as_of"), F.col("quarter").alias("target"), F.col(x).alias("forecast"), F.lit(1).cast("bigint").alias("n")).select("as_of", "target", stage, "forecast", "n")
+    sums = contributions(runs(component_rows(spark, d)), component_levels(spark, d)).groupBy("quarter", "run_date").agg(F.first("total").alias("total"))
+    return backtest.combine(arm(sums, "total"), arm(runs(whole_rows(spark, d)), "nowcast"), printed(spark, d), None)
+
+
+@query()
+def model_combination(spark: S, d: str) -> DataFrame:
+    """The weekly estimate of the whole from two models: components added up, and one model of all series less its mean miss; combined where both are there."""
+    return arms(spark, d)
+
+
+@query()
+def model_arm_scores(spark: S, d: str) -> DataFrame:
+    """Both models' arms and their combination scored against what was printed."""
+    return backtest.scored(arms(spark, d), printed(spark, d).select("target", "growth"))
