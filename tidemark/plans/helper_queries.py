@@ -256,11 +256,15 @@ def cleaned(raw: DataFrame) -> DataFrame:
 
 @query("""select page_id, cast(line as bigint) as line, count(*) as chars, string_agg(c, '' order by pos) as text from (select page_id, pos, substr(html, pos, 1) as c, round((pos * 7 % 41 + (pos % 3) * 0.4) / 3.2) as line from (select page_id, html, unnest(generate_series(1, 60)) as pos from pages where page_id < 100000)) group by 1, 2""")
 def clustered_lines(spark: S, d: str) -> DataFrame:
-    """Characters with positions gathered into lines: equal heights within a tolerance make a line, read from left to right."""
+    """Characters with positions gathered into lines: equal heights within a tolerance make a line, read from left to right. A page without text has lines of null.
+
+    All pages are read. The SQL stops at page_id 100,000, so they agree on tables of up to 100,000 pages.
+    """
     pos = F.explode(F.sequence(F.lit(1), F.lit(60))).alias("pos")
     c = t.table(spark, d, "pages").select("page_id", "html", pos).select("page_id", "pos", F.substring("html", F.col("pos"), F.lit(1)).alias("c"), ((F.col("pos") * 7 % 41 + (F.col("pos") % 3) * 0.4) / 3.2).alias("top"))
     lines = c.groupBy("page_id", F.round("top").cast("bigint").alias("line")).agg(F.count("*").alias("chars"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("cs"))  # 60 at most
-    return lines.select("page_id", "line", "chars", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
+    text = F.array_join(F.transform("cs", lambda x: x["c"]), "")
+    return lines.select("page_id", "line", "chars", F.when(F.exists("cs", lambda x: x["c"].isNotNull()), text).alias("text"))
 
 
 @query("""select event_id, k, cast(k % 7 as integer) as depth_a, 'k' as path from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_type = 'view')""")
