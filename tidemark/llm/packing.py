@@ -41,26 +41,45 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 #: First bytes of characters from U+0280 on.
 HIGH = re.compile(rb"[\xca-\xff]")
+#: ASCII marks.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: Characters by which byte-level models write the bytes that don't print.
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
-def core_of(word: bytes, low: bool = False) -> tuple[bytes, bytes]:
+def core_of(word: bytes) -> tuple[bytes, bytes]:
     """A word and its end: a full stop or comma after a letter or digit is a token of its own.
 
     Words are lower-cased (ASCII only) where the tokenizer would do the same: if all is under U+0280. In
     others a mark may join the letter before it first, and not every capital has the joined form of
-    its small letter: they stay. low: it is known that the word has none of these.
+    its small letter: they stay.
     """
     if b"<|" in word:  # may be a special token, which is told by its case
         return word, b""
     core, end = (word[:-1], word[-1:]) if len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum() else (word, b"")
-    return core.lower() if low or not HIGH.search(core) else core, end
+    return core if HIGH.search(core) else core.lower(), end
+
+
+def plain(word: bytes) -> tuple[bytes, bytes] | None:
+    """Letters up to U+00FF in lower case, and the ASCII marks after them (either may lack); None of any other word.
+
+    The tokenizer makes each of the two one pre-token: no letter follows a mark, so there is no contraction and no special token,
+    and none of these characters joins another.
+    """
+    core = word.rstrip(MARKS)
+    end = word[len(core) :]
+    if core.isalpha() or not core:
+        return core.lower(), end
+    text = core.decode("utf-8", "replace")
+    return (text.lower().encode(), end) if text.isalpha() and max(text) <= "\xff" else None
 
 
 class Words:
     """Ids, as little-endian bytes, of text between white space; kept for frequent words and cores in two generations.
 
-    The tokenizer never joins what white space divides, so a text's ids are those of its words. New words
-    are encoded together, and the offsets of the tokens tell which word each is of.
+    The tokenizer never joins what white space divides, so a text's ids are those of its words. Plain words
+    (nearly all) are lower-cased and divided as the tokenizer does it, and only its model is asked. Other new
+    words are encoded together, and the offsets of the tokens tell which word each is of.
     """
 
     LIMIT = 400_000
@@ -71,19 +90,25 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes], high: set[bytes]) -> None:
-        """Makes all words known; `high` are those of texts with characters from U+0280 on."""
+    def learn(self, words: set[bytes]) -> None:
+        """Makes all words known."""
         if len(self.known) > self.LIMIT:
             self.older, self.known = self.known, {}
-        known = self.known
-        split = [(w, *core_of(w, True)) for w in self._new(words)] + [(w, *core_of(w)) for w in self._new(high - words)]
-        missing = self._new({x for _, core, end in split for x in (core, end)})
+        known, others = self.known, []
+        for w in self._new(words):
+            if parts := plain(w):
+                core, end = parts
+                known[w] = self._token(core) + self._token(end) if core and end else self._token(core or end)
+            else:
+                others.append((w, *core_of(w)))
+        missing = self._new({x for _, core, end in others for x in (core, end)})
         for k in range(0, len(missing), self.TOGETHER):
             self._encode(missing[k : k + self.TOGETHER])
-        for w, core, end in split:
+        for w, core, end in others:
             known[w] = known[core] + known[end] if end else known[core]
 
     def _new(self, words: set[bytes]) -> list[bytes]:
@@ -96,6 +121,15 @@ class Words:
                 self.known[w] = ids
         return out
 
+    def _token(self, text: bytes) -> bytes:
+        """Ids of one pre-token that is in lower case."""
+        ids = self.known.get(text) or self.older.get(text)
+        if ids is None:
+            shown = text.decode("latin-1")
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown if text.isascii() else shown.translate(SHOWN))])
+        self.known[text] = ids
+        return ids
+
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
@@ -108,10 +142,7 @@ class Words:
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text."""
         split = [t.split() for t in texts]
-        words, high = set(), set()
-        for t, own in zip(texts, split, strict=True):
-            (words if t.isascii() or not HIGH.search(t) else high).update(own)
-        self.learn(words, high)
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         for own in split:
             yield b"".join(map(get, own))
