@@ -11,6 +11,7 @@ from tidemark.operators import bayes, dynamic, kernels, panel
 from tidemark.plans.registry import query
 from tidemark.plans.registry import registered as registry_query
 from tidemark.sources import tables as t
+from tidemark.streaming.ledger import shared_dir
 
 S = SparkSession
 
@@ -20,12 +21,24 @@ PRODUCTION = {"draws": 10_000, "burn": 8_000, "thin": 2}
 #: Bootstrap replications of a series, as in the reference, and the groups (seeds) they are spread over.
 BOOTSTRAP_REPS = 1000
 BOOTSTRAP_SEEDS = 10
+#: Tasks over which chains are dealt by hash; a prime, as fewer keys then meet in one.
+TASKS = 97
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: a small table that is used several times is written to the shared folder and read again."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def growth_rows(spark: S, d: str) -> DataFrame:
-    """Monthly growth of each series with the panel's mean growth, ready for regressions."""
+    """Monthly growth of each series with the panel's mean growth, ready for regressions.
+
+    The monthly panel, a row a series and month, is stored: the steps after it use it several times, and the line items are read once.
+    """
     w = Window.partitionBy("key").orderBy("date")
-    g = panel.spine(t.monthly(spark, d)).withColumn("x", 100 * F.log(F.col("value") / F.lag("value").over(w))).where("x is not null")
+    g = panel.spine(stored(t.monthly(spark, d), "monthly")).withColumn("x", 100 * F.log(F.col("value") / F.lag("value").over(w))).where("x is not null")
     return g.join(g.groupBy("date").agg(F.avg("x").alias("m")), "date").select("key", "date", "x", "m")
 
 
@@ -141,8 +154,11 @@ def factor_news(spark: S, d: str) -> DataFrame:
 
 
 def chains(spark: S, d: str, draws: int, burn: int, thin: int, seeds: int = 3) -> DataFrame:
-    """(category, seed, point, p16, p84, vol): a chain is a grouping key, its seed comes from it."""
-    groups = monthly_panel(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    """(category, seed, point, p16, p84, vol): a chain is a grouping key, its seed comes from it.
+
+    Chains are dealt over a fixed number of tasks: their few rows would else be put together in one, one chain after another.
+    """
+    groups = monthly_panel(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).repartition(TASKS, "category", "seed")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, _ = wide(pdf)
