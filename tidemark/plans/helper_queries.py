@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -254,17 +255,32 @@ def cleaned(raw: DataFrame) -> DataFrame:
     return rows.groupBy("key", "date").agg(F.min_by("value", "place").alias("value"))
 
 
-@query("""select page_id, cast(line as bigint) as line, count(*) as chars, string_agg(c, '' order by pos) as text from (select page_id, pos, substr(html, pos, 1) as c, round((pos * 7 % 41 + (pos % 3) * 0.4) / 3.2) as line from (select page_id, html, unnest(generate_series(1, 60)) as pos from pages where page_id < 100000)) group by 1, 2""")
+@query("""select page_id, cast(line as bigint) as line, count(*) as chars, string_agg(c, '' order by pos) as text from (select page_id, pos, substr(html, pos, 1) as c, round((pos * 7 % 41 + (pos % 3) * 0.4) / 3.2) as line from (select page_id, html, unnest(generate_series(1, greatest(60, length(html)))) as pos from pages where page_id < 100000)) group by 1, 2""")
 def clustered_lines(spark: S, d: str) -> DataFrame:
     """Characters with positions gathered into lines: equal heights within a tolerance make a line, read from left to right. A page without text has lines of null.
 
+    Whole texts are read; a page has 60 positions at least, those past its text are empty. Rows with the same page_id share its lines, at one position in order of their characters.
     All pages are read. The SQL stops at page_id 100,000, so they agree on tables of up to 100,000 pages.
     """
-    pos = F.explode(F.sequence(F.lit(1), F.lit(60))).alias("pos")
-    c = t.table(spark, d, "pages").select("page_id", "html", pos).select("page_id", "pos", F.substring("html", F.col("pos"), F.lit(1)).alias("c"), ((F.col("pos") * 7 % 41 + (F.col("pos") % 3) * 0.4) / 3.2).alias("top"))
-    lines = c.groupBy("page_id", F.round("top").cast("bigint").alias("line")).agg(F.count("*").alias("chars"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("cs"))  # 60 at most
-    text = F.array_join(F.transform("cs", lambda x: x["c"]), "")
-    return lines.select("page_id", "line", "chars", F.when(F.exists("cs", lambda x: x["c"].isNotNull()), text).alias("text"))
+    pos = np.arange(1, 124)  # heights come again after 41 * 3 positions
+    line_at = np.floor((pos * 7 % 41 + pos % 3 * 0.4) / 3.2 + 0.5).astype(np.uint8)
+    upto = np.vstack([np.zeros(14, int), np.cumsum(line_at[:, None] == np.arange(14), axis=0)])  # positions of each line among the first n
+
+    def gathered(texts: list[str], blank: int) -> list[tuple[int, int, str | None]]:
+        """(line, chars, text) from the texts of a page and the number of its rows without."""
+        chars = upto[60] * blank + sum(upto[-1] * (n // 123) + upto[n % 123] for n in (max(60, len(x)) for x in texts))
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        line = np.concatenate([np.resize(line_at, len(x)) for x in ["", *texts]])
+        if len(texts) > 1:
+            order = np.lexsort((code, np.concatenate([np.arange(len(x)) for x in texts])))
+            code, line = code[order], line[order]
+        text = code[np.argsort(line, kind="stable")].tobytes().decode("utf-32-le")
+        ends = [0, *np.cumsum(np.bincount(line, minlength=14)).tolist()]
+        return [(k, n, text[ends[k] : ends[k + 1]] if texts else None) for k, n in enumerate(chars.tolist())]
+
+    rows = F.udf(gathered, "array<struct<line: bigint, chars: bigint, text: string>>", useArrow=True)
+    pages = t.table(spark, d, "pages").groupBy("page_id").agg(F.collect_list("html").alias("texts"), F.count_if(F.col("html").isNull()).alias("blank"))
+    return pages.select("page_id", F.inline(rows("texts", "blank")))
 
 
 @query("""select event_id, k, cast(k % 7 as integer) as depth_a, 'k' as path from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_type = 'view')""")
